@@ -1,8 +1,12 @@
 """Queries of the training-data operators and their SQL."""
 
+from .language import op7_hierarchical
 from .near_duplicates import op9_hyperminhash
+from .token_files import op10_direct_codes
 
 QUERIES = {
+    "op7_hierarchical": op7_hierarchical,
     "op9_hyperminhash": op9_hyperminhash,
+    "op10_direct_codes": op10_direct_codes,
 }
 ORACLE_SQL: dict[str, str] = {}
