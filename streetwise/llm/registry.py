@@ -1,12 +1,19 @@
 """Queries of the training-data operators and their SQL."""
 
+from . import decontamination
+from .decontamination import op3_prefix_join
+from .fingerprints import op8_bottom_k
 from .language import op7_hierarchical
 from .near_duplicates import op9_hyperminhash
 from .token_files import op10_direct_codes
 
 QUERIES = {
+    "op3_prefix_join": op3_prefix_join,
     "op7_hierarchical": op7_hierarchical,
+    "op8_bottom_k": op8_bottom_k,
     "op9_hyperminhash": op9_hyperminhash,
     "op10_direct_codes": op10_direct_codes,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_prefix_join": decontamination.SQL,
+}
