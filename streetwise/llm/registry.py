@@ -1,13 +1,17 @@
 """Queries of the training-data operators and their SQL."""
 
-from . import decontamination
+from . import chat_format, decontamination
+from .chat_format import op2_role_machine
 from .decontamination import op3_prefix_join
 from .fingerprints import op8_bottom_k
 from .language import op7_hierarchical
 from .near_duplicates import op9_hyperminhash
+from .private_data import op1_disclosure
 from .token_files import op10_direct_codes
 
 QUERIES = {
+    "op1_disclosure": op1_disclosure,
+    "op2_role_machine": op2_role_machine,
     "op3_prefix_join": op3_prefix_join,
     "op7_hierarchical": op7_hierarchical,
     "op8_bottom_k": op8_bottom_k,
@@ -15,5 +19,6 @@ QUERIES = {
     "op10_direct_codes": op10_direct_codes,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_role_machine": chat_format.SQL,
     "op3_prefix_join": decontamination.SQL,
 }
