@@ -58,16 +58,17 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the texts between the offsets: a 64-bit hash of each word (A-Z
-    lower-cased, split at ASCII white space) and the words' bounds by text."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """For the texts between the offsets: a 64-bit hash of each word and the words'
+    bounds by text. Bytes are folded first (by default A-Z lower-cased), then split
+    where ``blank`` (by default at ASCII white space)."""
     low, high = int(offsets[0]), int(offsets[-1])
-    data = _LOWER[raw[low:high]]
+    data = fold[raw[low:high]]
     at = offsets - low
     n = len(data)
     if not n:
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     opens = np.zeros(n + 1, dtype=bool)
     opens[at[at < n]] = True
     before = np.concatenate(([False], inside[:-1])) & ~opens[:n]
