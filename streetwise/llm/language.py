@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -158,16 +158,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return Model(langs, families, machines)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score (0 to 1) from the whole text. Null texts and texts
-    without a letter get ``und`` and 0, as do all texts if nothing was learned."""
+def predicted(model: Model, text_col: str = "text") -> Column:
+    """Struct lang_pred, score (0 to 1) of a whole text. Null texts and texts without a
+    letter get ``und`` and 0, as do all texts if nothing was learned."""
 
     def predict(text: pa.Array) -> pa.Array:
         lang, score = model.predict(text)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    found = F.arrow_udf(predict, "struct<lang_pred:string,score:double>")(text_col)
-    return docs.withColumn("_language", found).select(*[docs[c] for c in docs.columns], "_language.lang_pred", "_language.score")
+    return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")(text_col)
 
 
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -179,5 +178,5 @@ def op7_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; a null doc_id is not held out
     and not learned from."""
     docs = table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), fit(learnable(docs)))
-    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = docs.select("doc_id", predicted(fit(learnable(docs))).alias("found"))
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "found.lang_pred", "found.score")

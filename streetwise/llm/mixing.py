@@ -28,7 +28,7 @@ from .textarrays import chunks, utf8, word_hashes
 #: used to fit; prediction has no such bounds.
 FIT_TEXTS, FIT_CHARS = 1500, 20_000
 BUCKETS, CHOSEN = 1 << 18, 2048
-REG, STEPS, CLOSE = 0.05, 80, 1e-5
+REG, STEPS, CLOSE = 0.05, 80, 3e-4
 _U = np.uint64
 _BLANK = _FOLD == 32
 
@@ -141,54 +141,68 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     return Classifier(domains, column, v.astype(np.float64), b + prior - prior.mean())
 
 
-def posteriors(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """Adds p (one posterior a domain) and tokens (words of letters). A null text is empty."""
+def predicted(model: Classifier, text_col: str = "text") -> Column:
+    """Struct p (one posterior a domain), tokens (words of letters). A null text is empty."""
 
     def predict(text: pa.Array) -> pa.Array:
         p, n = model.posteriors(text)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.float64()))
         return pa.StructArray.from_arrays([flat, pa.array(n, pa.int64())], names=["p", "tokens"])
 
-    found = F.arrow_udf(predict, "struct<p:array<double>,tokens:bigint>")(text_col)
-    return docs.withColumn("_mix", found).select(*[docs[c] for c in docs.columns], "_mix.p", "_mix.tokens")
+    return F.arrow_udf(predict, "struct<p:array<double>,tokens:bigint>")(text_col)
 
 
-def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> DataFrame:
-    """Adds rate to rows with p and tokens. Documents without tokens keep rate 1 pulled
-    only by their posterior. No tokens at all, or no rows, leave every rate at 1."""
+def stepped(rate: Column, p: Column, push: list[float]) -> Column:
+    """A rate after one projected gradient step. ``rate`` stands once in it."""
+    step = 1 / (1 + REG)
+    pull = sum((F.get(p, F.lit(d)) * e for d, e in enumerate(push)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), rate * (1 - step * REG) + step * REG - step * pull)
+
+
+def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, list[list[float]]]:
+    """Adds rate to rows with p and tokens; returns the steps' gradients as well, one
+    number a domain each. No tokens at all, or no rows, leave every rate at 1."""
     rows = rows.withColumn("rate", F.lit(1.0))
     p = [F.get("p", F.lit(d)) for d in range(len(domains))]
     total = rows.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x).alias(f"s{d}") for d, x in enumerate(p)]).first()
     if not total["n"]:
-        return rows
+        return rows, []
     share = np.array([max(total[f"s{d}"] / total["n"], 1e-6) for d in range(len(domains))])
     goal = np.array([targets.get(d, 0.0) for d in domains])
-    step = 1 / (1 + REG)
-    last = None
+    pushes: list[list[float]] = []
     for k in range(STEPS):
         got = rows.agg(*[F.sum(F.col("tokens") * F.col("rate") * x).alias(f"g{d}") for d, x in enumerate(p)]).first()
         push = (np.array(list(got)) / total["n"] - goal) / share
-        if last is not None and np.abs(push - last).max() < CLOSE:
+        if pushes and np.abs(push - pushes[-1]).max() < CLOSE:
             break
-        last = push
-        # The rate stands once in the expression, so k steps are k nodes.
-        pull = sum((x * float(e) for x, e in zip(p, push, strict=True)), F.lit(0.0))
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") * (1 - step * REG) + step * REG - step * pull))
+        pushes.append(push.tolist())
+        rows = rows.withColumn("rate", stepped(F.col("rate"), F.col("p"), pushes[-1]))
         if k % 12 == 11:
             rows = cut(rows)
-    return rows
+    return rows, pushes
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """Returns doc_id, text_hash, tokens, p, rate, copies of each row of ``docs``, and the
-    domains in the order of p. ``copies`` rounds the rate up or down by a hash of the
-    document, with the rate as expectation. Other columns are ignored."""
+def copies(rate: Column, doc: Column, text_hash: Column) -> Column:
+    """The rate rounded up or down by a hash of the document, with the rate as expectation."""
+    return F.floor(rate + F.pmod(F.xxhash64(doc, text_hash, F.lit("copies")), F.lit(1 << 32)) / F.lit(float(1 << 32)))
+
+
+def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier, list[list[float]]]:
+    """Returns doc_id, text_hash, tokens, p, rate of each row of ``docs``, with the
+    classifier and the steps, from which replayed() gets a rate without a join. Other
+    columns are ignored."""
     model = fit(docs, labelled, id_col, text_col)
-    rows = posteriors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    rows = cut(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "tokens", "p"))
-    rows = solve_rates(rows, model.domains, targets)
-    chance = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("copies")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return rows.withColumn("copies", F.floor(F.col("rate") + chance)), model.domains
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), predicted(model, text_col).alias("m"))
+    rows = cut(rows.select("doc_id", "text_hash", "m.tokens", "m.p"))
+    rows, pushes = solve_rates(rows, model.domains, targets)
+    return rows, model, pushes
+
+
+def replayed(p: Column, pushes: list[list[float]]) -> Column:
+    rate = F.lit(1.0)
+    for push in pushes:
+        rate = stepped(rate, p, push)
+    return rate
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +210,6 @@ def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, domains = mix(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir))
-    each = [(F.get("p", F.lit(domains.index(d))) if d in domains else F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS]
-    return rows.select("doc_id", "tokens", *each, "rate", "copies")
+    rows, model, _ = mix_rates(table(spark, sf_dir, "documents"), labels_of(spark, sf_dir))
+    each = [(F.get("p", F.lit(model.domains.index(d))) if d in model.domains else F.lit(0.0)).alias(f"p_{d}") for d in DOMAINS]
+    return rows.select("doc_id", "tokens", *each, "rate", copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("copies"))
