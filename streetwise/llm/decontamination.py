@@ -71,14 +71,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # An empty word before the first one stands for the document itself.
     each = base.select("doc_id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word")).withColumn("key", key(F.col("word")))
     slices = max(1, -(-index.count() // SLICE))
-    low = lambda ws: F.transform(ws, lambda x: F.translate(x, UPPER, LOWER))
+    index = index.select("wid", "key", "off", F.size("win").alias("len"), key(F.element_at("win", 1)).alias("k1"), key(F.element_at("win", -1)).alias("k2"), F.array_join("win", " ").alias("said"))
+    index = cut(index)
     found = []
     for part in range(slices):
-        mine = F.broadcast(index.where(F.pmod("wid", F.lit(slices)) == part).withColumn("len", F.size("win")))
+        mine = F.broadcast(index.where(F.pmod("wid", F.lit(slices)) == part))
         joined = each.join(mine, "key", "left")
         start = F.col("pos") - 1 - F.col("off")
+        # No higher-order function here: the whole filter stays in generated code, so
+        # that no exploded row with its words is ever copied. Two words go first.
         fits = F.col("wid").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("w"))
-        hit = F.when(fits, low(F.slice("w", F.when(fits, start + 1).otherwise(1), F.coalesce("len", F.lit(1)))) == F.col("win")).otherwise(False)
+        ends = (key(F.get("w", start)) == F.col("k1")) & (key(F.get("w", start + F.col("len") - 1)) == F.col("k2"))
+        there = F.slice("w", F.greatest(start + 1, F.lit(1)), F.greatest(F.coalesce("len", F.lit(1)), F.lit(1)))
+        hit = F.when(fits, F.when(ends, F.translate(F.array_join(there, " "), UPPER, LOWER) == F.col("said")).otherwise(False)).otherwise(False)
         head = (F.col("pos") == 0) if part == 0 else F.lit(False)
         rows = joined.where(head | hit)
         found.append(rows.select("doc_id", "text_hash", F.when(head, 1).otherwise(0).alias("head"), F.size("w").cast("long").alias("n_words"), F.when(F.col("wid").isNotNull(), F.struct(start.alias("s"), "len")).alias("span"), "wid"))
