@@ -1 +1,243 @@
-"""Queries of the store, ingest, cache and spatial operators."""
+"""Queries of the tables, ingest, cache, perturbation and spatial operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import cache as ca
+from ..operators import diagnostics, perturb, spatial
+from ..operators import matching as m
+from ..operators import tables as tb
+from ..sources import ingest
+from . import oracle as o
+from .catalogue import query
+from .fixture import WITH, load
+
+
+def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    load(spark, sf_dir)
+    return spark.sql(f"{WITH} {sql}")
+
+
+# -- tables -------------------------------------------------------------------
+
+_KEY = "CAST(substring(address_detail_pid, 2, 9) AS INT)"
+_OLD = f"SELECT address_detail_pid, street_name, street_type, postcode, 'core' AS source FROM addr WHERE {_KEY} % 3 <> 0"
+_NEW = f"SELECT address_detail_pid, street_name, 'LANE' AS street_type, postcode + 1 AS postcode, 'new' AS source FROM addr WHERE {_KEY} % 2 = 0"
+
+
+@query("insert_ignore", f"SELECT * FROM ({_OLD}) UNION ALL SELECT * FROM ({_NEW}) WHERE address_detail_pid NOT IN (SELECT address_detail_pid FROM ({_OLD}))")
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.insert_ignore(_sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW), "address_detail_pid")
+
+
+@query("upsert", f"SELECT coalesce(a.address_detail_pid, b.address_detail_pid) AS address_detail_pid, CASE WHEN b.address_detail_pid IS NOT NULL THEN b.street_name ELSE a.street_name END AS street_name, CASE WHEN b.address_detail_pid IS NOT NULL THEN b.street_type ELSE a.street_type END AS street_type, CASE WHEN b.address_detail_pid IS NOT NULL THEN b.postcode ELSE a.postcode END AS postcode, coalesce(a.source, b.source) AS source FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.address_detail_pid = b.address_detail_pid")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.upsert(_sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW))
+
+
+@query("delete_by_pid", f"SELECT address_detail_pid FROM ({_OLD}) WHERE address_detail_pid NOT IN (SELECT address_detail_pid FROM ({_NEW}))")
+def delete_by_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.delete_keys(_sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW)).select("address_detail_pid")
+
+
+@query("predicate_delete", "SELECT address_detail_pid, alias_type FROM addr WHERE alias_type IS NULL OR alias_type <> 'LOCALITY:SYN'")
+def predicate_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return tb.delete_where(addr, F.col("alias_type") == "LOCALITY:SYN").select("address_detail_pid", "alias_type")
+
+
+@query("locality_index", o.INDEX)
+def locality_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.locality_index(*load(spark, sf_dir, "addr", "cust"))
+
+
+_ALIASES = """SELECT 'SO_' || md5(coalesce(street_name, '') || '|' || coalesce(street_type, '') || '||' || coalesce(locality_name, '') || '|' || coalesce(state, '') || '|' || coalesce(CAST(postcode AS VARCHAR), '')) AS address_detail_pid,
+  concat_ws(' ', street_name, street_type) || ', ' || concat_ws(' ', locality_name, state, CAST(postcode AS VARCHAR)) AS address_label, street_name, street_type, locality_name, state, postcode, 'street_only' AS alias_type, CAST(NULL AS INT) AS number_first, CAST(NULL AS INT) AS number_last, CAST(NULL AS VARCHAR) AS flat_number
+FROM (SELECT DISTINCT street_name, street_type, locality_name, state, postcode FROM addr WHERE alias_type IS NULL AND street_name IS NOT NULL AND locality_name IS NOT NULL AND postcode IS NOT NULL AND state IS NOT NULL)"""
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return tb.street_aliases(tb.aligned(addr.withColumn("source", F.lit("gnaf")), tb.ADDRESS))
+
+
+@query("street_aliases", f"SELECT address_detail_pid, address_label, alias_type FROM ({_ALIASES})")
+def street_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aliases(spark, sf_dir).select("address_detail_pid", "address_label", "alias_type")
+
+
+@query("match_street_only", f", so AS ({_ALIASES}) {o.path('inp', 'so', 'g.postcode = i.in_postcode', gate=False)}")
+def match_street_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (inp,) = load(spark, sf_dir, "inp")
+    out = m.street_only_path(m.inputs_of(inp), m.candidates_of(_aliases(spark, sf_dir)))
+    return out.select("input_id", "address_detail_pid", *[f"score_{p}" for p in ("postcode", "suburb", "street_name", "street_type", "number", "flat")], "total_score", "match_rank")
+
+
+@query("alias_frequency", "SELECT alias_type, count(*) AS n FROM addr GROUP BY alias_type")
+def alias_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return addr.groupBy("alias_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+
+
+@query("table_status", "SELECT 'addresses' AS table_name, count(*) AS row_count FROM addr UNION ALL SELECT 'custom_addresses', count(*) FROM cust UNION ALL SELECT 'missing', NULL")
+def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    addr, cust = load(spark, sf_dir, "addr", "cust")
+    return tb.status({"addresses": addr, "custom_addresses": cust, "missing": None})
+
+
+@query("custom_rows", "SELECT upper(trim(' ' || lower(street_name))) AS street_name, number_first, postcode, 'custom' AS source, CAST(NULL AS VARCHAR) AS alias_type FROM cust")
+def custom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    addr, cust = load(spark, sf_dir, "addr", "cust")
+    rows = cust.select(F.concat(F.lit(" "), F.lower("street_name")).alias("street_name"), "street_type", "locality_name", "state", "postcode", "number_first")
+    return tb.custom_rows(rows, addr).select("street_name", "number_first", "postcode", "source", "alias_type")
+
+
+@query("sample_rows")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return tb.sample_rows(addr, 10, seed=7)
+
+
+@query("perturb_sample")
+def perturb_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return perturb.perturb_sample(addr, 50, seed=7).select("address_detail_pid", "address_label", "simulated_address", "perturbations")
+
+
+@query("text_diagnostics")
+def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp, addr = load(spark, sf_dir, "inp", "addr")
+    found = m.attach(inp.select("input_id", "input_raw", *[c for c in inp.columns if c.startswith("in_")]), m.postcode_path(m.inputs_of(inp), m.candidates_of(addr)))
+    return diagnostics.add_text_diagnostics(found).select("input_id", "address_label", "text_jw", "text_jaccard", "text_similarity")
+
+
+# -- full pipeline ------------------------------------------------------------
+
+@query("match_full_pipeline")
+def match_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp, addr, cust = load(spark, sf_dir, "inp", "addr", "cust")
+    parsed = m.inputs_of(inp).withColumn("input_raw", F.lit(None).cast("string"))
+    out = m.match_parsed(parsed, addr, cust, m.locality_index(addr, cust), m.Settings())
+    return out.select("input_id", "address_detail_pid", "total_score", "match_rank", "matched", "match_status")
+
+
+# -- cache --------------------------------------------------------------------
+
+_CACHE = "SELECT 'k' || CAST(event_id % 500 AS VARCHAR(20)) AS input_standardised, 'A' || lpad(CAST(event_id % 700 AS VARCHAR(20)), 9, '0') AS address_detail_pid, CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events WHERE event_id < 500"
+_EVENTS = "SELECT CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events"
+
+
+@query("cache_status", f"SELECT count(*) AS cached_rows, min(cached_at) AS oldest, max(cached_at) AS newest FROM ({_EVENTS})")
+def cache_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.status(_sql(spark, sf_dir, _EVENTS))
+
+
+def _history(by: str, bucket: str) -> None:
+    @query(f"cache_history_{by}", f"SELECT {bucket} AS bucket, count(*) AS entries, min(total_score) AS min_score, round(avg(total_score), 6) AS avg_score, max(total_score) AS max_score FROM ({_EVENTS}) GROUP BY 1")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return ca.history(_sql(spark, sf_dir, _EVENTS), by)
+
+
+_history("day", "CAST(cached_at AS DATE)")
+_history("hour", "date_trunc('hour', cached_at)")
+
+
+@query("cache_window", f"SELECT total_score, cached_at FROM ({_EVENTS}) WHERE cached_at >= TIMESTAMP '2024-01-03 00:00:00' AND cached_at <= TIMESTAMP '2024-01-05 12:00:00'")
+def cache_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _EVENTS).where(ca.window(since="2024-01-03 00:00:00", until="2024-01-05 12:00:00"))
+
+
+@query("cache_rollback", f"SELECT total_score, cached_at FROM ({_EVENTS}) WHERE cached_at < TIMESTAMP '2024-01-05 00:00:00'")
+def cache_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.delete_where(_sql(spark, sf_dir, _EVENTS), ca.window(since="2024-01-05 00:00:00"))
+
+
+@query("cache_probe", f"SELECT i.input_id, c.address_detail_pid, c.total_score FROM (SELECT input_id, 'k' || CAST(input_id % 600 AS VARCHAR) AS input_standardised FROM inp) i JOIN ({_CACHE}) c ON c.input_standardised = i.input_standardised JOIN addr g ON g.address_detail_pid = c.address_detail_pid")
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp, addr = load(spark, sf_dir, "inp", "addr")
+    parsed = inp.select("input_id", F.concat(F.lit("k"), (F.col("input_id") % 600).cast("string")).alias("input_standardised"))
+    cached = tb.aligned(_sql(spark, sf_dir, _CACHE), tb.CACHE)
+    return ca.probe(parsed, cached, m.candidates_of(addr)).select("input_id", "address_detail_pid", "total_score")
+
+
+@query("cache_store", f"SELECT input_id, address_detail_pid, total_score FROM ({o.path('inp', 'addr', 'g.postcode = i.in_postcode')}) WHERE total_score >= 95")
+def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp, addr = load(spark, sf_dir, "inp", "addr")
+    found = m.postcode_path(m.inputs_of(inp), m.candidates_of(addr)).withColumn("input_standardised", F.col("input_id").cast("string"))
+    empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in tb.CACHE.items()))
+    return ca.store(empty, found).select(F.col("input_standardised").cast("int").alias("input_id"), "address_detail_pid", "total_score")
+
+
+# -- ingest -------------------------------------------------------------------
+
+#: The set's tables, from the driver's: details from customers, streets from parts, localities from nations.
+_SET = {
+    "ADDRESS_DETAIL": "SELECT 'D' || CAST(c_custkey AS VARCHAR(20)) AS ADDRESS_DETAIL_PID, 'S' || CAST(c_custkey % 50 AS VARCHAR(20)) AS STREET_LOCALITY_PID, 'L' || CAST(c_nationkey AS VARCHAR(20)) AS LOCALITY_PID, CASE WHEN c_custkey % 9 = 0 THEN 'TOWER' END AS BUILDING_NAME, CASE WHEN c_custkey % 5 = 0 THEN 'UNIT' END AS FLAT_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS FLAT_NUMBER_PREFIX, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 9 AS VARCHAR(20)) END AS FLAT_NUMBER, CASE WHEN c_custkey % 10 = 0 THEN 'B' END AS FLAT_NUMBER_SUFFIX, CAST(NULL AS VARCHAR(20)) AS LEVEL_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS LEVEL_NUMBER, CAST(NULL AS VARCHAR(20)) AS NUMBER_FIRST_PREFIX, CASE WHEN c_custkey % 31 <> 0 THEN CAST(c_custkey % 99 AS VARCHAR(20)) END AS NUMBER_FIRST, CASE WHEN c_custkey % 7 = 0 THEN 'A' END AS NUMBER_FIRST_SUFFIX, CAST(NULL AS VARCHAR(20)) AS NUMBER_LAST_PREFIX, CASE WHEN c_custkey % 13 = 0 THEN CAST(c_custkey % 99 + 4 AS VARCHAR(20)) END AS NUMBER_LAST, CAST(NULL AS VARCHAR(20)) AS NUMBER_LAST_SUFFIX, CAST(NULL AS VARCHAR(20)) AS LOT_NUMBER, CAST(4000 + c_nationkey AS VARCHAR(20)) AS POSTCODE, CASE WHEN c_custkey % 4 = 1 THEN 'A' ELSE 'P' END AS ALIAS_PRINCIPAL, CASE WHEN c_custkey % 17 = 0 THEN '2020-01-01' END AS DATE_RETIRED FROM customer",
+    "ADDRESS_DEFAULT_GEOCODE": "SELECT 'D' || CAST(c_custkey AS VARCHAR(20)) AS ADDRESS_DETAIL_PID, CAST(150 + c_custkey % 7 AS VARCHAR(20)) AS LONGITUDE, CAST(-20 - c_custkey % 5 AS VARCHAR(20)) AS LATITUDE, CASE WHEN c_custkey % 19 = 0 THEN '2020-01-01' ELSE '' END AS DATE_RETIRED FROM customer",
+    "STREET_LOCALITY": "SELECT 'S' || CAST(p_partkey AS VARCHAR(20)) AS STREET_LOCALITY_PID, upper(p_name) AS STREET_NAME, CASE p_partkey % 3 WHEN 0 THEN 'ST' WHEN 1 THEN 'AV' ELSE 'ROAD' END AS STREET_TYPE_CODE, CASE WHEN p_partkey % 11 = 0 THEN 'NORTH' END AS STREET_SUFFIX_CODE, CASE WHEN p_partkey % 23 = 0 THEN '2020-01-01' END AS DATE_RETIRED FROM part",
+    "LOCALITY": "SELECT 'L' || CAST(n_nationkey AS VARCHAR(20)) AS LOCALITY_PID, upper(n_name) AS LOCALITY_NAME, CAST(NULL AS VARCHAR(20)) AS DATE_RETIRED FROM nation",
+    "ADDRESS_ALIAS": "SELECT 'D' || CAST(c_custkey AS VARCHAR(20)) AS ALIAS_PID, CASE WHEN c_custkey % 8 = 1 THEN 'SYN' ELSE 'RA' END AS ALIAS_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS DATE_RETIRED FROM customer WHERE c_custkey % 8 = 1",
+    "LOCALITY_ALIAS": "SELECT 'LA' || CAST(n_nationkey AS VARCHAR(20)) AS LOCALITY_ALIAS_PID, 'L' || CAST(n_nationkey AS VARCHAR(20)) AS LOCALITY_PID, 'OLD ' || upper(n_name) AS NAME, CASE WHEN n_nationkey % 2 = 0 THEN '4999' END AS POSTCODE, 'SYN' AS ALIAS_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS DATE_RETIRED FROM nation WHERE n_nationkey % 3 = 0",
+    "STREET_LOCALITY_ALIAS": "SELECT 'SA' || CAST(p_partkey AS VARCHAR(20)) AS STREET_LOCALITY_ALIAS_PID, 'S' || CAST(p_partkey AS VARCHAR(20)) AS STREET_LOCALITY_PID, 'OLD ' || upper(p_name) AS STREET_NAME, 'CL' AS STREET_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS STREET_SUFFIX_CODE, 'SYN' AS ALIAS_TYPE_CODE, CAST(NULL AS VARCHAR(20)) AS DATE_RETIRED FROM part WHERE p_partkey % 4 = 0",
+}
+_LIVE = "(DATE_RETIRED IS NULL OR DATE_RETIRED = '')"
+_TYPE = "CASE {k} WHEN 'ST' THEN 'STREET' WHEN 'AV' THEN 'AVENUE' WHEN 'CL' THEN 'CLOSE' ELSE {k} END"
+_BASE = f"""SELECT d.*, s.STREET_NAME, s.STREET_TYPE_CODE, s.STREET_SUFFIX_CODE, l.LOCALITY_NAME, g.LONGITUDE, g.LATITUDE FROM (SELECT * FROM ({_SET["ADDRESS_DETAIL"]}) WHERE {_LIVE}) d
+  JOIN (SELECT * FROM ({_SET["STREET_LOCALITY"]}) WHERE {_LIVE}) s USING (STREET_LOCALITY_PID) JOIN ({_SET["LOCALITY"]}) l USING (LOCALITY_PID)
+  LEFT JOIN (SELECT * FROM ({_SET["ADDRESS_DEFAULT_GEOCODE"]}) WHERE {_LIVE}) g USING (ADDRESS_DETAIL_PID)"""
+
+
+def _psv_sql(pid: str, street: str, kind: str, suffix: str, locality: str, code: str, alias: str, rows: str) -> str:
+    kind = _TYPE.format(k=kind)
+    return f"""SELECT {pid} AS address_detail_pid, trim(coalesce(BUILDING_NAME || ' ', '') || CASE WHEN FLAT_NUMBER IS NOT NULL THEN coalesce(FLAT_TYPE_CODE || ' ', '') || FLAT_NUMBER || coalesce(FLAT_NUMBER_SUFFIX, '') || ' ' ELSE '' END
+    || NUMBER_FIRST || coalesce(NUMBER_FIRST_SUFFIX, '') || CASE WHEN NUMBER_LAST IS NOT NULL THEN '-' || NUMBER_LAST ELSE '' END || ' ' || {street} || coalesce(' ' || {kind}, '') || coalesce(' ' || {suffix}, '') || ', ' || {locality} || ' QLD ' || {code}) AS address_label,
+  {street} AS street_name, {kind} AS street_type, {locality} AS locality_name, CAST({code} AS INT) AS postcode, FLAT_NUMBER || coalesce(FLAT_NUMBER_SUFFIX, '') AS flat_number, CAST(LONGITUDE AS DOUBLE) AS longitude, {alias} AS alias_type FROM {rows}"""
+
+
+_PSV = {
+    "psv_standard": (ingest.standard_records, _psv_sql("ADDRESS_DETAIL_PID", "STREET_NAME", "STREET_TYPE_CODE", "STREET_SUFFIX_CODE", "LOCALITY_NAME", "POSTCODE", "CASE WHEN ALIAS_PRINCIPAL = 'A' THEN 'ADDRESS:' || coalesce(c, 'ALIAS') END", f"({_BASE}) LEFT JOIN (SELECT ALIAS_PID AS ADDRESS_DETAIL_PID, max(ALIAS_TYPE_CODE) AS c FROM ({_SET['ADDRESS_ALIAS']}) GROUP BY 1) USING (ADDRESS_DETAIL_PID)")),
+    "psv_locality_alias": (ingest.locality_alias_records, _psv_sql("ADDRESS_DETAIL_PID || '_LA' || LOCALITY_ALIAS_PID", "STREET_NAME", "STREET_TYPE_CODE", "STREET_SUFFIX_CODE", "b.NAME", "coalesce(b.POSTCODE, a.POSTCODE)", "'LOCALITY:' || ALIAS_TYPE_CODE", f"(SELECT * FROM ({_BASE}) WHERE ALIAS_PRINCIPAL = 'P') a JOIN ({_SET['LOCALITY_ALIAS']}) b USING (LOCALITY_PID)")),
+    "psv_street_alias": (ingest.street_alias_records, _psv_sql("ADDRESS_DETAIL_PID || '_SA' || STREET_LOCALITY_ALIAS_PID", "b.STREET_NAME", "b.STREET_TYPE_CODE", "b.STREET_SUFFIX_CODE", "LOCALITY_NAME", "POSTCODE", "'STREET:' || ALIAS_TYPE_CODE", f"(SELECT * FROM ({_BASE}) WHERE ALIAS_PRINCIPAL = 'P') a JOIN ({_SET['STREET_LOCALITY_ALIAS']}) b USING (STREET_LOCALITY_PID)")),
+}
+
+
+def _psv(name: str, records, sql: str) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = {k: _sql(spark, sf_dir, v) for k, v in _SET.items()}
+        return records(t, "QLD").select("address_detail_pid", "address_label", "street_name", "street_type", "locality_name", "postcode", "flat_number", "longitude", "alias_type")
+
+
+for _name, _parts in _PSV.items():
+    _psv(_name, *_parts)
+
+
+# -- spatial ------------------------------------------------------------------
+
+_POINTS = f"SELECT {_KEY} AS id, CASE WHEN {_KEY} % 50 <> 0 THEN CAST({_KEY} % 97 AS DOUBLE) / 8 END AS longitude, CAST({_KEY} % 89 AS DOUBLE) / 8 AS latitude FROM addr"
+#: Axis-aligned boxes: they overlap, share edges, and leave gaps.
+_BOXES = [(0, 0, 4, 4, "a"), (4, 0, 8, 4, "b"), (2, 2, 6, 6, "c"), (8, 8, 12, 10, "d")]
+_BOX_SQL = "(VALUES " + ", ".join(f"({i}, {a}, {b}, {c}, {d}, '{n}')" for i, (a, b, c, d, n) in enumerate(_BOXES)) + ") AS t(i, x0, y0, x1, y1, zone)"
+_HITS = f"SELECT id, i, zone FROM ({_POINTS}) JOIN {_BOX_SQL} ON longitude BETWEEN x0 AND x1 AND latitude BETWEEN y0 AND y1"
+
+
+def _boxes(spark: SparkSession) -> DataFrame:
+    rows = [(i, [[(float(x), float(y)) for x, y in ((a, b), (c, b), (c, d), (a, d))]], n) for i, (a, b, c, d, n) in enumerate(_BOXES)]
+    return spark.createDataFrame(rows, f"poly_idx int, rings {spatial.RINGS}, zone string")
+
+
+@query("spatial_first", f"SELECT id, zone FROM ({_POINTS}) LEFT JOIN (SELECT id, arg_min(zone, i) AS zone FROM ({_HITS}) GROUP BY id) USING (id)")
+def spatial_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.spatial_lookup(_sql(spark, sf_dir, _POINTS), _boxes(spark)).select("id", "zone")
+
+
+@query("spatial_all", f"SELECT id, zone FROM ({_POINTS}) LEFT JOIN ({_HITS}) USING (id)")
+def spatial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.spatial_lookup(_sql(spark, sf_dir, _POINTS), _boxes(spark), multiple="all").select("id", "zone")
+
+
+@query("density_grid", f"SELECT least(CAST(floor(longitude / 1.25) AS BIGINT), 9) AS gx, least(CAST(floor(latitude / 1.25) AS BIGINT), 9) AS gy, count(*) AS n FROM ({_POINTS}) WHERE longitude BETWEEN 0 AND 12.5 AND latitude BETWEEN 0 AND 12.5 GROUP BY 1, 2")
+def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.density_grid(_sql(spark, sf_dir, _POINTS), 10, bounds=(0.0, 0.0, 12.5, 12.5))
