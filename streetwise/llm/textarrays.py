@@ -58,30 +58,38 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """For the texts between the offsets: a 64-bit hash of each word and the words'
-    bounds by text. Bytes are folded first (by default A-Z lower-cased), then split
-    where ``blank`` (by default at ASCII white space)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts between the offsets: a 64-bit hash of each word, its start (from the
+    first offset) and length in bytes, and the words' bounds by text. Bytes are folded
+    first (by default A-Z lower-cased), then split where ``blank`` (by default at ASCII
+    white space)."""
     low, high = int(offsets[0]), int(offsets[-1])
     data = fold[raw[low:high]]
     at = offsets - low
     n = len(data)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, _U), none, none, np.zeros(len(offsets), np.int64)
     inside = ~blank[data]
     opens = np.zeros(n + 1, dtype=bool)
     opens[at[at < n]] = True
     before = np.concatenate(([False], inside[:-1])) & ~opens[:n]
     start = np.flatnonzero(inside & ~before)
     if not len(start):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, _U), none, none, np.zeros(len(offsets), np.int64)
     body = np.flatnonzero(inside)
-    word = np.cumsum((inside & ~before)[body]) - 1
-    place = body - start[word]
-    value = (data[body].astype(_U) + _U(1)) * _powers(int(place.max()) + 1)[place]
-    first = np.flatnonzero(place == 0)
-    hashes = mix(np.add.reduceat(value, first) + np.diff(np.append(first, len(body))).astype(_U))
-    return hashes, np.searchsorted(start, at)
+    first = np.searchsorted(body, start)
+    length = np.diff(np.append(first, len(body)))
+    place = np.arange(len(body)) - np.repeat(first, length)
+    value = (data[body].astype(_U) + _U(1)) * _powers(int(length.max()))[place]
+    hashes = mix(np.add.reduceat(value, first) + length.astype(_U))
+    return hashes, start, length, np.searchsorted(start, at)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and bounds of word_spans()."""
+    hashes, _, _, at = word_spans(raw, offsets, fold, blank)
+    return hashes, at
 
 
 def pair_shingles(hashes: np.ndarray) -> np.ndarray:

@@ -10,8 +10,11 @@ can lie in any store that Spark writes.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from .textarrays import chunks, utf8
+from .textarrays import chunks, utf8, word_spans
 
 MAGIC = b"DAC8"
 EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
 #: Words kept in each of the two generations of a worker's memory.
-WORDS = 250_000
+WORDS = 300_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -84,39 +87,79 @@ def token_at(payload: bytes, i: int) -> int:
     raise IndexError(i)
 
 
+_SAME = np.arange(256, dtype=np.uint8)
+#: Words whose characters are their own NFC form and lower-case one by one.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+#: The steps before the model for which words can be handled on their own.
+_STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character for each byte in a byte-level vocabulary: itself where it prints,
+    else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that the ids of a text
     are those of its words at ASCII white space, one after the other. Each different
-    word is encoded once while it stays in memory."""
+    word is encoded once while it stays in memory. A plain word skips the library's
+    normaliser: its pieces, by the tokenizer's own pattern, go straight to the model."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        config = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in config["normalizer"]["normalizers"]], [x["type"] for x in config["pre_tokenizer"]["pretokenizers"]]]
+        if steps != _STEPS:
+            raise ValueError("the tokenizer doesn't work word by word")
+        self.model = self.tokenizer.model
+        self.pieces = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letters = _byte_letters()
+        self.special = [x["content"] for x in config["added_tokens"]]
+        self.known: dict[str, bytes] = {}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        missing = []
-        for w in words - self.new.keys():
-            if (known := self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                self.new[w] = known
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.new.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
+    def word(self, raw: bytes) -> bytes:
+        """The ids of a word as little-endian 32-bit integers."""
+        text = raw.decode()
+        if not raw.isalpha():  # of bytes: ASCII letters alone
+            if not _PLAIN.fullmatch(text) or ("<" in text and any(x[:2] in text for x in self.special)):
+                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return b"".join([self.piece(p) for p in self.pieces(text.lower())])
+        return self.piece(text.lower())
+
+    def piece(self, text: str) -> bytes:
+        if (ids := self.known.get(text)) is None:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = self.known[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts between the offsets, one text after the other, and each one's count."""
+        hashes, start, length, at = word_spans(raw, offsets, _SAME)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        data, get, found = raw[offsets[0] : offsets[-1]].tobytes(), self.new.get, []
+        for i, n in zip(start[first].tolist(), length[first].tolist(), strict=True):
+            word = data[i : i + n]
+            if (ids := get(word)) is None:
+                ids = self.new[word] = self.old.get(word) or self.word(word)
+            found.append(ids)
         if len(self.new) > WORDS:
             self.old, self.new = self.new, {}
-        return out
+        size = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        flat, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.concatenate(([0], np.cumsum(size)))
+        count = size[which]
+        total = np.concatenate(([0], np.cumsum(count)))
+        place = np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])
+        return flat[place], np.diff(total[at])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -128,14 +171,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     have the end id alone. Other columns are ignored; an empty table gives no blocks."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordEncoder(tokenizer))
         part, block, ids, ends, found, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(found), dtype="<u4")
+            data = np.concatenate(found)
             arrays = [pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([pack(data)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "n_ids", "doc_ids", "ends", "codes"])
 
@@ -143,15 +184,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
             keys = batch.column(0).to_pylist()
             raw, offsets = utf8(batch.column(1))
             for first, last in chunks(offsets):
-                texts = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
-                for key, data in zip(keys[first:last], encoder.encode(texts), strict=True):
-                    found.append(data + end)
-                    n += len(data) // 4 + 1
-                    ids.append(key)
-                    ends.append(n)
-                    if n >= BLOCK_IDS:
-                        yield row()
-                        block, ids, ends, found, n = block + 1, [], [], [], 0
+                data, count = encoder.encode(raw, offsets[first : last + 1])
+                stop = np.cumsum(count)
+                found.append(np.insert(data, stop, end_id).astype("<u4"))
+                ends += (stop + np.arange(1, len(stop) + 1) + n).tolist()
+                ids += keys[first:last]
+                n += len(found[-1])
+                if n >= BLOCK_IDS:  # a run of texts is never split, so neither is a document
+                    yield row()
+                    block, ids, ends, found, n = block + 1, [], [], [], 0
         if ids:
             yield row()
 
