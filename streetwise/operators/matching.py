@@ -200,21 +200,25 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
     s = settings
     weights = check_weights(s.weights)
     parsed = parsed.persist()
-    inputs = inputs_of(parsed).join(parsed.select("input_id", "input_raw"), "input_id") if "input_raw" in parsed.columns else inputs_of(parsed)
+    inputs = parsed.select(*[F.col(c) for c in [*INPUT, "input_raw"] if c in parsed.columns])
     small = parsed.count() <= SMALL_INPUTS
-    tables = [candidates_of(core)] + ([candidates_of(custom)] if s.include_custom and custom is not None else [])
+    addresses = candidates_of(core)
+    if s.include_custom and custom is not None:
+        addresses = addresses.unionByName(candidates_of(custom))
     held = [parsed]
 
-    def run(name: str, path, rows: DataFrame, *more, **kw) -> DataFrame:
-        out = combine([path(rows, t, *more, **kw) for t in (tables if name != "street" else tables[:1])], s.max_results).persist()
+    def run(name: str, found: DataFrame) -> DataFrame:
+        # Both tables are one relation here: its best k are those of the tables' best k.
+        out = best(found, s.max_results, dedupe=True).persist()
         log.info("%s path: %d rows", name, out.count())
         held.append(out)
         return out
 
-    common = {"max_results": s.max_results, "min_score": s.min_score, "weights": weights, "small": small}
+    # A record may stand in both tables; twice the results leave enough after that.
+    common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small}
     aliased = common | {"alias_types": s.alias_types}
     ids = lambda df: df.select("input_id").distinct()
-    exact = run("exact", exact_path, inputs, weights=weights, alias_types=s.alias_types)
+    exact = run("exact", exact_path(inputs, addresses, weights, s.alias_types).drop("match_rank"))
     paths, rest = [exact], inputs.join(ids(exact), "input_id", "left_anti")
     if cached is not None:
         hits = cached.join(ids(exact), "input_id", "left_anti").persist()
@@ -223,17 +227,17 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
         rest = rest.join(ids(hits), "input_id", "left_anti")
     rest = rest.drop("input_raw")
     with_code, without = rest.where("in_postcode is not null"), rest.where("in_postcode is null")
-    by_code = run("postcode", postcode_path, with_code, **aliased)
-    by_state = run("state", state_path, without, **aliased)
+    by_code = run("postcode", postcode_path(with_code, addresses, **aliased))
+    by_state = run("state", state_path(without, addresses, **aliased))
     paths += [by_code, by_state]
     if s.locality_fallback:
         strong = by_code.groupBy("input_id").agg(F.max("total_score").alias("top")).where(F.col("top") > s.fallback_threshold)
         weak = with_code.join(ids(strong), "input_id", "left_anti").unionByName(without).where("in_locality is not null")
-        paths.append(run("locality", locality_path, weak, localities, **aliased))
+        paths.append(run("locality", locality_path(weak, addresses, localities, **aliased)))
     if s.street_only_fallback:
         done = paths[0].select("input_id")
         for p in paths[1:]:
             done = done.union(p.select("input_id"))
         open_inputs = rest.where("in_postcode is not null and in_street_name is not null").join(done.distinct(), "input_id", "left_anti")
-        paths.append(run("street", street_only_path, open_inputs, **common))
+        paths.append(run("street", street_only_path(open_inputs, candidates_of(core), **common)))
     return attach(parsed, combine(paths, s.max_results)).orderBy("input_id", F.desc("matched"), "match_rank")

@@ -115,9 +115,16 @@ def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- full pipeline ------------------------------------------------------------
 
-@query("match_full_pipeline")
+_CODE = o.path("(SELECT * FROM inp WHERE in_postcode IS NOT NULL)", "al", "g.postcode = i.in_postcode")
+_NO_CODE = o.path("(SELECT * FROM inp WHERE in_postcode IS NULL)", "al", "g.state = i.in_state")
+
+
+@query("match_full_pipeline", f""", al AS (SELECT * FROM addr UNION ALL SELECT * FROM cust), ix AS ({o.INDEX}), pr AS ({_CODE}), sr AS ({_NO_CODE}),
+weak AS (SELECT * FROM inp WHERE in_locality IS NOT NULL AND (in_postcode IS NULL OR input_id NOT IN (SELECT input_id FROM pr WHERE total_score > 90))), wide AS ({o.widened("weak", "ix")}),
+lr AS ({o.path("wide", "al", "g.postcode = i.alt_postcode")}), br AS ({o.best_of(["SELECT * FROM pr", "SELECT * FROM sr", "SELECT * FROM lr"], 1)})
+SELECT i.input_id, address_detail_pid, total_score, match_rank, address_detail_pid IS NOT NULL AS matched, CASE WHEN address_detail_pid IS NOT NULL THEN 'matched' WHEN i.in_street_name IS NULL OR (i.in_postcode IS NULL AND i.in_state IS NULL AND i.in_locality IS NULL) THEN 'insufficient_parse' ELSE 'no_candidate' END AS match_status FROM inp i LEFT JOIN br ON br.input_id = i.input_id""")
 def match_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inp, addr, cust = load(spark, sf_dir, "inp", "addr", "cust")
+    inp, addr, cust = (t.persist() for t in load(spark, sf_dir, "inp", "addr", "cust"))  # they stand for stored tables
     parsed = m.inputs_of(inp).withColumn("input_raw", F.lit(None).cast("string"))
     out = m.match_parsed(parsed, addr, cust, m.locality_index(addr, cust), m.Settings())
     return out.select("input_id", "address_detail_pid", "total_score", "match_rank", "matched", "match_status")
