@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,7 +146,9 @@ class WordEncoder:
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts between the offsets, one text after the other, and each one's count."""
         hashes, start, length, at = word_spans(raw, offsets, _SAME)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, different = pd.factorize(hashes)
+        first = np.zeros(len(different), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
         data, get, found = raw[offsets[0] : offsets[-1]].tobytes(), self.new.get, []
         for i, n in zip(start[first].tolist(), length[first].tolist(), strict=True):
             word = data[i : i + n]
