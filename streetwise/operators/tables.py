@@ -15,6 +15,8 @@ ADDRESS = {
     **dict.fromkeys("legal_parcel_id mb_code alias_principal principal_pid primary_secondary primary_pid geocode_type".split(), "string"),
 }
 CACHE = {"input_standardised": "string", "address_detail_pid": "string", "total_score": "int", **dict.fromkeys("score_postcode score_suburb score_street_name score_street_type score_number score_flat".split(), "int"), "cached_at": "timestamp"}
+#: Source of records that were loaded from files; others are custom.
+CORE = "core"
 LOCALITY = {"locality_name": "string", "postcode": "int", "state": "string"}
 REQUIRED = ["number_first", "street_name", "street_type", "locality_name", "state", "postcode"]
 _UPPER = "address_label building_name flat_type flat_number street_name street_type street_suffix locality_name state legal_parcel_id mb_code alias_principal principal_pid primary_secondary primary_pid geocode_type".split()
@@ -84,11 +86,11 @@ def street_aliases(addresses: DataFrame) -> DataFrame:
     """A record for each different street of core records, without numbers. Its id is a
     digest of its six parts."""
     parts = ["street_name", "street_type", "street_suffix", "locality_name", "state", "postcode"]
-    core = addresses.where("source = 'gnaf' and alias_type is null and street_name is not null and locality_name is not null and postcode is not null and state is not null")
+    core = addresses.where("source = 'core' and alias_type is null and street_name is not null and locality_name is not null and postcode is not null and state is not null")
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))
     label = F.concat(F.concat_ws(" ", *parts[:3]), F.lit(", "), F.concat_ws(" ", "locality_name", "state", F.col("postcode").cast("string")))
     out = core.select(*parts).distinct().withColumn("address_detail_pid", F.concat(F.lit("SO_"), digest)).withColumn("address_label", label)
-    return aligned(out.withColumn("source", F.lit("gnaf")).withColumn("alias_type", F.lit("street_only")), ADDRESS)
+    return aligned(out.withColumn("source", F.lit(CORE)).withColumn("alias_type", F.lit("street_only")), ADDRESS)
 
 
 def status(tables: dict[str, DataFrame | None]) -> DataFrame:

@@ -60,7 +60,7 @@ FROM (SELECT DISTINCT street_name, street_type, locality_name, state, postcode F
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     (addr,) = load(spark, sf_dir, "addr")
-    return tb.street_aliases(tb.aligned(addr.withColumn("source", F.lit("gnaf")), tb.ADDRESS))
+    return tb.street_aliases(tb.aligned(addr.withColumn("source", F.lit(tb.CORE)), tb.ADDRESS))
 
 
 @query("street_aliases", f"SELECT address_detail_pid, address_label, alias_type FROM ({_ALIASES})")

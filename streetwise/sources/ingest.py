@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..operators.tables import ADDRESS, aligned
+from ..operators.tables import CORE as SOURCE
 
 #: Columns of the core file, and those used of each table of the set. Fixed values.
 CORE = (
@@ -51,8 +52,8 @@ def core_addresses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = read_delimited(spark, paths)
     raw = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in CORE])
     out = raw.select(*[F.col(c).alias(c.lower()) for c in CORE])
-    out = out.withColumn("date_created", F.try_to_date("date_created", F.lit("dd-MM-yyyy"))).withColumn("street_type", tx.canonical(F.col("street_type")))
-    return aligned(out.withColumn("source", F.lit("gnaf")), ADDRESS)
+    out = out.withColumn("date_created", F.try_to_date("date_created", "dd-MM-yyyy")).withColumn("street_type", tx.canonical(F.col("street_type")))
+    return aligned(out.withColumn("source", F.lit(SOURCE)), ADDRESS)
 
 
 def _active(df: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def _record(state: str, pid: Column, text: Column, alias: Column, street="STREET
         F.col("LEVEL_TYPE_CODE").alias("level_type"), cast("LEVEL_NUMBER").cast("string").alias("level_number"), cast("NUMBER_FIRST").alias("number_first"), cast("NUMBER_LAST").alias("number_last"),
         F.col("LOT_NUMBER").alias("lot_number"), F.col(street).alias("street_name"), tx.canonical(F.col(kind)).alias("street_type"), F.col(suffix).alias("street_suffix"), F.col(locality).alias("locality_name"),
         F.lit(state).alias("state"), (cast("POSTCODE") if postcode is None else postcode).alias("postcode"), F.col("LONGITUDE").try_cast("double").alias("longitude"), F.col("LATITUDE").try_cast("double").alias("latitude"),
-        F.lit("gnaf").alias("source"), alias.alias("alias_type"),
+        F.lit(SOURCE).alias("source"), alias.alias("alias_type"),
     ]
 
 

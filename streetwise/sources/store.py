@@ -100,7 +100,7 @@ class AddressStore:
     # -- loading ------------------------------------------------------------
 
     def _load(self, rows: DataFrame, overwrite: bool) -> int:
-        clear = (lambda t: tables.delete_where(t, F.col("source") == "gnaf")) if overwrite else (lambda t: t)
+        clear = (lambda t: tables.delete_where(t, F.col("source") == tables.CORE)) if overwrite else (lambda t: t)
         _, after = self._change("addresses", lambda t: tables.insert_ignore(clear(t), rows, "address_detail_pid"))
         self.rebuild_locality_index()
         return after

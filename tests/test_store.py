@@ -34,12 +34,12 @@ def test_golden_scores_cache_and_changes(spark, tmp_path):
     inputs = spark.createDataFrame(list(enumerate([g[0] for g in GOLDEN], 1)), "input_id int, input_raw string")
     rows = store.match(inputs).collect()
     assert [(r["total_score"], r["match_status"]) for r in rows] == [g[1:] for g in GOLDEN]
-    assert store.cache_status().first()["cached_rows"] == 4  # 95, 100, 97 ... and the exact one
+    assert store.cache_status().first()["cached_rows"] == 3  # 95, 100 and 97
     again = store.match(inputs).collect()
     assert [r["total_score"] for r in again] == [r["total_score"] for r in rows]
     store.remove_custom(["CUSTOM_1"])
     assert store.table("custom_addresses").count() == 4
-    assert store.cache_clear(confirm=True) == 4
+    assert store.cache_clear(confirm=True) == 3
 
 
 def test_core_csv_is_loaded_once(spark, tmp_path):
