@@ -119,8 +119,12 @@ def near_postcodes(inputs: DataFrame, localities: DataFrame) -> DataFrame:
     input that has its name."""
     names = inputs.where("in_locality is not null").select("in_locality", "in_state").distinct()
     index = localities.where("locality_name is not null")
-    # Blocks by length and by state cut the pairs: 0.85 needs lengths within a factor of four.
-    like = names.join(F.broadcast(index), (F.col("in_state").isNull() | (F.col("in_state") == F.col("state"))) & (F.length("in_locality") <= 4 * F.length("locality_name")) & (F.length("locality_name") <= 4 * F.length("in_locality")))
+    index = F.broadcast(index) if index.count() <= SMALL_INPUTS else index
+    # 0.85 needs lengths within a factor of four. Names with a state meet its localities
+    # by an equi-join; only those without one meet all.
+    near = (F.length("in_locality") <= 4 * F.length("locality_name")) & (F.length("locality_name") <= 4 * F.length("in_locality"))
+    like = names.where("in_state is not null").join(index, (F.col("in_state") == F.col("state")) & near)
+    like = like.union(names.where("in_state is null").join(index, near))
     like = like.withColumn("jw", jw(F.col("in_locality"), F.col("locality_name"))).where(F.col("jw") >= LEAST_LOCALITY)
     like = like.select("in_locality", F.col("postcode").alias("alt_postcode")).where("alt_postcode is not null").distinct()
     by_name = inputs.select("input_id", "in_locality").join(like, "in_locality").select("input_id", "alt_postcode")
