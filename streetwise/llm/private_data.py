@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import cut, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: What each kind looks like. Quantifiers are possessive where no
@@ -116,13 +116,18 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = each.groupBy(*key).agg(F.min("context").alias("context")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("context").alias("c1"), F.max("context").alias("c2"))
     # Support: at least two different contexts. One alone can't tell a term from chance.
     pairs = pairs.where("n_et >= 2 and c1 <> c2") if support > 1 else pairs
-    pairs = cut(pairs.select("entity", "term", "n_et"))
-    terms = cut(pairs.select("term").distinct())
-    candidates = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    words = base.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).select(F.xxhash64("w").alias("term"))
-    in_docs = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(max(n_docs["n"], 1)))
     share = lambda joint, of: F.log(n * joint / (F.col("n_e") * of)) / F.log(n / F.col("n_e"))
+    # A term stands in at least as many documents as in contexts. Terms that are too
+    # common by that count alone can't disclose: the corpus is searched for the rest.
+    in_contexts = each.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
+    pairs = pairs.join(in_contexts, "term").join(entities, "entity").where(F.col("n_e") < n).where(share(F.col("n_et"), F.greatest("n_c", "n_et")) >= alpha)
+    pairs = cut(pairs.select("entity", "term", "n_et"))
+    terms = pairs.select("term").distinct()
+    words = base.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).select(F.xxhash64("w").alias("term"))
+    # Counted before the join: no common word meets in one task, and the join's rows
+    # are terms, not their occurrences.
+    in_docs = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     disclosed = pairs.join(in_docs, "term").join(entities, "entity").where(F.col("n_e") < n)
     disclosed = disclosed.where(share(F.col("n_et"), F.greatest("n_t", "n_et")) >= alpha).select("entity", "term")
     by_class = each.groupBy("doc_id", "text_hash", "entity", "class").agg(F.lit(1).alias("one")).groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
