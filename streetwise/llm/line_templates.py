@@ -23,12 +23,12 @@ AGREE = 0.5
 WILD = "<*>"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc (hash of the row), pos, line (wildcards put in), leaf; short lines are left out."""
+def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """doc (hash of the row), pos, line (wildcards put in), leaf; lines under ``min_tokens`` are left out."""
     each = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", WILD)).otherwise(F.col("raw"))
     each = each.select("doc", "pos", masked.alias("line"))
-    each = each.withColumn("tokens", F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).where(F.size("tokens") >= MIN_TOKENS)
+    each = each.withColumn("tokens", F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).where(F.size("tokens") >= min_tokens)
     return each.select("doc", "pos", F.array_join("tokens", " ").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
@@ -36,9 +36,9 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc, pos of the lines to drop; ``docs`` has doc (long) and text."""
-    lines = _lines(docs)
+    lines = _lines(docs, min_tokens)
     seen = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = cut(seen.where(F.col("n") >= min_docs).select("leaf"))
     lines = cut(lines.join(_few(leaves), "leaf", "left_semi").select("leaf", "doc", "pos", F.xxhash64("line").alias("own"), "line"))
@@ -55,15 +55,16 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return of.join(counts, "template", "left_semi").select("doc", "pos")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Returns doc_id, n_lines, n_dropped, text (the lines left) for each row of ``docs``.
 
-    Lines of fewer than MIN_TOKENS tokens always stay. Rows with equal id and text
+    Lines of fewer than ``min_tokens`` tokens always stay; with 1, all lines with a
+    token are judged, and those of DEPTH tokens or fewer are a leaf each. Rows with equal id and text
     count as one document. A null text stays null, with no lines; an empty one has one
     empty line. Other columns are ignored; an empty table gives no rows."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("doc", F.xxhash64("doc_id", "text"))
-    drop = recurring_lines(base.select("doc", F.coalesce("text", F.lit("")).alias("text")), min_docs)
+    drop = recurring_lines(base.select("doc", F.coalesce("text", F.lit("")).alias("text")), min_docs, min_tokens)
     per_doc = drop.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     lines = F.split("text", "\n")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
@@ -75,7 +76,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(table(spark, sf_dir, "documents"), min_tokens=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("left_sha256"))
 
 

@@ -130,6 +130,15 @@ def test_line_templates(spark):
     assert (got[20]["text"], got[20]["n_lines"], got[21]["text"], got[21]["n_lines"]) == (None, 0, "", 1)
 
 
+def test_short_recurring_lines_go_in_the_query(spark, tmp_path):
+    rows = [(i, f"All rights reserved.\nLes.\n\nonly {chr(97 + i)}{chr(98 + i)}\n{'Two docs' if i < 2 else 'x'}") for i in range(4)] + [(9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in line_templates.op4_template_tree(spark, str(tmp_path)).collect()}
+    left = lambda i: f"\nonly {chr(97 + i)}{chr(98 + i)}" + ("\nTwo docs" if i < 2 else "\nx")
+    assert [(got[i]["n_lines"], got[i]["n_dropped"], got[i]["n_chars_left"]) for i in range(4)] == [(5, 2, len(left(i))) for i in range(4)]
+    assert (got[9]["n_lines"], got[9]["n_dropped"], got[9]["n_chars_left"]) == (0, 0, None)
+
+
 def test_language_held_out(spark, docs):
     model = language.fit(language.learnable(docs))
     got = docs.select("doc_id", "lang", "text", language.predicted(model).alias("f")).collect()
