@@ -1,19 +1,24 @@
 """Operator 4: line deduplication by a log-template tree.
 
 A line goes down a tree of fixed depth: count of tokens, then its first DEPTH
-tokens, where a token with a digit is already a wildcard. In a leaf, a place is
-constant if one token has it in more than half of the leaf's different lines;
-lines that agree in all constant places, at least half of their tokens, share the
-leaf's template, any other line is a template of its own. Templates that at least
-MIN_DOCS documents have are dropped.
-
-All of it is group-wise counts and equi-joins on hashes; only places of dropped
-lines return to the documents.
+tokens, where a token with a digit is already a wildcard. In a leaf, the different
+lines come in order of their text; each joins the template whose constants agree
+with it in most places, if these are at least AGREE of its tokens, and the places
+that disagree become variable; otherwise it begins a template. Templates that at
+least MIN_DOCS documents have are dropped.
+
+Documents meet only in group-wise counts and equi-joins on hashes, and a leaf's
+different lines in one pass over sorted rows; only places of dropped lines return
+to the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, table
@@ -32,6 +37,49 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     return each.select("doc", "pos", F.array_join("tokens", " ").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
+class _Leaf:
+    """Templates of one leaf: constants as numbers of tokens, -1 where variable."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.fixed = np.zeros((0, 0), dtype=np.int32)
+        self.n = 0
+
+    def join(self, line: str) -> int:
+        words = line.split(" ")
+        row = np.array([self.number.setdefault(w, len(self.number)) for w in words], dtype=np.int32)
+        if self.n:
+            same = (self.fixed[: self.n] == row).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= AGREE * len(row):
+                self.fixed[best][self.fixed[best] != row] = -1
+                return best
+        if self.n == len(self.fixed):
+            more = np.full((max(2 * self.n, 1), len(row)), -1, dtype=np.int32)
+            more[: self.n] = self.fixed[: self.n].reshape(self.n, len(row))
+            self.fixed = more
+        self.fixed[self.n] = row
+        self.n += 1
+        return self.n - 1
+
+
+def _templates(different: DataFrame) -> DataFrame:
+    """leaf, own, template of the different lines of each leaf."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaf = None, _Leaf()
+        for batch in batches:
+            found = []
+            for key, line in zip(batch["leaf"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if key != at:
+                    at, leaf = key, _Leaf()
+                found.append(leaf.join(line))
+            yield pa.RecordBatch.from_arrays([batch["leaf"], batch["own"], pa.array(found, pa.int64())], names=["leaf", "own", "k"])
+
+    ordered = different.select("leaf", "own", "line").repartition("leaf").sortWithinPartitions("leaf", "line")
+    return ordered.mapInArrow(assign, "leaf long, own long, k long").select("leaf", "own", F.xxhash64("leaf", "k").alias("template"))
+
+
 def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
@@ -43,13 +91,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     leaves = cut(seen.where(F.col("n") >= min_docs).select("leaf"))
     lines = cut(lines.join(_few(leaves), "leaf", "left_semi").select("leaf", "doc", "pos", F.xxhash64("line").alias("own"), "line"))
     different = cut(lines.groupBy("leaf", "own").agg(F.min("line").alias("line")))
-    sizes = different.groupBy("leaf").agg(F.count("*").alias("lines"))
-    places = different.select("leaf", "own", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    common = places.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).join(sizes, "leaf").where(F.col("n") * 2 > F.col("lines")).select("leaf", "place", "token")
-    template = cut(common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("fixed")))  # at most a leaf's tokens
-    words = F.split("line", " ")
-    agree = F.forall("fixed", lambda x: F.get(words, x["place"]) == x["token"]) & (F.size("fixed") >= AGREE * F.size(words))
-    assigned = different.join(template, "leaf").select("leaf", "own", F.when(agree, F.xxhash64("leaf", "fixed")).otherwise(F.xxhash64("leaf", "own")).alias("template"))
+    assigned = _templates(different)
     of = lines.select("leaf", "own", "doc", "pos").join(assigned, ["leaf", "own"])
     counts = of.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     return of.join(counts, "template", "left_semi").select("doc", "pos")

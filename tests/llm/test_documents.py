@@ -139,6 +139,18 @@ def test_short_recurring_lines_go_in_the_query(spark, tmp_path):
     assert (got[9]["n_lines"], got[9]["n_dropped"], got[9]["n_chars_left"]) == (0, 0, None)
 
 
+def test_line_templates_of_one_leaf(spark):
+    """Two templates in a leaf; in each a place where most lines, but not all, share a token is variable."""
+    one = lambda i: f"this page was last {['edited', 'edited', 'edited', 'seen', 'moved'][i]} by the staff of our office"
+    two = lambda i: f"this page was copied {['from', 'from', 'into'][i]} archives without further checks before publication"
+    alone = "this page was torn out long ago so nobody reads it"
+    rows = [(i, f"{one(i)}\nzz{chr(97 + i)}") for i in range(5)] + [(10 + i, two(i)) for i in range(3)] + [(20, alone)]
+    assert {len(t.split()) for t in (one(0), two(0), alone)} == {11}
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(5)] == [f"zz{chr(97 + i)}" for i in range(5)]
+    assert [got[10 + i] for i in range(3)] == [""] * 3 and got[20] == alone
+
+
 def test_language_held_out(spark, docs):
     model = language.fit(language.learnable(docs))
     got = docs.select("doc_id", "lang", "text", language.predicted(model).alias("f")).collect()
