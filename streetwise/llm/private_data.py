@@ -4,14 +4,18 @@ Protected entities are the addresses, numbers and the like that patterns find.
 A term near an entity discloses it if the corpus shows them together: with
 counts of documents, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) is weighed against
 the entity's information log(N / n(e)). A term is disclosive if that share is at
-least ALPHA and two different contexts support it. It is generalised to its
-class (a number, a name, a word); where the class discloses too, it is removed.
+least ALPHA and chance does not explain it: the Chernoff bound of the binomial
+tail, exp(-n(e) KL(n(e,t)/n(e) || n(t)/N)), is at most LEVEL. For an entity of one
+document it is n(t)/N. A term is generalised to its class (a number, a name, a
+word); where the class discloses too, it is removed.
 
 Main path and all counts are column expressions and group-wise sums.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ PATTERNS = {
 }
 TERM = r"[\p{L}\p{N}]{3,}"
 NEAR, REACH = 5, 200
-ALPHA, SUPPORT = 0.8, 2
+ALPHA, LEVEL = 0.8, 0.05
 CLASSES = {"number": r"\p{N}", "name": r"\p{Lu}", "word": r"\p{L}"}
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -95,7 +99,14 @@ def _near(text: Column, x: Column, spans: Column) -> Column:
     return F.filter(both, lambda t: ~F.exists(spans, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def _surprise(n: Column, joint: Column, q: Column) -> Column:
+    """-log of the Chernoff bound on ``joint`` or more of ``n`` draws of chance ``q``; 0 if that is no more than expected."""
+    p = F.least(joint / n, F.lit(1.0))
+    rest = F.when((p < 1) & (q < 1), (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    return F.when(p > q, n * (p * F.log(p / q) + rest)).otherwise(0.0)
+
+
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """doc_id, text_hash, text, spans (base) and terms (disclosive ones: s, e, v,
     class, generalised) of each row of ``docs``.
 
@@ -107,17 +118,16 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = base.withColumn("spans", base_spans(F.col("text")))
     held = cut(found.where(F.size("spans") > 0).withColumn("near", F.transform("spans", lambda x: F.struct(x.alias("e"), _near(F.col("text"), x, F.col("spans")).alias("t")))).select("doc_id", "text_hash", "spans", "near"))
     each = held.select("doc_id", "text_hash", F.explode("near").alias("near"))
-    each = each.select("doc_id", "text_hash", F.xxhash64(F.lower("near.e.v")).alias("entity"), F.xxhash64(F.transform("near.t", lambda t: F.lower(t["v"]))).alias("context"), F.explode("near.t").alias("t"))
+    each = each.select("doc_id", "text_hash", F.xxhash64(F.lower("near.e.v")).alias("entity"), F.explode("near.t").alias("t"))
     each = each.withColumn("term", F.xxhash64(F.lower("t.v"))).withColumn("class", F.when(F.col("t.v").rlike("^" + CLASSES["number"]), "number").when(F.col("t.v").rlike("^" + CLASSES["name"]), "name").otherwise("word"))
 
     n_docs = base.agg(F.count("*").alias("n"), *[F.sum(F.col("text").rlike(p).cast("long")).alias(c) for c, p in CLASSES.items()]).first()
     entities = held.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     key = ["doc_id", "text_hash", "entity", "term"]
-    pairs = each.groupBy(*key).agg(F.min("context").alias("context")).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("context").alias("c1"), F.max("context").alias("c2"))
-    # Support: at least two different contexts. One alone can't tell a term from chance.
-    pairs = pairs.where("n_et >= 2 and c1 <> c2") if support > 1 else pairs
+    pairs = each.select(*key).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n = F.lit(float(max(n_docs["n"], 1)))
     share = lambda joint, of: F.log(n * joint / (F.col("n_e") * of)) / F.log(n / F.col("n_e"))
+    surprise = lambda joint, of: _surprise(F.col("n_e"), joint, of / n)
     # A term stands in at least as many documents as in contexts. Terms that are too
     # common by that count alone can't disclose: the corpus is searched for the rest.
     in_contexts = each.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
@@ -129,7 +139,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # are terms, not their occurrences.
     in_docs = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     disclosed = pairs.join(in_docs, "term").join(entities, "entity").where(F.col("n_e") < n)
-    disclosed = disclosed.where(share(F.col("n_et"), F.greatest("n_t", "n_et")) >= alpha).select("entity", "term")
+    disclosed = disclosed.where(share(F.col("n_et"), F.greatest("n_t", "n_et")) >= alpha).where(surprise(F.col("n_et"), F.greatest("n_t", "n_et")) >= -math.log(level)).select("entity", "term")
     by_class = each.groupBy("doc_id", "text_hash", "entity", "class").agg(F.lit(1).alias("one")).groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
     of_class = F.coalesce(*[F.when(F.col("class") == c, F.lit(float(max(n_docs[c] or 0, 1)))) for c in CLASSES])
     wide = by_class.join(entities, "entity").where(F.col("n_e") < n).where(share(F.col("n_ec"), F.greatest(of_class, F.col("n_ec").cast("double"))) >= alpha).select("entity", "class", F.lit(True).alias("wide"))

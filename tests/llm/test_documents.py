@@ -121,6 +121,17 @@ def test_disclosive_terms_are_generalised(spark):
     assert clean[100] == rows[6][1]
 
 
+def test_entities_of_one_document_and_of_copies_are_judged(spark):
+    filler = "Some words that stand about everywhere in this text and mean little"
+    rows = [(0, f"{filler} Zorblatt z@corp.example")] + [(1 + i, f"{filler} Quimby q@corp.example") for i in range(5)]
+    rows += [(100 + i, filler) for i in range(60)]
+    found = private_data.sanitised(private_data.find_private(spark.createDataFrame(rows, "doc_id long, text string")))
+    clean = {r["doc_id"]: r["clean_text"] for r in found.collect()}
+    assert all(clean[i] == f"{filler} <name> [email]" for i in range(6)) and clean[100] == filler
+    few = private_data.find_private(spark.createDataFrame(rows[:1] + rows[-9:], "doc_id long, text string"))
+    assert few.agg(F.sum(F.size("terms"))).first()[0] == 0  # one of ten documents is no evidence
+
+
 def test_line_templates(spark):
     log = lambda i: f"user {i} logged in from host {'abcdefgh'[i % 8]}x at noon"
     rows = [(i, f"Own line number one of text {chr(97 + i)}{chr(98 + i)} alone\n{log(i)}\nShort line\n") for i in range(8)]
