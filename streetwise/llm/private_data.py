@@ -1,13 +1,14 @@
 """Operator 1: information-theoretic sanitisation of personal data.
 
 Protected entities are the addresses, numbers and the like that patterns find.
-A term near an entity discloses it if the corpus shows them together: with
-counts of documents, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) is weighed against
+A term in a document of an entity discloses it if the corpus shows them together:
+with counts of documents, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) is weighed against
 the entity's information log(N / n(e)). A term is disclosive if that share is at
 least ALPHA and chance does not explain it: the Chernoff bound of the binomial
 tail, exp(-n(e) KL(n(e,t)/n(e) || n(t)/N)), is at most LEVEL. For an entity of one
 document it is n(t)/N. A term is generalised to its class (a number, a name, a
-word); where the class discloses too, it is removed.
+word), wherever it stands in a document of the entity; where the class discloses
+too, it is removed.
 
 Main path and all counts are column expressions and group-wise sums.
 """
@@ -32,7 +33,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]{3,}"
-NEAR, REACH = 5, 200
 ALPHA, LEVEL = 0.8, 0.05
 CLASSES = {"number": r"\p{N}", "name": r"\p{Lu}", "word": r"\p{L}"}
 _SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -43,14 +43,19 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("v")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    # Blocks of about the root of the number: an array is copied at each append.
+    block = F.sqrt(F.size(found))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"), F.array().cast(f"array<{_SPAN}>").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))).alias("out"))
+        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))
+        whole = F.size(acc["out"]) >= block
+        full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
+        return F.struct(end.alias("at"), F.when(whole, one).otherwise(F.concat(acc["out"], one)).alias("out"), full.alias("full"))
 
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return F.aggregate(steps, zero, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["out"]))
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,17 +91,11 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
-def _near(text: Column, x: Column, spans: Column) -> Column:
-    """The NEAR terms on either side of a span, with their places in the text."""
-    low = F.greatest(x["s"] - REACH, F.lit(0))
-    left = matches(F.substring(text, low + 1, x["s"] - low), TERM)
-    left = F.filter(left, lambda t: (low == 0) | (t["s"] > 0))  # a word that the reach cuts
-    left = F.slice(F.reverse(left), 1, NEAR)
-    right = matches(F.substring(text, x["e"] + 1, F.lit(REACH)), TERM)
-    right = F.slice(F.filter(right, lambda t: t["e"] < REACH), 1, NEAR)
-    put = lambda ts, by: F.transform(ts, lambda t: F.struct((t["s"] + by).alias("s"), (t["e"] + by).alias("e"), t["v"].alias("v")))
-    both = F.concat(put(left, low), put(right, x["e"]))
-    return F.filter(both, lambda t: ~F.exists(spans, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+def _terms(text: Column, spans: Column) -> Column:
+    """All terms outside the spans: s, e, v, term (hash) and class."""
+    free = F.filter(matches(text, TERM), lambda t: ~F.exists(spans, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    kind = lambda v: F.when(v.rlike("^" + CLASSES["number"]), "number").when(v.rlike("^" + CLASSES["name"]), "name").otherwise("word")
+    return F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v"), F.xxhash64(F.lower(t["v"])).alias("term"), kind(t["v"]).alias("class")))
 
 
 def _surprise(n: Column, joint: Column, q: Column) -> Column:
@@ -116,21 +115,20 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = base.withColumn("spans", base_spans(F.col("text")))
-    held = cut(found.where(F.size("spans") > 0).withColumn("near", F.transform("spans", lambda x: F.struct(x.alias("e"), _near(F.col("text"), x, F.col("spans")).alias("t")))).select("doc_id", "text_hash", "spans", "near"))
-    each = held.select("doc_id", "text_hash", F.explode("near").alias("near"))
-    each = each.select("doc_id", "text_hash", F.xxhash64(F.lower("near.e.v")).alias("entity"), F.explode("near.t").alias("t"))
-    each = each.withColumn("term", F.xxhash64(F.lower("t.v"))).withColumn("class", F.when(F.col("t.v").rlike("^" + CLASSES["number"]), "number").when(F.col("t.v").rlike("^" + CLASSES["name"]), "name").otherwise("word"))
+    held = found.where(F.size("spans") > 0).select(F.xxhash64("doc_id", "text_hash").alias("doc"), "doc_id", "text_hash", F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["v"])))).alias("entities"), _terms(F.col("text"), F.col("spans")).alias("ts"))
+    held = cut(held)
+    of = held.select("doc", F.explode("entities").alias("entity"), "ts")
+    each = of.select("doc", "entity", F.explode(F.array_distinct(F.transform("ts", lambda t: t["term"]))).alias("term"))
 
     n_docs = base.agg(F.count("*").alias("n"), *[F.sum(F.col("text").rlike(p).cast("long")).alias(c) for c, p in CLASSES.items()]).first()
-    entities = held.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    key = ["doc_id", "text_hash", "entity", "term"]
-    pairs = each.select(*key).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = each.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     n = F.lit(float(max(n_docs["n"], 1)))
     share = lambda joint, of: F.log(n * joint / (F.col("n_e") * of)) / F.log(n / F.col("n_e"))
     surprise = lambda joint, of: _surprise(F.col("n_e"), joint, of / n)
-    # A term stands in at least as many documents as in contexts. Terms that are too
+    # A term stands in at least as many documents as in those with an entity. Terms that are too
     # common by that count alone can't disclose: the corpus is searched for the rest.
-    in_contexts = each.select("doc_id", "text_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_c"))
+    in_contexts = held.select(F.explode(F.array_distinct(F.transform("ts", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_c"))
     pairs = pairs.join(in_contexts, "term").join(entities, "entity").where(F.col("n_e") < n).where(share(F.col("n_et"), F.greatest("n_c", "n_et")) >= alpha)
     pairs = cut(pairs.select("entity", "term", "n_et"))
     terms = pairs.select("term").distinct()
@@ -140,10 +138,11 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in_docs = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     disclosed = pairs.join(in_docs, "term").join(entities, "entity").where(F.col("n_e") < n)
     disclosed = disclosed.where(share(F.col("n_et"), F.greatest("n_t", "n_et")) >= alpha).where(surprise(F.col("n_et"), F.greatest("n_t", "n_et")) >= -math.log(level)).select("entity", "term")
-    by_class = each.groupBy("doc_id", "text_hash", "entity", "class").agg(F.lit(1).alias("one")).groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
+    by_class = of.select("entity", F.explode(F.array_distinct(F.transform("ts", lambda t: t["class"]))).alias("class")).groupBy("entity", "class").agg(F.count("*").alias("n_ec"))
     of_class = F.coalesce(*[F.when(F.col("class") == c, F.lit(float(max(n_docs[c] or 0, 1)))) for c in CLASSES])
     wide = by_class.join(entities, "entity").where(F.col("n_e") < n).where(share(F.col("n_ec"), F.greatest(of_class, F.col("n_ec").cast("double"))) >= alpha).select("entity", "class", F.lit(True).alias("wide"))
-    hit = each.join(disclosed, ["entity", "term"]).join(wide, ["entity", "class"], "left")
+    places = held.select("doc", "doc_id", "text_hash", F.explode("ts").alias("t")).select("doc", "doc_id", "text_hash", "t", F.col("t.term").alias("term"), F.col("t.class").alias("class"))
+    hit = each.join(disclosed, ["entity", "term"]).distinct().join(places, ["doc", "term"]).join(wide, ["entity", "class"], "left")
     per_span = hit.groupBy("doc_id", "text_hash", "t").agg(F.max("class").alias("class"), (~F.coalesce(F.max("wide"), F.lit(False))).alias("general"))
     per_doc = per_span.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct(F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("t.v").alias("v"), "class", "general"))).alias("terms"))
     left, right = found.alias("l"), per_doc.alias("r")

@@ -132,6 +132,14 @@ def test_entities_of_one_document_and_of_copies_are_judged(spark):
     assert few.agg(F.sum(F.size("terms"))).first()[0] == 0  # one of ten documents is no evidence
 
 
+def test_disclosive_terms_go_in_the_whole_document(spark):
+    filler = "Some words that stand about everywhere in this text and mean little " * 10
+    rows = [(i, f"Zorblatt opens. {filler}z@corp.example {filler}says Zorblatt") for i in range(3)] + [(100 + i, filler) for i in range(60)]
+    found = private_data.sanitised(private_data.find_private(spark.createDataFrame(rows, "doc_id long, text string")))
+    clean = {r["doc_id"]: r["clean_text"] for r in found.collect()}
+    assert all(clean[i] == f"<name> <word>. {filler}[email] {filler}<word> <name>" for i in range(3)) and clean[100] == filler
+
+
 def test_line_templates(spark):
     log = lambda i: f"user {i} logged in from host {'abcdefgh'[i % 8]}x at noon"
     rows = [(i, f"Own line number one of text {chr(97 + i)}{chr(98 + i)} alone\n{log(i)}\nShort line\n") for i in range(8)]
