@@ -133,6 +133,8 @@ def match_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- cache --------------------------------------------------------------------
 
 _CACHE = "SELECT 'k' || CAST(event_id % 500 AS VARCHAR(20)) AS input_standardised, 'A' || lpad(CAST(event_id % 700 AS VARCHAR(20)), 9, '0') AS address_detail_pid, CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events WHERE event_id < 500"
+#: The store that the probe runs on: all events; of equal keys the first event's entry counts.
+_STORED = "SELECT event_id, 'k' || CAST(event_id % 500 AS VARCHAR(20)) AS input_standardised, 'A' || lpad(CAST(event_id % 700 AS VARCHAR(20)), 9, '0') AS address_detail_pid, CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events"
 _EVENTS = "SELECT CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events"
 
 
@@ -165,7 +167,9 @@ def cache_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp, addr = load(spark, sf_dir, "inp", "addr")
     parsed = inp.select("input_id", F.concat(F.lit("k"), (F.col("input_id") % 600).cast("string")).alias("input_standardised"))
-    cached = tb.aligned(_sql(spark, sf_dir, _CACHE), tb.CACHE)
+    empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in tb.CACHE.items()))
+    entries = tb.aligned(_sql(spark, sf_dir, _STORED), {"event_id": "long", **tb.CACHE})
+    cached = tb.insert_ignore(empty, entries, "input_standardised", [F.asc("event_id")])
     return ca.probe(parsed, cached, m.candidates_of(addr)).select("input_id", "address_detail_pid", "total_score")
 
 

@@ -28,3 +28,11 @@ def test_query_equals_oracle(spark, name):
     assert sorted(want.columns) == sorted(got.columns)
     columns = sorted(want.columns)
     assert rows(got[columns]) == rows(want[columns])
+
+
+def test_cache_probe_stores_all_events(spark, tmp_path):
+    """Events whose ids begin beyond the first 500 are entries too."""
+    for t in ("customer", "supplier", "part", "nation", "events"):
+        df = spark.read.parquet(f"{DIR}/{t}.parquet")
+        (df.selectExpr("event_id + 2000 AS event_id", "* EXCEPT (event_id)") if t == "events" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert QUERIES["cache_probe"](spark, str(tmp_path)).count() > 0
