@@ -44,16 +44,15 @@ def matches(text: Column, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("v")))
     # Blocks of about the root of the number: an array is copied at each append.
-    block = F.sqrt(F.size(found))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"), F.array().cast(f"array<{_SPAN}>").alias("full"))
+    zero = F.struct(F.lit(0).alias("at"), F.sqrt(F.size(found)).alias("block"), F.array().cast(_SPAN).alias("out"), F.array().cast(f"array<{_SPAN}>").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["v"])
         one = F.array(F.struct(start.alias("s"), end.alias("e"), x["v"].alias("v")))
-        whole = F.size(acc["out"]) >= block
+        whole = F.size(acc["out"]) >= acc["block"]
         full = F.when(whole, F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
-        return F.struct(end.alias("at"), F.when(whole, one).otherwise(F.concat(acc["out"], one)).alias("out"), full.alias("full"))
+        return F.struct(end.alias("at"), acc["block"].alias("block"), F.when(whole, one).otherwise(F.concat(acc["out"], one)).alias("out"), full.alias("full"))
 
     return F.aggregate(steps, zero, step, lambda acc: F.concat(F.flatten(acc["full"]), acc["out"]))
 
