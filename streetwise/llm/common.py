@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one long that may be broadcast: 2 million are about 32 MB in a hash relation.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of fixed-width rows, with what a hash relation adds, that may be broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,5 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, which have columns of fixed width, surely fit:
+    BROADCAST_BYTES with 40 bytes a row for the hash relation. ``df`` is counted, so it
+    should be a checkpoint or a file."""
+    width = 40 + sum(_width(f.dataType) for f in df.schema.fields)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def _width(kind: T.DataType) -> int:
+    return 16 + sum(_width(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 20 if isinstance(kind, T.StringType) else 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

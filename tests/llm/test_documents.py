@@ -140,6 +140,86 @@ def test_disclosive_terms_go_in_the_whole_document(spark):
     assert all(clean[i] == f"<name> <word>. {filler}[email] {filler}<word> <name>" for i in range(3)) and clean[100] == filler
 
 
+def brute_terms(rows, alpha=private_data.ALPHA, level=private_data.LEVEL):
+    """Disclosive terms of each row by the definition, all pairs of concept and term."""
+    import math
+
+    opaque = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9][A-Za-z0-9+/_=-]{15,}")
+    base, places, has, n = [plain_spans(t) for _, t in rows], [], {}, len(rows)
+    for i, (_, t) in enumerate(rows):
+        free = list(t)
+        for _, s, e in base[i]:
+            free[s:e] = " " * (e - s)
+        free = opaque.sub(lambda m: " " * len(m.group()), "".join(free))
+        places.append([(m.start(), m.end()) for m in re.finditer(r"[^\W_]{3,}", free)])
+        for kind, s, e in base[i]:
+            has.setdefault((kind, t[s:e].lower()), set()).add(i)
+            has.setdefault((kind,), set()).add(i)
+    words = [{x.lower() for x in re.findall(r"[^\W_]{3,}", t)} for _, t in rows]
+    own = [{t[s:e].lower() for s, e in places[i]} if base[i] else set() for i, (_, t) in enumerate(rows)]
+    judged = len(set().union(*own)) if own else 1
+
+    def discloses(c, w, general):
+        docs = {i for i in has[c] if w in own[i]}
+        n_c, n_t, joint = len(has[c]), sum(w in x for x in words), len(docs)
+        if n_c == n or not joint or math.log(n * joint / (n_c * n_t)) / math.log(n / n_c) < alpha:
+            return False
+        m, q = min(n_c, n_t), max(n_c, n_t) / n
+        p = min(joint / m, 1)
+        bound = m * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 and q < 1 else 0)) if p > q else 0
+        return bound >= -math.log(level / judged if general else level)
+
+    return [sorted((s, e) for s, e in places[i] if any(i in d and discloses(c, t[s:e].lower(), len(c) == 1) for c, d in has.items())) for i, (_, t) in enumerate(rows)]
+
+
+def test_terms_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "mo", "Ti") for b in ("lan", "reg", "sup") for c in ("dor", "mik", "vas", "quo")]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary[: 6 + i % 31]) for _ in range(rng.randint(4, 30))] + [rng.choice(["", f"rare{i}"]), f"few{i // 4}"]
+        if i % 3 == 0:
+            words += [rng.choice([f"u{i // 9}@mail.example", "shared@mail.example", "10.1.2.3", f"10.0.{i}.1", "+49 30 1234567"]) for _ in range(rng.randint(1, 3))] + ["contact"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[0][1]) for i in range(5)]
+    got = private_data.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = dict(zip([r[0] for r in rows], brute_terms(rows), strict=True))
+    assert sum(map(len, want.values())) > 20
+    assert {r["doc_id"]: [(t["s"], t["e"]) for t in r["terms"]] for r in got} == want
+
+
+def test_secrets_by_context_and_odd_rows(spark):
+    secret = lambda i: f"{i:02d}ab9f{i * 7919:030x}"
+    rows = [(i, f'plain words and Token = "{secret(i)}", {secret(i + 50)} end') for i in range(8)] + [(100 + i, "plain words and no more here") for i in range(90)]
+    rows += [(None, 'plain Token = "00ab9f111111111111" x'), (7, rows[7][1]), (300, ""), (301, None), (302, "internationalisation of responsibilities")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("key", "free", "opaque", "spans", "terms", "n", "x", "concept"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = private_data.sanitised(private_data.find_private(df)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        found = [r["text"][s["s"] : s["e"]] for s in r["secrets"]]
+        if r["doc_id"] is None:
+            assert found == ["00ab9f111111111111"] and r["clean_text"] == 'plain Token = "[secret]" x'
+        else:
+            assert found == ([secret(r["doc_id"]), secret(r["doc_id"] + 50)] if r["doc_id"] < 8 else [])
+
+
+def test_long_texts_are_searched_in_linear_time(spark):
+    import time
+
+    text = " ".join(f"{i % 997 + 100}," for i in range(210_000))  # 1 MB of numbers
+    mails = " ".join(f"u{i}@x.example" for i in range(60_000))
+    df = spark.createDataFrame([(0, "1 2 a@b.c"), (1, text), (2, mails)], "doc_id long, text string").repartition(3).cache()
+    df.where("doc_id = 0").select(private_data.base_spans(F.col("text")).alias("x")).collect()
+    start = time.time()
+    assert df.select(F.size(private_data.base_spans(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] == 60_001
+    assert time.time() - start < 20  # quadratic time would be many minutes
+
+
 def test_line_templates(spark):
     log = lambda i: f"user {i} logged in from host {'abcdefgh'[i % 8]}x at noon"
     rows = [(i, f"Own line number one of text {chr(97 + i)}{chr(98 + i)} alone\n{log(i)}\nShort line\n") for i in range(8)]
