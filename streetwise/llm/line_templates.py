@@ -122,22 +122,24 @@ def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("left_sha256"))
 
 
+#: A leaf's different lines are taken one by one, in order of their text, by a recursive query.
 SQL = r"""
-WITH d AS (SELECT doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS doc FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS doc FROM documents),
 l AS (SELECT DISTINCT doc, i AS pos, x[i] AS raw FROM (SELECT doc, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT DISTINCT doc, string_split(coalesce(text, ''), chr(10)) AS x FROM d))),
 t AS (SELECT doc, pos, list_filter(regexp_split_to_array(regexp_replace(raw, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM l),
-k AS (SELECT doc, pos, w, len(w) AS size, w[1:3] AS head FROM t WHERE len(w) >= 4),
-leaves AS (SELECT size, head FROM k GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
-c AS (SELECT k.* FROM k JOIN leaves USING (size, head)),
-u AS (SELECT DISTINCT size, head, w FROM c),
-n AS (SELECT size, head, count(*) AS lines FROM u GROUP BY ALL),
-p AS (SELECT size, head, i AS place, w[i] AS token, count(*) AS m FROM (SELECT size, head, w, unnest(range(1, size + 1)) AS i FROM u) GROUP BY ALL),
-f AS (SELECT p.size, p.head, count(*) AS fixed FROM p JOIN n USING (size, head) WHERE m * 2 > lines GROUP BY ALL),
-g AS (SELECT u.size, u.head, u.w, count(*) AS agreed FROM (SELECT size, head, w, unnest(range(1, size + 1)) AS i FROM u) u JOIN p ON p.size = u.size AND p.head = u.head AND p.place = u.i AND p.token = u.w[u.i] JOIN n ON n.size = u.size AND n.head = u.head WHERE m * 2 > lines GROUP BY ALL),
-a AS (SELECT g.size, g.head, g.w, CASE WHEN agreed = fixed AND fixed >= 0.5 * g.size THEN NULL ELSE g.w END AS own FROM g JOIN f ON f.size = g.size AND f.head = g.head),
-o AS (SELECT c.doc, c.pos, c.size, c.head, a.own FROM c JOIN a ON a.size = c.size AND a.head = c.head AND a.w = c.w),
-r AS (SELECT size, head, own FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
-gone AS (SELECT doc, list(DISTINCT pos) AS ps FROM (SELECT o.doc, o.pos FROM o JOIN r ON o.size = r.size AND o.head = r.head AND o.own IS NOT DISTINCT FROM r.own) GROUP BY doc),
+k AS (SELECT doc, pos, w, len(w) AS size, w[1:3] AS head FROM t WHERE len(w) >= 1),
+leaves AS (SELECT size, head, row_number() OVER () AS leaf FROM (SELECT size, head FROM k GROUP BY ALL HAVING count(DISTINCT doc) >= 3)),
+c AS MATERIALIZED (SELECT doc, pos, w, leaf FROM k JOIN leaves USING (size, head)),
+u AS MATERIALIZED (SELECT leaf, w, row_number() OVER (PARTITION BY leaf ORDER BY array_to_string(w, ' ')) AS n FROM (SELECT DISTINCT leaf, w FROM c)),
+walk AS (SELECT leaf, n, w, [w] AS templates, CAST(1 AS BIGINT) AS k FROM u WHERE n = 1
+  UNION ALL
+  SELECT leaf, n, w, CASE WHEN hit THEN list_transform(templates, lambda y, i: CASE WHEN i = best THEN list_transform(y, lambda x, j: CASE WHEN x = w[j] THEN x END) ELSE y END) ELSE list_append(templates, w) END,
+    CASE WHEN hit THEN best ELSE len(templates) + 1 END
+  FROM (SELECT *, list_position(same, list_max(same)) AS best, 2 * list_max(same) >= len(w) AS hit
+    FROM (SELECT u.leaf, u.n, u.w, templates, list_transform(templates, lambda y: len(list_filter(y, lambda x, j: x = u.w[j]))) AS same FROM walk JOIN u ON u.leaf = walk.leaf AND u.n = walk.n + 1))),
+o AS (SELECT c.doc, c.pos, c.leaf, walk.k FROM c JOIN walk ON walk.leaf = c.leaf AND walk.w = c.w),
+r AS (SELECT leaf, k FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+gone AS (SELECT doc, list(DISTINCT pos) AS ps FROM (SELECT o.doc, o.pos FROM o JOIN r USING (leaf, k)) GROUP BY doc),
 e AS (SELECT doc_id, text, string_split(text, chr(10)) AS x, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc)),
 z AS (SELECT doc_id, text, coalesce(len(x), 0) AS n_lines, len(ps) AS n_dropped,
   CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_transform(list_filter(range(1, len(x) + 1), lambda i: NOT list_contains(ps, i)), lambda i: x[i]), chr(10)), '') END AS kept FROM e)
