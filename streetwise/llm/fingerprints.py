@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 K, SHINGLE = 128, 5
-#: Characters in one range of documents, sorted together.
-RANGE_CHARS = 12_000_000
+#: Characters in one range of documents, sorted together: the least for up to MANY
+#: ranges, and the most.
+LEAST_CHARS, MANY, MOST_CHARS = 4_000_000, 4_000, 256_000_000
 _SPAN = 2.0**64
 
 
@@ -75,46 +76,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), sketch(F.col(text_col), k).alias("sketch"))
 
 
-def with_next(rows: DataFrame, columns: list[str], range_chars: int = RANGE_CHARS) -> DataFrame:
+def _range_of(k: Column, h: Column, cuts: list[int]) -> Column:
+    """Number of cuts below ``k``. A value that is a cut several times is many rows of one
+    id: they are dealt over as many ranges by the hash, in its order."""
+    once = sorted(set(cuts))
+    if not once:
+        return F.lit(0)
+    # Two levels of cuts: about 2 * sqrt(n) comparisons a row.
+    step = max(1, int(len(once) ** 0.5))
+    blocks = [once[i : i + step] for i in range(0, len(once), step)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < k))
+    outer = F.greatest(below(F.lit([b[0] for b in blocks])), F.lit(1)) - 1
+    out = outer * step + below(F.get(F.array(*[F.lit(b) for b in blocks]), outer))
+    many = {c: cuts.count(c) for c in once} if len(once) < len(cuts) else {}
+    wide = [(c, n) for c, n in many.items() if n > 1]
+    widest = max((n for _, n in wide), default=1)
+    part = F.lit(0)
+    for c, n in wide:
+        part = F.when(k == c, F.floor((h.cast("double") + _SPAN / 2) / _SPAN * n)).otherwise(part)
+    return out * widest + F.least(part, F.lit(widest - 1))
+
+
+def with_next(rows: DataFrame, columns: list[str], range_chars: int | None = None) -> DataFrame:
     """Adds next_<column>: that of the following row in descending doc_id (equal ids
     by a hash of the text, null ids last), of the last row the first one's.
 
-    Rows are dealt out by ranges of doc_id between quantiles of all ids. The first
-    row of each range is also put into the range before it, so each range is worked
-    on alone; a range holds about ``range_chars`` characters."""
+    Rows are dealt out by ranges between quantiles of all ids, as many partitions as
+    ranges. The first row of each range is also put into the range before it, so each
+    range is worked on alone. A range holds ``range_chars`` characters or so: LEAST_CHARS
+    for up to MANY ranges, then more, up to MOST_CHARS."""
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    ids = rows.select(key.alias("k"), F.length("text").alias("n"))
+    ids = rows.select(key.alias("k"), F.length("text").alias("n"), F.xxhash64("text").alias("h"))
     size = ids.agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).first()
     if not size["rows"]:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    n = max(1, -(-(size["chars"] + 200 * size["rows"]) // range_chars))
-    cuts = sorted(set(ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or [])) if n > 1 else []
-    # Two levels of cuts: about 2 * sqrt(n) comparisons a row.
-    step = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    if blocks:
-        below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("k")))
-        outer = F.greatest(below(F.lit([b[0] for b in blocks])), F.lit(1)) - 1
-        ranged = outer * step + below(F.get(F.array(*[F.lit(b) for b in blocks]), outer))
-    else:
-        ranged = F.lit(0)
-    order = [F.col("k").desc(), F.col("h").desc()]
+    total = size["chars"] + 200 * size["rows"]
+    range_chars = range_chars or min(max(LEAST_CHARS, total // MANY), MOST_CHARS)
+    n = max(1, -(-total // range_chars))
+    cuts = sorted(ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"] or []) if n > 1 else []
+    ranged = _range_of(F.col("k"), F.col("h"), cuts).cast("long")
+    # Each range's first row, by its id and hash, goes to the range before it.
+    heads = ids.select("k", "h", ranged.alias("range")).groupBy("range").agg(F.max(F.struct("k", "h")).alias("top"))
+    heads = cut(heads.select("range", "top.k", "top.h"))
+    down = Window.orderBy(F.desc("range"))  # a row for each range
+    last = heads.agg(F.min("range")).first()[0]
+    ghosts = heads.select("k", "h", F.lag("range", 1, last).over(down).alias("ghost")).groupBy("k", "h").agg(F.collect_list("ghost").alias("ghosts"))
     placed = rows.withColumn("k", key).withColumn("h", F.xxhash64("text")).withColumn("range", ranged)
-    heads = ids.withColumn("range", ranged).groupBy("range").agg(F.max("k").alias("k")).orderBy(F.desc("range")).collect()  # a row for each range
-    ghost = [(x["k"], y["range"]) for x, y in zip(heads[1:] + heads[:1], heads, strict=True)]
-    # The head of a range is one row: of those with its largest id the one with the largest hash.
-    spark = rows.sparkSession
-    targets = F.broadcast(spark.createDataFrame(ghost, "k long, ghost long").groupBy("k").agg(F.collect_list("ghost").alias("ghosts")))
-    first = ids.select("k").join(targets, "k", "left_semi").groupBy("k").count().where("count > 1").limit(1).count()
-    if first:  # repeated ids at a head: only the first of them goes over
-        top = placed.select("k", "h").join(targets, "k").groupBy("k").agg(F.max("h").alias("h"), F.first("ghosts").alias("ghosts"))
-        marked = placed.join(F.broadcast(top), ["k", "h"], "left")
-    else:
-        marked = placed.join(targets, "k", "left")
-    own = F.array(F.struct(F.col("range").cast("long").alias("range"), F.lit(False).alias("ghost")))
+    marked = placed.join(F.broadcast(ghosts), ["k", "h"], "left")
+    own = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost")))
     over = F.coalesce(F.transform("ghosts", lambda g: F.struct(g.alias("range"), F.lit(True).alias("ghost"))), F.array().cast("array<struct<range:bigint,ghost:boolean>>"))
     dealt = marked.withColumn("to", F.explode(F.concat(own, over))).select(*rows.columns, "k", "h", F.col("to.range").alias("range"), F.col("to.ghost").alias("ghost"))
-    w = Window.partitionBy("range").orderBy(F.col("ghost"), *order)
+    dealt = dealt.repartition(len(cuts) + 1, "range") if cuts else dealt
+    w = Window.partitionBy("range").orderBy(F.col("ghost"), F.col("k").desc(), F.col("h").desc())
     led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return led.where("not ghost").drop("k", "h", "range", "ghost")
 
