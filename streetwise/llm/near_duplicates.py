@@ -11,7 +11,8 @@ decide.
 Groups are never expanded into all pairs. Equal sets are one class. In each
 band bucket all members are compared with one hub; then, in buckets whose
 members are still in different components, the members of different components
-are compared in blocks of bounded size, each pair in the first band it shares.
+are compared in blocks of bounded size, each pair in the first band it shares:
+first by registers, then, those with a likely partner, by their full sets.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import cut, small, table
 from .components import components
 from .textarrays import mix, shingle_sets
 
@@ -31,8 +32,8 @@ BANDS, ROWS, MANTISSA = 32, 4, 10
 BUCKETS = BANDS * ROWS
 #: Least similarity in percent: 100 * intersection >= LEAST * union.
 LEAST = 80
-#: Shingles in one block of a bucket.
-BLOCK = 300_000
+#: Shingles in one block of a bucket, and members in one where only registers are compared.
+BLOCK, MEMBERS = 300_000, 4096
 _U = np.uint64
 _SEED = np.arange(1, BUCKETS + 1, dtype=_U)
 _A, _B = mix(_SEED) | _U(1), mix(_SEED + _U(1 << 32))
@@ -165,57 +166,98 @@ def _block_links(run: pa.Table, least: int) -> list[tuple[int, int]]:
     return out
 
 
+def _likely(run: pa.Table, least: int) -> np.ndarray:
+    """Which members of a pair of blocks have a likely partner in another component."""
+    comp, side, size = (run[c].to_numpy() for c in ("comp", "side", "n"))
+    one = run["bi"][0].as_py() == run["bj"][0].as_py()
+    band, regs = run["band"][0].as_py(), _matrix(run["regs"].combine_chunks())
+    bands, out, floor = regs.view("<u8"), np.zeros(len(run), dtype=bool), least_estimate(least)
+    for i in range(len(run) - 1):
+        later = np.arange(i + 1, len(run))
+        later = later[(comp[later] != comp[i]) & (one | (side[later] != side[i])) & (size[later] * 100 >= least * size[i]) & (size[i] * 100 >= least * size[later])]
+        if len(later):
+            later = later[np.argmax(bands[later] == bands[i], axis=1) == band]
+        if len(later):
+            later = later[corrected((regs[later] == regs[i]).sum(axis=1), size[later], size[i]) >= floor]
+            out[later] = True
+            out[i] |= len(later) > 0
+    return out
+
+
+def _blocked(members: DataFrame, blocks: Column) -> DataFrame:
+    """Each member once for every pair of blocks of its bucket that holds its own."""
+    out = members.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("long")).withColumn("side", F.pmod(F.xxhash64("rep", "th"), "blocks"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return out.withColumn("bi", F.least("side", "other")).withColumn("bj", F.greatest("side", "other")).drop("other", "blocks")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Returns doc_id, n_shingles, component_id, kept; one row for each row of ``docs``.
 
     Null or empty texts, and texts of white space, have an empty set and are linked
     with nothing. A single word is a set of one. Rows that repeat a doc_id are the
-    same document. A row without doc_id is linked with nothing; its component_id is
-    null and it is kept. An empty table gives no rows. Other columns are ignored."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    same document, linked with whatever one of its texts is linked with. A row without
+    doc_id is linked with nothing; its component_id is null and it is kept. An empty
+    table gives no rows. Other columns are ignored."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     signature = F.arrow_udf(_signatures, "struct<n:bigint,h1:bigint,h2:bigint,regs:binary>")
-    sig = cut(base.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*"))
-    reps = cut(sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    sig = cut(base.select("doc_id", "th", signature("text").alias("s")).select("doc_id", "th", "s.*"))
+    first_doc = F.min(F.struct("doc_id", "th"))
+    reps = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(first_doc.alias("d"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    reps = cut(reps.select("h1", "h2", F.col("d.doc_id").alias("rep"), F.col("d.th").alias("th"), "n", "regs"))
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 8 * i + 1, 8)) for i in range(BANDS)])
-    bands = reps.select("rep", "n", F.posexplode(keys).alias("band", "key"))
+    bands = reps.select("rep", "th", "n", F.posexplode(keys).alias("band", "key"))
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hub"), F.sum("n").alias("size"))
-    hubs = hubs.where("members > 1").select("key", "members", "size", F.col("hub.rep").alias("hub"))
-    members = cut(bands.join(hubs, "key").where("rep <> hub"))
+    # Written first: a join of two exchanges, not of an aggregate, is split where a key is hot.
+    hubs = cut(hubs.where("members > 1").select("key", "members", "size", F.col("hub.rep").alias("hub")))
+    members = cut(bands.join(small(hubs), "key").where("rep <> hub"))
     pairs = members.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     estimate = F.arrow_udf(_estimates, "double")("regs_a", "regs_b", "n_a", "n_b")
-    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * n_a >= {least} * n_b and 100 * n_b >= {least} * n_a").where(estimate >= least_estimate(least)).select("a", "b"))
+    likely = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * n_a >= {least} * n_b and 100 * n_b >= {least} * n_a").where(estimate >= least_estimate(least)).select("a", "b").distinct())
 
     def texts_of(ids: DataFrame) -> DataFrame:
         ids = cut(ids.distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        return base.join(ids, base["doc_id"] == ids["id"], "left_semi")
+        return base.join(small(ids), base["doc_id"] == ids["id"], "left_semi").distinct()
 
     texts = texts_of(likely.select(F.explode(F.array("a", "b")).alias("id")))
     paired = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    links = cut(paired.where(F.arrow_udf(_verdicts(least), "boolean")("ta", "tb")).select("a", "b"))
+    links = paired.where(F.arrow_udf(_verdicts(least), "boolean")("ta", "tb")).select("a", "b")
+    # A document of several texts stands in several classes: it links their first documents.
+    several = sig.where("n > 0 and doc_id is not null").select("doc_id", "h1", "h2").distinct()
+    several = several.join(small(cut(several.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"))), "doc_id", "left_semi")
+    links = cut(links.union(several.join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
 
     first = cut(components(links))
-    there = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_keys = there.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = cut(there.join(open_keys, "key", "left_semi").select("key", "band", "rep", "comp", F.ceil(F.col("size") / BLOCK).alias("blocks")))
-    left = left.withColumn("side", F.pmod(F.xxhash64("rep"), "blocks"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("key", "band", "rep", "comp", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"))
-    some = texts_of(left.select(F.col("rep").alias("id")))
-    full = some.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]).join(reps.select("rep", "regs"), "rep")
-    full = left.join(full, "rep").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
-
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["key", "bi", "bj"]):
-            if found := _block_links(run, least):
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    there = members.select("key", "band", "rep", "th", "n", "size").join(small(first.withColumnRenamed("node", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    open_keys = cut(there.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("here")).where("x <> y").select("key", "here"))
+    left = cut(there.join(small(open_keys), "key").select("key", "band", "rep", "th", "n", "comp", "here"))
 
-    added = full.mapInArrow(more, "a bigint, b bigint")
-    found = components(added.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of_class = reps.select("h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
-    out = sig.join(of_class, ["h1", "h2"], "left")
+    def each_run(find, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["key", "bi", "bj"]):
+            if found := find(run):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], names=names)
+
+    # Registers alone go to all pairs of blocks; texts only of members that may have a partner.
+    regs = reps.select("rep", "th", "regs")
+    thin = _blocked(left, F.ceil(F.col("here") / MEMBERS)).join(regs, ["rep", "th"])
+    thin = thin.select("key", "band", "rep", "th", "n", "comp", "side", "bi", "bj", "regs").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep", "th")
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = lambda run: list(zip(*(run.filter(pa.array(_likely(run, least)))[c].to_pylist() for c in ("key", "rep", "th")), strict=True))
+        return each_run(mine, batches, ["key", "rep", "th"])
+
+    flagged = cut(thin.mapInArrow(flag, "key bigint, rep bigint, th bigint").distinct())
+    sized = cut(flagged.join(left.select("key", "rep", "th", "band", "n", "comp"), ["key", "rep", "th"]))
+    total = cut(sized.groupBy("key").agg(F.sum("n").alias("shingles")))
+    some = texts_of(sized.select(F.col("rep").alias("id"))).select(F.col("doc_id").alias("rep"), "th", "text")
+    full = _blocked(sized.join(small(total), "key"), F.ceil(F.col("shingles") / BLOCK)).join(some, ["rep", "th"]).join(regs, ["rep", "th"])
+    full = full.select("key", "band", "rep", "comp", "side", "bi", "bj", "text", "regs").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    added = full.mapInArrow(lambda batches: each_run(lambda run: _block_links(run, least), batches, ["a", "b"]), "a bigint, b bigint")
+    found = cut(components(added.union(first.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    of_class = cut(reps.select("h1", "h2", "rep").join(small(found.withColumnRenamed("node", "rep")), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c")))
+    out = sig.join(small(of_class), ["h1", "h2"], "left")
     mine = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
