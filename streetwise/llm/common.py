@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,16 @@ BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where
-    that is unset (tests, a local session) a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is
+    unset, a temporary folder if driver and executor are one process; a cluster has to
+    name one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = found.get() if found.isDefined() else None
     if not set_dir:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="streetwise-")
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")

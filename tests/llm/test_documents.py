@@ -47,6 +47,45 @@ def test_near_duplicates_of_a_chain_in_one_bucket(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def components_by_brute_force(rows, least=80):
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} - {()})
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= least * len(sets[a] | sets[b]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_near_duplicates_in_small_blocks_and_of_documents_with_two_texts(spark, monkeypatch):
+    """Buckets whose members are like one another, but not linked, go through many blocks."""
+    monkeypatch.setattr(near_duplicates, "MEMBERS", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 150)
+    rng = __import__("random").Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):  # each differs from the base in one run of words, most pairs are near the limit
+        at, n = rng.randrange(50), rng.randint(2, 6)
+        rows.append((i, " ".join(base[:at] + [f"x{i}y{k}" for k in range(n)] + base[at + n :])))
+    rows += [(7, "another text that document seven has as well and more"), (50, "another text that document seven has as well and more"), (51, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_by_brute_force(rows)
+    assert 3 < len(set(want.values())) < 40
+    got = near_duplicates.near_duplicates(df).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert near_duplicates.near_duplicates(none).count() == 0
@@ -282,6 +321,42 @@ def test_fingerprints(spark, docs):
     assert set(s["m"]) <= set(s["z"])
 
 
+def test_fingerprints_query_equals_brute_force(spark, tmp_path):
+    """Repeated ids (a third of the rows), null ids and texts; edited text, likeness and order anew."""
+    import hashlib
+
+    rng = __import__("random").Random(8)
+    rows = [(i * 3, " ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    rows += [(9, f"text of nine number {i} \U0001f600 tail") for i in range(30)] + [(None, f"no id {i} at all") for i in range(12)] + [(200, None), (201, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit("clash")).withColumn("h", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    hashed = spark.createDataFrame([(i, t or "") for i, t in rows], "i long, t string").select("i", "t", F.xxhash64("t").alias("h")).collect()
+    order = sorted(hashed, key=lambda r: (r["i"] if r["i"] is not None else -(2**63), r["h"]), reverse=True)
+
+    def shingles(t):
+        w = [x for x in re.split("[ \t-\r]+", t.lower()) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    def like(a, b):
+        return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) if shingles(a) | shingles(b) else 1.0
+
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1], strict=True):
+        half = len(r["t"]) // 2
+        edited = r["t"][: len(r["t"]) - half] + nxt["t"][:half]
+        want.append((r["i"], len(r["t"]), hashlib.sha256(edited.encode()).hexdigest(), like(r["t"], edited), like(r["t"], nxt["t"])))
+    key = lambda r: str(r)
+    for chars in (None, 1200):
+        if chars:
+            with_next = fingerprints.with_next
+            fingerprints.with_next = lambda rows, columns: with_next(rows, columns, chars)
+        try:
+            got = fingerprints.op8_bottom_k(spark, str(tmp_path)).collect()
+        finally:
+            if chars:
+                fingerprints.with_next = with_next
+        assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got], key=key) == sorted(want, key=key)
+
+
 def test_token_files(spark, docs, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_tokens(docs, path, token_files.default_tokenizer())
