@@ -41,6 +41,19 @@ def test_urls(spark, monkeypatch):
     assert url_filter.judge_urls(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_urls_by_shard_equal_urls_by_broadcast(spark, monkeypatch):
+    """More cascades than may be broadcast; one host has a third of the rows; long urls and repeated rows."""
+    rows = [(i, f"http://h{i % 40 if i % 3 else 0}.example.org/p{i % 7}") for i in range(300)] + [(5, "http://h5.example.org/p5"), (6, None), (None, "http://h1.example.org/" + "x" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    listed = F.substring(F.md5("key"), 1, 1).isin("0", "1", "2")
+    key = lambda r: str(r)
+    want = sorted(url_filter.judge_urls(df, listed).collect(), key=key)
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 7)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 1)
+    monkeypatch.setattr(url_filter, "GROUP_BYTES", 2000)
+    assert sorted(url_filter.judge_urls(df, listed).collect(), key=key) == want and len(want) == len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     from .conftest import SCHEMA, corpus
 
