@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .textarrays import chunks, utf8
 
 #: Families of languages by ISO 639 code. A code that is not here
@@ -29,9 +29,9 @@ FAMILIES = {
     "indic": "hi ur bn mr gu pa ne",
     "semitic": "ar he",
 }
-#: At most so many labelled texts of a language, and characters in each of them,
-#: are used to fit; prediction has no such bounds.
-FIT_TEXTS, FIT_CHARS = 300, 20_000
+#: At most so many different labelled texts of a language are used to fit; prediction
+#: has no such bound.
+FIT_TEXTS = 300
 FEATURES = 1 << 13
 _SCALE = 30.0
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -126,29 +126,39 @@ class Model:
         return lang.tolist(), score
 
 
+def _counts(text: pa.Array) -> pa.Array:
+    """Each text's trigrams as pairs of feature and count, 32 bits each."""
+    raw, offsets = utf8(text)
+    out: list[bytes] = []
+    for a, b in chunks(offsets):
+        code, of = trigrams(raw, offsets[a : b + 1])
+        key, count = np.unique(of.astype(np.int64) * FEATURES + code, return_counts=True)
+        ends = np.searchsorted(key, np.arange(b - a + 1) * FEATURES)
+        out += [np.stack([key[i:j] % FEATURES, count[i:j]]).astype("<i4").tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+    return pa.array(out, pa.binary())
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on at most FIT_TEXTS texts of a language of at most FIT_CHARS characters
-    each, taken by a hash of the text, so the sample spreads over the whole table."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and length(text) between 1 and " + str(FIT_CHARS))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not many:
+    """Fits on at most FIT_TEXTS different texts of a language, whole and of any length:
+    those of the lowest hashes, so the sample spreads over the whole table, copies count
+    once, and ties (equal texts) don't matter. Rows with a null text or language, and
+    empty texts, teach nothing; no rows at all give a model without languages. The
+    driver gets trigram counts, at most FEATURES a text."""
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = cut(rows.select("lang", "h").distinct().withColumn("r", first).where(f"r <= {FIT_TEXTS}").select("lang", "h"))
+    one = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # FIT_TEXTS rows a language
+    sample = sorted((r["lang"], bytes(r["c"])) for r in one.select("lang", F.arrow_udf(_counts, "binary")("text").alias("c")).collect())
+    if not sample:
         return Model([], [], [])
-    # A hash threshold for twice the texts needed, so few rows are sorted.
-    keep = F.lit(False)
-    for lang, n in many.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(n)) < 2 * FIT_TEXTS + 64))
-    first = rows.where(keep).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(f"r <= {FIT_TEXTS}")
-    sample = sorted((r["lang"], r["text"]) for r in first.select("lang", "text").collect())
     x = np.zeros((len(sample), FEATURES), dtype=np.float32)
-    raw, offsets = utf8(pa.array([t for _, t in sample], pa.string()))
-    for a, b in chunks(offsets):
-        code, of = trigrams(raw, offsets[a : b + 1])
-        np.add.at(x, (of + a, code), 1.0)
+    for i, (_, c) in enumerate(sample):
+        code, count = np.frombuffer(c, "<i4").reshape(2, -1)
+        x[i, code] = count
     x *= _SCALE / np.maximum(x.sum(axis=1, keepdims=True), 1)
-    langs = sorted(many)
-    families = sorted({family(lang) for lang in langs})
     lang_of = np.array([lang for lang, _ in sample])
+    langs = sorted(set(lang_of.tolist()))
+    families = sorted({family(lang) for lang in langs})
     family_of = np.array([family(lang) for lang in lang_of])
     machines = []
     for names, of in [(families, family_of), *(([x for x in langs if family(x) == f], lang_of) for f in families)]:
