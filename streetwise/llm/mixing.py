@@ -8,27 +8,31 @@ domains. Rates r >= 0 then minimise
 where A r are the expected token shares of the domains, t the targets, s the
 shares as they are, w_i a document's tokens and T all tokens. Projected gradient
 steps run over all documents at once: a step needs one aggregate of one number
-a domain, and the rates stay a column.
+a domain, and the rates stay a column. A document that more likely than not is of
+domains whose target is 0 has the rate 0: the ridge REG, which draws rates to 1,
+doesn't hold for it.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .language import _FOLD
 from .textarrays import chunks, utf8, word_hashes
 
-#: At most so many labelled texts of a domain, and characters in each of them, are
-#: used to fit; prediction has no such bounds.
-FIT_TEXTS, FIT_CHARS = 1500, 20_000
+#: At most so many labelled documents of a domain are used to fit; prediction has no
+#: such bound.
+FIT_TEXTS = 1500
 BUCKETS, CHOSEN = 1 << 18, 2048
-REG, STEPS, CLOSE = 0.05, 80, 3e-4
+REG, STEPS, CLOSE = 0.05, 120, 1e-4
+log = logging.getLogger(__name__)
 _U = np.uint64
 _BLANK = _FOLD == 32
 
@@ -88,30 +92,43 @@ class Classifier:
         return np.concatenate(out), np.concatenate(tokens)
 
 
+_FEATURES = "struct<style:binary,buckets:binary>"
+
+
+def _sparse(text: pa.Array) -> pa.Array:
+    """Style and different word buckets of each text, as bytes."""
+    styles, buckets = [], []
+    for style, bucket, of, _ in features(text):
+        ends = np.searchsorted(of, np.arange(len(style) + 1))
+        styles += [x.astype("<f8").tobytes() for x in style]
+        buckets += [bucket[i:j].astype("<i4").tobytes() for i, j in zip(ends, ends[1:], strict=False)]
+    return pa.StructArray.from_arrays([pa.array(styles, pa.binary()), pa.array(buckets, pa.binary())], names=["style", "buckets"])
+
+
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """``labelled`` has columns id and domain; rows with a null in either, or whose
-    document has no text, teach nothing. Fits a multinomial logistic regression on at
-    most FIT_TEXTS texts a domain, taken by a hash of the id, with the domains' shares
-    among the labels as prior. With fewer than two domains there is no evidence and
-    every posterior is the prior."""
-    labelled = labelled.where("id is not null and domain is not null")
+    document has no text, teach nothing. An id with several labels has the first domain
+    by name; one with several texts the text of the lowest hash. Fits a multinomial
+    logistic regression on at most FIT_TEXTS documents a domain, whole and of any length:
+    those of the lowest hashes of the id. The domains' shares among the labels are the
+    prior. With fewer than two domains there is no evidence and every posterior is the
+    prior. The driver gets features, not texts."""
+    labelled = cut(labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain")))
     many = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = [d for d in DOMAINS if d in many] + sorted(set(many) - set(DOMAINS)) or DOMAINS[:1]
-    keep = F.lit(False)
-    for d, n in many.items():
-        keep = keep | ((F.col("domain") == d) & (F.pmod(F.xxhash64("id"), F.lit(n)) < FIT_TEXTS))
-    ids = F.broadcast(labelled.where(keep).dropDuplicates(["id"]))  # about FIT_TEXTS rows a domain
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(f"length(text) between 1 and {FIT_CHARS}").join(ids, "id").select("id", "domain", "text")
-    rows = sorted((r["id"], r["domain"], r["text"]) for r in sample.collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
+    there = texts.select("id").join(small(labelled), "id").distinct()
+    first = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id"))
+    chosen = cut(there.withColumn("r", first).where(f"r <= {FIT_TEXTS}").select("id", "domain"))
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "domain").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = one.select("id", "domain", F.arrow_udf(_sparse, _FEATURES)("text").alias("x"))
+    rows = sorted(((r["id"], r["domain"], r["x"]) for r in sample.collect()), key=lambda r: r[:2])
     y = np.array([domains.index(r[1]) for r in rows], dtype=int)
-    styles, buckets, ofs, at = [], [], [], 0
-    for style, bucket, of, _ in features(pa.array([r[2] for r in rows], pa.string())):
-        styles.append(style)
-        buckets.append(bucket)
-        ofs.append(of + at)
-        at += len(style)
+    styles = [np.frombuffer(r[2]["style"], "<f8") for r in rows]
+    buckets = [np.frombuffer(r[2]["buckets"], "<i4") for r in rows]
+    ofs = [np.full(len(x), i) for i, x in enumerate(buckets)]
     prior = np.log(np.array([many.get(d, 1) for d in domains]) / max(sum(many.values()), 1))
-    width = styles[0].shape[1] if styles else 7
+    width = len(styles[0]) if styles else 7
     column, weights = np.full(BUCKETS, CHOSEN, dtype=np.int32), np.zeros((width + CHOSEN + 1, len(domains)))
     if len(set(y)) < 2:
         return Classifier(domains, column, weights, prior)
@@ -123,7 +140,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     chosen = np.argsort(-z, kind="stable")[:CHOSEN]
     column[chosen] = np.arange(CHOSEN)
     x = np.zeros((len(y), width + CHOSEN + 1), dtype=np.float32)
-    x[:, :width] = np.concatenate(styles)
+    x[:, :width] = np.stack(styles)
     x[of, width + column[bucket]] = 1
     x[:, -1] = 0
     target = np.eye(len(domains), dtype=np.float32)[y]
@@ -152,6 +169,19 @@ def predicted(model: Classifier, text_col: str = "text") -> Column:
     return F.arrow_udf(predict, "struct<p:array<double>,tokens:bigint>")(text_col)
 
 
+class Steps(list):
+    """The steps' gradients, one number a domain each; ``zero`` are the places of domains
+    whose target is 0, ``converged`` says whether the last step was too small to matter."""
+
+    zero: list[int] = []
+    converged = True
+
+
+def barred(p: Column, zero: list[int]) -> Column:
+    """Whether a document is of a zero-target domain more likely than not."""
+    return sum((F.get(p, F.lit(d)) for d in zero), F.lit(0.0)) > 0.5
+
+
 def stepped(rate: Column, p: Column, push: list[float]) -> Column:
     """A rate after one projected gradient step. ``rate`` stands once in it."""
     step = 1 / (1 + REG)
@@ -159,26 +189,32 @@ def stepped(rate: Column, p: Column, push: list[float]) -> Column:
     return F.greatest(F.lit(0.0), rate * (1 - step * REG) + step * REG - step * pull)
 
 
-def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, list[list[float]]]:
-    """Adds rate to rows with p and tokens; returns the steps' gradients as well, one
-    number a domain each. No tokens at all, or no rows, leave every rate at 1."""
-    rows = rows.withColumn("rate", F.lit(1.0))
+def solve_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[DataFrame, Steps]:
+    """Adds rate to rows with p and tokens; returns the steps as well. No tokens at all,
+    or no rows, leave every rate at 1 (0 for barred documents)."""
+    pushes = Steps()
+    pushes.zero = [d for d, name in enumerate(domains) if targets.get(name, 0.0) == 0 and len(domains) > 1]
+    free = (~barred(F.col("p"), pushes.zero)).cast("double")
+    rows = rows.withColumn("rate", free)
     p = [F.get("p", F.lit(d)) for d in range(len(domains))]
     total = rows.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * x).alias(f"s{d}") for d, x in enumerate(p)]).first()
     if not total["n"]:
-        return rows, []
+        return rows, pushes
     share = np.array([max(total[f"s{d}"] / total["n"], 1e-6) for d in range(len(domains))])
     goal = np.array([targets.get(d, 0.0) for d in domains])
-    pushes: list[list[float]] = []
+    pushes.converged = False
     for k in range(STEPS):
         got = rows.agg(*[F.sum(F.col("tokens") * F.col("rate") * x).alias(f"g{d}") for d, x in enumerate(p)]).first()
         push = (np.array(list(got)) / total["n"] - goal) / share
         if pushes and np.abs(push - pushes[-1]).max() < CLOSE:
+            pushes.converged = True
             break
         pushes.append(push.tolist())
-        rows = rows.withColumn("rate", stepped(F.col("rate"), F.col("p"), pushes[-1]))
+        rows = rows.withColumn("rate", stepped(F.col("rate"), F.col("p"), pushes[-1]) * free)
         if k % 12 == 11:
             rows = cut(rows)
+    if not pushes.converged:
+        log.warning("rates still move after %d steps", STEPS)
     return rows, pushes
 
 
@@ -187,10 +223,13 @@ def copies(rate: Column, doc: Column, text_hash: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(doc, text_hash, F.lit("copies")), F.lit(1 << 32)) / F.lit(float(1 << 32)))
 
 
-def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier, list[list[float]]]:
+def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier, Steps]:
     """Returns doc_id, text_hash, tokens, p, rate of each row of ``docs``, with the
-    classifier and the steps, from which replayed() gets a rate without a join. Other
-    columns are ignored."""
+    classifier and the steps, from which replayed() gets a rate without a join.
+
+    A null or empty text has no tokens and the posterior of an empty text; a null id
+    is a document like any other; repeated rows stay repeated, with equal rates. An
+    empty table gives no rows and no steps. Other columns are ignored."""
     model = fit(docs, labelled, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), predicted(model, text_col).alias("m"))
     rows = cut(rows.select("doc_id", "text_hash", "m.tokens", "m.p"))
@@ -198,11 +237,11 @@ def mix_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] =
     return rows, model, pushes
 
 
-def replayed(p: Column, pushes: list[list[float]]) -> Column:
+def replayed(p: Column, pushes: Steps) -> Column:
     rate = F.lit(1.0)
     for push in pushes:
         rate = stepped(rate, p, push)
-    return rate
+    return F.when(barred(p, pushes.zero), 0.0).otherwise(rate)
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
