@@ -403,3 +403,53 @@ def test_mixing_meets_targets(spark):
     total = sum(r["tokens"] for r in got)
     clean = sum(r["tokens"] * r["rate"] * r["p"][model.domains.index("clean")] for r in got) / total
     assert abs(clean - 1.0) < 0.05
+
+
+def test_rates_equal_a_reference_solver_and_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([3, 1, 0.3], 400)
+    tokens = rng.integers(0, 500, 400)
+    p[:20] = [0.01, 0.01, 0.98]
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    targets = {"clean": 0.8, "low": 0.1, "toxic": 0.0}
+    got, steps = mixing.solve_rates(rows, ["clean", "low", "toxic"], targets)
+    rate = np.array([r["rate"] for r in got.collect()])
+    assert steps.converged
+    share, w, goal, free = (tokens[:, None] * p).sum(axis=0) / tokens.sum(), tokens / tokens.sum(), np.array([0.8, 0.1, 0.0]), p[:, 2] <= 0.5
+    want = free.astype(float)
+    for _ in range(20_000):  # plain projected gradient, small steps
+        grad = p @ (((w * want) @ p - goal) / share) + mixing.REG * (want - 1)
+        want = np.maximum(0, want - 0.05 * grad) * free
+    assert np.abs(rate - want).max() < 0.02 and (rate[:20] == 0).all()
+    assert np.abs((w * rate) @ p - goal).max() < 0.05
+
+
+def test_clashing_labels_and_repeated_documents_are_settled(spark):
+    words = "garden river house stone window bright table paper silver night".split()
+    text = lambda i: " ".join(words[(i * k) % 10] + "xyz"[i * k % 3] for k in range(1, 40)) + (" idiot moron" if i % 4 == 0 else "")
+    rows = [(i, text(i)) for i in range(120)] + [(5, text(5))] * 30 + [(None, text(1)), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "domain", "x", "r", "rate", "p", "m", "tokens"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    labels = [(i, "toxic" if i % 4 == 0 else "clean") for i in range(100)] + [(4, "clean"), (4, "toxic"), (None, "toxic"), (3, None)]
+    make = lambda xs: spark.createDataFrame(xs, "id long, domain string")
+    one, two = mixing.fit(docs, make(labels)), mixing.fit(docs.repartition(7), make(labels[::-1]))
+    assert (one.weights == two.weights).all() and (one.bias == two.bias).all()
+    got, _, steps = mixing.mix_rates(docs, make(labels), {"clean": 1.0, "toxic": 0.0})
+    assert got.count() == len(rows)
+    alone = mixing.fit(docs, make([]))
+    assert alone.domains == ["clean"]
+
+
+def test_language_learns_from_long_texts_and_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_TEXTS", 5)
+    rows = [(f"{EN_[i % 4]} river and the house {i}", "en") for i in range(8)] + [("die straße und das schöne haus " * 1500 + str(i), "de") for i in range(3)]
+    rows += [("the same text of many copies", "en")] * 200 + [(None, "fr"), ("", "fr"), ("no language", None)]
+    df = spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.lit("clash")).withColumn("r", F.lit(0))
+    model = language.fit(df)
+    assert model.langs == ["de", "en"]
+    got = spark.createDataFrame([("über die straße",), ("the river and the garden",), (None,), ("12 34",)], "text string").select(language.predicted(model).alias("f")).collect()
+    assert [r["f"]["lang_pred"] for r in got] == ["de", "en", "und", "und"]
+
+
+EN_ = ["of the", "in that", "with was", "to be"]
