@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streetwise.llm import decontamination, language, mixing, near_duplicates, token_files
-from streetwise.llm.common import BROADCAST_ROWS, cut, scratch_path
+from streetwise.llm.common import cut, removed, scratch_path, small
 
 
-def _without(docs: DataFrame, keys: DataFrame, key) -> DataFrame:
-    """``docs`` but for the rows whose key is in ``keys`` (one column, k)."""
-    keys = cut(keys.distinct())
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    return docs.join(keys, key == keys["k"], "left_anti")
+def _without(docs: DataFrame, keys: DataFrame, *columns) -> DataFrame:
+    """``docs`` but for the rows whose columns equal the columns k0, k1, ... of ``keys``."""
+    keys = small(cut(keys.distinct()))
+    same = F.lit(True)
+    for i, c in enumerate(columns):
+        same = same & c.eqNullSafe(keys[f"k{i}"])
+    return docs.join(keys, same, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays. Of rows
     that repeat an id one stays, by a hash of the text; rows without an id stay."""
     found = near_duplicates.near_duplicates(docs)
-    out = _without(docs, found.where("not kept").select(F.col("doc_id").alias("k")), docs["doc_id"])
+    out = _without(docs, found.where("not kept").select(F.col("doc_id").alias("k0")), docs["doc_id"])
     repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("k")))
-    n = repeated.count()
-    if not n:
+    if repeated.isEmpty():
         return out
-    repeated = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    repeated = small(repeated)
     again = out.join(repeated, out["doc_id"] == repeated["k"], "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     once = again.select(F.struct(*[again[c] for c in again.columns]).alias("row"), first.alias("place")).where("place = 1").select("row.*")
@@ -48,23 +49,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. A null text has no words and
+    stays; all rows that repeat a document go or stay together, by id and a hash of the
+    text; an empty table, or an empty benchmark, leaves everything as it is."""
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("contaminated").select(F.xxhash64("doc_id", "text_hash").alias("k"))
-    return _without(docs, hit, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"])))
+    hit = found.where("contaminated").select(F.col("doc_id").alias("k0"), F.col("text_hash").alias("k1"))
+    return _without(docs, hit, docs["doc_id"], F.xxhash64(docs["text"]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its rate says; those of rate 0 go."""
-    _, model, pushes = mixing.mix_rates(docs, mixing.labels_of(spark, sf_dir))
+    """Each document comes as often as its rate says; those of rate 0 go. A null text is
+    an empty one; rows that repeat a document all come equally often; an empty table
+    stays empty; without labels every document comes once."""
+    _, model, steps = mixing.mix_rates(docs, mixing.labels_of(spark, sf_dir))
     own = F.struct(*[F.col(c) for c in docs.columns])
     rows = docs.select(own.alias("row"), F.xxhash64("text").alias("h"), mixing.predicted(model).alias("m"))
-    n = mixing.copies(mixing.replayed(F.col("m.p"), pushes), F.col("row.doc_id"), F.col("h"))
+    n = mixing.copies(mixing.replayed(F.col("m.p"), steps), F.col("row.doc_id"), F.col("h"))
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in directly addressable codes; returns what is read back from them."""
+    """Token files in directly addressable codes; returns what is read back from them. A
+    null text has the end id alone; null ids come first; rows that repeat a document are
+    documents of their own; an empty table gives no rows."""
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(docs, path, token_files.default_tokenizer())
     return token_files.read_tokens(spark, path)
@@ -76,11 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = scratch_path(spark, name)
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return docs
