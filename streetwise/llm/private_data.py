@@ -261,7 +261,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = pairs.select("key", "concept", "term").join(small(disclosed), ["concept", "term"]).select("key", "concept", "term")
     hits = cut(hits.distinct())
     own = cut(hits.select("key").distinct())
-    at = base.join(small(own), "key", "left_semi").dropDuplicates(["key"])
+    at = base.join(small(own), "key", "left_semi")  # places of repeated rows fall together below
     at = _freed(at.select("key", "text", base_spans(F.col("text")).alias("spans"))).select("key", _blank(F.col("free"), OPAQUE).alias("free"))
     at = at.select("key", F.explode(matches(F.col("free"), TERM)).alias("x"))
     at = at.select("key", "x", F.xxhash64(F.lower("x.v")).alias("term"), _class_of(F.col("x.v")).alias("class"))
