@@ -32,7 +32,7 @@ EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
 #: Words kept in each of the two generations of a worker's memory.
-WORDS = 300_000
+WORDS = 150_000
 
 
 def pack(ids: np.ndarray) -> bytes:
