@@ -33,7 +33,7 @@ BUCKETS = BANDS * ROWS
 #: Least similarity in percent: 100 * intersection >= LEAST * union.
 LEAST = 80
 #: Shingles in one block of a bucket, and members in one where only registers are compared.
-BLOCK, MEMBERS = 300_000, 4096
+BLOCK, MEMBERS = 300_000, 1024
 _U = np.uint64
 _SEED = np.arange(1, BUCKETS + 1, dtype=_U)
 _A, _B = mix(_SEED) | _U(1), mix(_SEED + _U(1 << 32))
