@@ -76,7 +76,8 @@ def _udf(boost: float | None):
 
 def jw(a: Column, b: Column, boost: float | None = 0.7) -> Column:
     """Jaro-Winkler similarity; null if either is null, 0 for two empty strings."""
-    return F.arrow_udf(_udf(boost), "double")(a, b)
+    # Marked so that a filter on the value stays above the one place where it is computed.
+    return F.arrow_udf(_udf(boost), "double").asNondeterministic()(a, b)
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .matching import CANDIDATE, alias_filter, candidates_of
 from .scoring import SCORES, WEIGHTS
-from .tables import CACHE, aligned, insert_ignore
+from .tables import CACHE, aligned, new_rows
 
 
 def usable(weights: dict | None, alias_types=None, store: bool = False) -> bool:
@@ -23,8 +23,13 @@ def storable(results: DataFrame, threshold: int = 95, now: Column | None = None)
     return aligned(rows.withColumn("cached_at", now if now is not None else F.current_timestamp()), CACHE)
 
 
+def new_entries(cache: DataFrame, results: DataFrame, threshold: int = 95, now: Column | None = None) -> DataFrame:
+    """The entries that the cache lacks."""
+    return new_rows(cache, storable(results, threshold, now), "input_standardised", [F.desc("total_score"), F.asc("address_detail_pid")])
+
+
 def store(cache: DataFrame, results: DataFrame, threshold: int = 95, now: Column | None = None) -> DataFrame:
-    return insert_ignore(cache, storable(results, threshold, now), "input_standardised", [F.desc("total_score"), F.asc("address_detail_pid")])
+    return cache.unionByName(new_entries(cache, results, threshold, now))
 
 
 def source_of(core: DataFrame, custom: DataFrame | None) -> DataFrame:

@@ -9,28 +9,38 @@ fuzzy locality, street alone.
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jw
+from ..scratch import Scratch
 from . import parser
 from .scoring import SCORES, WEIGHTS, check_weights, number_gate, with_scores
 
 log = logging.getLogger(__name__)
 
 #: Columns of a candidate, and of a parsed input, that matching needs.
-CANDIDATE = (
-    "address_detail_pid address_label building_name flat_type flat_number number_first number_last street_name street_type street_suffix locality_name state postcode "
-    "longitude latitude source alias_type date_created legal_parcel_id mb_code alias_principal principal_pid primary_secondary primary_pid geocode_type"
-).split()
+CANDIDATE = [
+    "address_detail_pid", "address_label", "building_name", "flat_type", "flat_number", "number_first", "number_last", "street_name", "street_type", "street_suffix",
+    "locality_name", "state", "postcode", "longitude", "latitude", "source", "alias_type", "date_created", "legal_parcel_id", "mb_code",
+    "alias_principal", "principal_pid", "primary_secondary", "primary_pid", "geocode_type",
+]
+#: Result columns that come first, in this order (a fixed value).
+FIRST = ["input_id", "input_raw", "input_standardised", "address_label", "match_rank", "matched", "match_status", "total_score", *SCORES]
 INPUT = ["input_id", *parser.FIELDS]
 LEAST_STREET, LEAST_LOCALITY = 0.3, 0.85
 OFFSETS = [-3, -2, -1, 1, 2, 3]
 #: Inputs of so few rows are sent to the address table's partitions instead of shuffling it.
 SMALL_INPUTS = 200_000
 ANY = "any"
+#: A record with a range of up to NEAR numbers offers each of them; one of up to WIDE
+#: numbers the blocks of 2 ** BLOCK_BITS numbers that it touches; a wider one (no street
+#: has such numbers) the whole block of the path.
+NEAR, WIDE, BLOCK_BITS = 32, 4096, 5
 
 
 def alias_filter(alias_types: list[str | None] | None) -> Column:
@@ -52,32 +62,50 @@ def inputs_of(parsed: DataFrame) -> DataFrame:
     return parsed.select(*[F.col(c) if c in parsed.columns else F.lit(None).cast(parser.FIELDS.get(c, "int")).alias(c) for c in INPUT])
 
 
-def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate: bool = True, small: bool = False) -> DataFrame:
+def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate: bool = True, small: bool = False, least_street: float | None = None) -> DataFrame:
     """Pairs of an input and a candidate with equal block values that pass the number
     gate. The gate is an OR, so it is split into disjoint keys of one equi-join: block
-    and number; block of records with a range (n in it, but not its first); block of
-    records without a number (for inputs with a letter); the block alone for inputs
-    without a number. Rows of a block never meet rows that no key lets pass."""
+    and number (the first one, or one inside a range); block of the path and block of
+    numbers, for wide ranges; block of records without a number (for inputs with a
+    letter); the block alone for inputs without a number. Rows never meet rows that no
+    key lets pass, and a range meets only the numbers near it.
+
+    With ``least_street``, inputs without a number that have a street meet the block's
+    different street names first, and records only of those that are as alike."""
     no = F.lit(None).cast("int")
-    key = lambda kind, number=no: F.struct(F.lit(kind).alias("kind"), number.alias("n"))
-    pick = lambda *keys: F.filter(F.array(*keys), lambda k: k.isNotNull())
+    key = lambda kind, number=no: F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("n"))
     n, first, last = F.col("in_number_first"), F.col("number_first"), F.col("number_last")
+    wants, offers = F.array(key(ANY)), F.array(key(ANY))
     if gate:
-        wants = pick(F.when(n.isNull(), key(ANY)), F.when(n.isNotNull(), key("number", n)), F.when(n.isNotNull(), key("range")), F.when(n.isNotNull() & F.col("in_number_suffix").isNotNull(), key("letter")))
-        offers = pick(key(ANY), F.when(first.isNotNull(), key("number", first)), F.when(last.isNotNull() & (last >= first), key("range")), F.when(first.isNull(), key("letter")))
-    else:
-        wants = offers = F.array(key(ANY))
-    a = inputs.where(F.col(left).isNotNull()).withColumn("k", F.explode(wants))
-    a = a.select("*", F.col("k.kind").alias("k_kind"), F.coalesce("k.n", F.lit(-1)).alias("k_n")).drop("k")
-    b = addresses.where(F.col(right).isNotNull()).withColumn("k", F.explode(offers))
-    b = b.select("*", F.col("k.kind").alias("o_kind"), F.coalesce("k.n", F.lit(-1)).alias("o_n")).drop("k")
+        none = F.array().cast("array<struct<kind:string,n:int>>")
+        wants = F.when(n.isNull(), wants).otherwise(F.filter(F.array(key("number", n), key("blocks", F.shiftright(n, BLOCK_BITS)), key("wide"), F.when(F.col("in_number_suffix").isNotNull(), key("letter"))), lambda k: k.isNotNull()))
+        span = last.cast("long") - first.cast("long")
+        inside = F.transform(F.sequence(first + 1, last), lambda i: key("number", i))
+        blocks = F.transform(F.sequence(F.shiftright(first, BLOCK_BITS), F.shiftright(last, BLOCK_BITS)), lambda i: key("blocks", i))
+        ranged = F.when(last.isNull() | (span <= 0), none).when(span < NEAR, inside).when(span < WIDE, blocks).when(span >= WIDE, F.array(key("wide"))).otherwise(none)
+        offers = F.concat(offers, F.when(first.isNull(), F.array(key("letter"))).otherwise(F.array(key("number", first))), F.coalesce(ranged, none))
+    a = inputs.where(F.col(left).isNotNull())
+    b = addresses.where(F.col(right).isNotNull())
+    by_street = None
+    if gate and least_street is not None:
+        named = n.isNull() & F.col("in_street_name").isNotNull()
+        asked, a = a.where(named), a.where(~named)
+        names = b.where("street_name is not null").select(F.col(right).alias("_block"), "street_name").distinct()
+        asked_names = asked.select(F.col(left).alias("_block"), "in_street_name").distinct()
+        asked_names = F.broadcast(asked_names) if small else asked_names
+        near = names.join(asked_names, "_block").withColumn("_jw", jw(F.col("in_street_name"), F.col("street_name"))).where(F.col("_jw") >= least_street)
+        near = near.select("_block", F.col("in_street_name").alias("_asked"), F.col("street_name").alias("_street"))
+        chosen = near.join(F.broadcast(asked) if small else asked, (F.col("_block") == asked[left]) & (F.col("_asked") == asked["in_street_name"]))
+        by_street = b.join(chosen, (b[right] == F.col("_block")) & (b["street_name"] == F.col("_street"))).select(*[b[c] for c in b.columns], *[F.col(c) for c in a.columns])
+    a = a.withColumn("k", F.explode(wants)).select("*", F.col("k.kind").alias("k_kind"), F.coalesce("k.n", F.lit(-1)).alias("k_n")).drop("k")
+    offered = b.withColumn("k", F.explode(offers)).select("*", F.col("k.kind").alias("o_kind"), F.coalesce("k.n", F.lit(-1)).alias("o_n")).drop("k")
     a = F.broadcast(a) if small else a
-    pairs = b.join(a, (a[left] == b[right]) & (F.col("k_kind") == F.col("o_kind")) & (F.col("k_n") == F.col("o_n")))
+    pairs = offered.join(a, (a[left] == offered[right]) & (F.col("k_kind") == F.col("o_kind")) & (F.col("k_n") == F.col("o_n")))
     if gate:
         col = {c: F.col(c) for c in ("in_number_first", "in_number_suffix", "number_first", "number_last", "address_label")}
-        inside = (F.col("k_kind") != "range") | (F.col("in_number_first") != first)
-        pairs = pairs.where(number_gate(col) & inside)
-    return pairs.drop("k_kind", "k_n", "o_kind", "o_n")
+        pairs = pairs.where(number_gate(col) & (~F.col("k_kind").isin("blocks", "wide") | (F.col("in_number_first") != first)))
+    pairs = pairs.drop("k_kind", "k_n", "o_kind", "o_n")
+    return pairs if by_street is None else pairs.unionByName(by_street)
 
 
 def best(scored: DataFrame, max_results: int, dedupe: bool = False) -> DataFrame:
@@ -88,6 +116,13 @@ def best(scored: DataFrame, max_results: int, dedupe: bool = False) -> DataFrame
     return scored.withColumn("match_rank", F.row_number().over(Window.partitionBy("input_id").orderBy(*order))).where(F.col("match_rank") <= max_results)
 
 
+def least_similarity(min_score: int, weights: dict, postcode_known: bool = True) -> float:
+    """The street similarity below which no pair can reach the floor, whatever its other
+    parts; never below the coarse one."""
+    others = sum(weights.values()) - weights["street"] - (0 if postcode_known else weights["postcode"])
+    return max(LEAST_STREET, (min_score - 0.5 - 3 - others) / weights["street"]) if weights["street"] else LEAST_STREET
+
+
 def score_path(pairs: DataFrame, max_results: int, min_score: int, weights: dict | None = None) -> DataFrame:
     """Coarse street similarity, six scores, floor, rank."""
     pairs = pairs.withColumn("jw_street", jw(F.col("in_street_name"), F.col("street_name")))
@@ -101,7 +136,9 @@ def postcode_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1,
 
 
 def state_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False) -> DataFrame:
-    return score_path(block(inputs, addresses.where(alias_filter(alias_types)), "in_state", "state", small=small), max_results, min_score, weights)
+    """A state has very many records: inputs without a number meet its street names first."""
+    least = least_similarity(min_score, check_weights(weights))
+    return score_path(block(inputs, addresses.where(alias_filter(alias_types)), "in_state", "state", small=small, least_street=least), max_results, min_score, weights)
 
 
 def locality_index(*tables: DataFrame) -> DataFrame:
@@ -163,12 +200,30 @@ def diagnostics(path: DataFrame) -> DataFrame:
     return path.groupBy("input_id").agg(F.count("*").alias("retained_count"), F.max("total_score").alias("best_score"))
 
 
-def attach(parsed: DataFrame, results: DataFrame) -> DataFrame:
-    """Every input with its matches, or once without any, and why."""
+def merged_diagnostics(parts: list[DataFrame]) -> DataFrame:
+    """Diagnostics of several paths together: counts add up, the best score counts."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("input_id").agg(F.coalesce(F.sum("retained_count"), F.lit(0)).alias("retained_count"), F.max("best_score").alias("best_score"))
+
+
+def attach(parsed: DataFrame, results: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Every input with its matches, or once without any, and why; with ``found`` also the
+    paths' diagnostics. Columns that say most come first."""
     own = [c for c in results.columns if c == "input_id" or c not in parsed.columns]
     out = parsed.join(results.select(*own), "input_id", "left").withColumn("matched", F.col("address_detail_pid").isNotNull())
     lost = F.col("in_street_name").isNull() | (F.col("in_postcode").isNull() & F.col("in_state").isNull() & F.col("in_locality").isNull())
-    return out.withColumn("match_status", F.when(F.col("matched"), "matched").when(lost, "insufficient_parse").otherwise("no_candidate"))
+    out = out.withColumn("match_status", F.when(F.col("matched"), "matched").when(lost, "insufficient_parse").otherwise("no_candidate"))
+    if found is not None:
+        out = out.join(found, "input_id", "left").withColumn("retained_count", F.coalesce("retained_count", F.lit(0)))
+    first = [c for c in FIRST if c in out.columns]
+    return out.select(*first, *[c for c in out.columns if c not in first])
+
+
+def ordered(results: DataFrame) -> DataFrame:
+    """By input, matched rows first, then by rank."""
+    return results.orderBy("input_id", F.desc("matched"), "match_rank")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -195,53 +250,66 @@ class Settings:
     cache_threshold: int = 95
 
 
-def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, localities: DataFrame, settings: Settings, cached: DataFrame | None = None) -> DataFrame:
+def release(results: DataFrame) -> None:
+    """Removes the tables that match_parsed() keeps for its result."""
+    for scratch in getattr(results, "kept", []):
+        scratch.close()
+
+
+def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, localities: DataFrame, settings: Settings, cached: Callable[[DataFrame], DataFrame] | DataFrame | None = None, with_diagnostics: bool = False) -> DataFrame:
     """Runs the paths over parsed inputs (with input_raw and input_standardised).
 
-    Each path's result is persisted: the paths after it only take the inputs that it
-    left over, and would otherwise compute it again. ``cached`` has input_id,
-    candidate columns and scores of cache hits."""
-    s = settings
+    Each path's result is written and read again: later paths take only the inputs that
+    it left over, and their plans stay short. In the end only the parsed inputs and the
+    combined results are kept, until release(). ``cached`` has input_id, candidate
+    columns and scores of cache hits, or makes them from the parsed inputs. The result
+    has no order; ordered() gives the reports' one."""
+    s, began = settings, time.monotonic()
     weights = check_weights(s.weights)
-    parsed = parsed.persist()
+    result, between = Scratch(parsed.sparkSession), Scratch(parsed.sparkSession)
+    parsed = result.keep(parsed)
     inputs = parsed.select(*[F.col(c) for c in [*INPUT, "input_raw"] if c in parsed.columns])
     small = parsed.count() <= SMALL_INPUTS
     addresses = candidates_of(core)
     if s.include_custom and custom is not None:
         addresses = addresses.unionByName(candidates_of(custom))
-    held = [parsed]
+    steps: list[tuple[str, DataFrame]] = []
 
     def run(name: str, found: DataFrame) -> DataFrame:
-        # Both tables are one relation here: its best k are those of the tables' best k.
-        out = best(found, s.max_results, dedupe=True).persist()
-        log.info("%s path: %d rows", name, out.count())
-        held.append(out)
-        return out
+        steps.append((name, between.keep(found)))
+        if log.isEnabledFor(logging.INFO):
+            log.info("%s: %d rows of %d inputs, %.1f s", name, *steps[-1][1].agg(F.count("*"), F.countDistinct("input_id")).first(), time.monotonic() - began)
+        return steps[-1][1]
 
-    # A record may stand in both tables; twice the results leave enough after that.
+    # A record may stand in both tables, which are one relation here: twice the results
+    # are enough to have the best different ones.
     common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small}
     aliased = common | {"alias_types": s.alias_types}
     ids = lambda df: df.select("input_id").distinct()
-    exact = run("exact", exact_path(inputs, addresses, weights, s.alias_types).drop("match_rank"))
-    paths, rest = [exact], inputs.join(ids(exact), "input_id", "left_anti")
+    done = run("exact", exact_path(inputs, addresses, weights, s.alias_types))
+    rest = inputs.join(ids(done), "input_id", "left_anti")
     if cached is not None:
-        hits = cached.join(ids(exact), "input_id", "left_anti").persist()
-        held.append(hits)
-        paths.append(hits)
+        hits = cached(parsed) if callable(cached) else cached
+        hits = run("cache", hits.join(ids(done), "input_id", "left_anti"))
         rest = rest.join(ids(hits), "input_id", "left_anti")
-    rest = rest.drop("input_raw")
+    rest = between.keep(rest.drop("input_raw"))
     with_code, without = rest.where("in_postcode is not null"), rest.where("in_postcode is null")
     by_code = run("postcode", postcode_path(with_code, addresses, **aliased))
-    by_state = run("state", state_path(without, addresses, **aliased))
-    paths += [by_code, by_state]
+    run("state", state_path(without, addresses, **aliased))
     if s.locality_fallback:
-        strong = by_code.groupBy("input_id").agg(F.max("total_score").alias("top")).where(F.col("top") > s.fallback_threshold)
-        weak = with_code.join(ids(strong), "input_id", "left_anti").unionByName(without).where("in_locality is not null")
-        paths.append(run("locality", locality_path(weak, addresses, localities, **aliased)))
+        strong = by_code.where(F.col("total_score") > s.fallback_threshold)
+        weak = between.keep(with_code.join(ids(strong), "input_id", "left_anti").unionByName(without).where("in_locality is not null"))
+        run("locality", locality_path(weak, addresses, localities, **aliased))
     if s.street_only_fallback:
-        done = paths[0].select("input_id")
-        for p in paths[1:]:
-            done = done.union(p.select("input_id"))
-        open_inputs = rest.where("in_postcode is not null and in_street_name is not null").join(done.distinct(), "input_id", "left_anti")
-        paths.append(run("street", street_only_path(open_inputs, candidates_of(core), **common)))
-    return attach(parsed, combine(paths, s.max_results)).orderBy("input_id", F.desc("matched"), "match_rank")
+        seen = steps[0][1].select("input_id")
+        for _, p in steps[1:]:
+            seen = seen.union(p.select("input_id"))
+        open_inputs = between.keep(rest.where("in_postcode is not null and in_street_name is not null").join(seen.distinct(), "input_id", "left_anti"))
+        run("street", street_only_path(open_inputs, candidates_of(core), **common))
+    combined = result.keep(combine([p for _, p in steps], s.max_results))
+    found = result.keep(merged_diagnostics([diagnostics(p) for _, p in steps])) if with_diagnostics else None
+    between.close()
+    log.info("matched in %.1f s", time.monotonic() - began)
+    out = attach(parsed, combined, found)
+    out.kept = [result]
+    return out

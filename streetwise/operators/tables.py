@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-#: The address record: name and type, in order.
+#: The address record and the cache entry: name and type, in order. Fixed values.
 ADDRESS = {
-    **dict.fromkeys("address_detail_pid address_label address_site_name building_name flat_type flat_number level_type level_number".split(), "string"),
-    "number_first": "int", "number_last": "int", **dict.fromkeys("lot_number street_name street_type street_suffix locality_name state".split(), "string"),
-    "postcode": "int", "longitude": "double", "latitude": "double", "source": "string", "alias_type": "string", "date_created": "date",
-    **dict.fromkeys("legal_parcel_id mb_code alias_principal principal_pid primary_secondary primary_pid geocode_type".split(), "string"),
+    "address_detail_pid": "string", "address_label": "string", "address_site_name": "string", "building_name": "string", "flat_type": "string",
+    "flat_number": "string", "level_type": "string", "level_number": "string", "number_first": "int", "number_last": "int",
+    "lot_number": "string", "street_name": "string", "street_type": "string", "street_suffix": "string", "locality_name": "string",
+    "state": "string", "postcode": "int", "longitude": "double", "latitude": "double", "source": "string",
+    "alias_type": "string", "date_created": "date", "legal_parcel_id": "string", "mb_code": "string", "alias_principal": "string",
+    "principal_pid": "string", "primary_secondary": "string", "primary_pid": "string", "geocode_type": "string",
+}
+CACHE = {
+    "input_standardised": "string", "address_detail_pid": "string", "total_score": "int", "score_postcode": "int", "score_suburb": "int",
+    "score_street_name": "int", "score_street_type": "int", "score_number": "int", "score_flat": "int", "cached_at": "timestamp",
 }
-CACHE = {"input_standardised": "string", "address_detail_pid": "string", "total_score": "int", **dict.fromkeys("score_postcode score_suburb score_street_name score_street_type score_number score_flat".split(), "int"), "cached_at": "timestamp"}
 #: Source of records that were loaded from files; others are custom.
 CORE = "core"
 LOCALITY = {"locality_name": "string", "postcode": "int", "state": "string"}
 REQUIRED = ["number_first", "street_name", "street_type", "locality_name", "state", "postcode"]
-_UPPER = "address_label building_name flat_type flat_number street_name street_type street_suffix locality_name state legal_parcel_id mb_code alias_principal principal_pid primary_secondary primary_pid geocode_type".split()
+_UPPER = [
+    "address_label", "building_name", "flat_type", "flat_number", "street_name", "street_type", "street_suffix",
+    "locality_name", "state", "legal_parcel_id", "mb_code", "alias_principal", "principal_pid", "primary_secondary",
+    "primary_pid", "geocode_type",
+]
 #: Columns that an upsert leaves as they were.
 KEPT = {"address_detail_pid", "address_site_name", "level_type", "level_number", "lot_number", "source", "alias_type"}
 
@@ -29,16 +38,23 @@ def aligned(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(c).try_cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in schema.items()])
 
 
-def insert_ignore(table: DataFrame, rows: DataFrame, key: str | list[str], order: list[Column] | None = None) -> DataFrame:
-    """Adds the rows whose key the table lacks; of equal new keys the first by ``order``.
-    A null key equals no other."""
+def new_rows(table: DataFrame, rows: DataFrame, key: str | list[str], order: list[Column] | None = None) -> DataFrame:
+    """The rows whose key the table lacks; of equal new keys the first by ``order``, or the
+    first as the rows lie (in the file they come from). A null key equals no other."""
     keys = [key] if isinstance(key, str) else key
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)])))
+    if order is None:
+        rows, order = rows.withColumn("_at", F.monotonically_increasing_id()), [F.col("_at")]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    once = rows.withColumn("_n", first).where(~whole | (F.col("_n") == 1)).drop("_n")
-    return table.unionByName(once.join(table.select(*keys), keys, "left_anti").select(*table.columns))
+    once = rows.withColumn("_n", first).where(~whole | (F.col("_n") == 1)).drop("_n", "_at")
+    return once.join(table.select(*keys), keys, "left_anti").select(*table.columns)
+
+
+def insert_ignore(table: DataFrame, rows: DataFrame, key: str | list[str], order: list[Column] | None = None) -> DataFrame:
+    """The table with its new_rows()."""
+    return table.unionByName(new_rows(table, rows, key, order))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "address_detail_pid", kept: set[str] = KEPT) -> DataFrame:
@@ -84,7 +100,7 @@ def custom_rows(rows: DataFrame, existing: DataFrame, order: list[str] | None =
 
 def street_aliases(addresses: DataFrame) -> DataFrame:
     """A record for each different street of core records, without numbers. Its id is a
-    digest of its six parts."""
+    digest of its six parts; prefix, order of the parts and separator are fixed values."""
     parts = ["street_name", "street_type", "street_suffix", "locality_name", "state", "postcode"]
     core = addresses.where("source = 'core' and alias_type is null and street_name is not null and locality_name is not null and postcode is not null and state is not null")
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]))

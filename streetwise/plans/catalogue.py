@@ -105,7 +105,8 @@ def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.with_scores(pairs).select("input_id", "address_detail_pid", *sc.SCORES)
 
 
-_NAMES = "SELECT DISTINCT i.in_street_name AS a, g.street_name AS b FROM (SELECT DISTINCT in_street_name FROM inp WHERE in_street_name IS NOT NULL) i JOIN (SELECT DISTINCT street_name FROM addr) g ON substring(i.in_street_name, 1, 1) = substring(g.street_name, 1, 1)"
+#: Each input's street with the streets of its postcode: names of all kinds of likeness.
+_NAMES = "SELECT DISTINCT i.in_street_name AS a, g.street_name AS b FROM inp i JOIN addr g ON g.postcode = coalesce(i.in_postcode, 4000) WHERE i.in_street_name IS NOT NULL"
 
 
 @query("jw_pairs", f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS jw FROM ({_NAMES})")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache as ca
-from ..operators import diagnostics, perturb, spatial
+from ..operators import diagnostics, parser, perturb, spatial
 from ..operators import matching as m
 from ..operators import tables as tb
 from ..sources import ingest
@@ -87,11 +87,11 @@ def table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.status({"addresses": addr, "custom_addresses": cust, "missing": None})
 
 
-@query("custom_rows", "SELECT upper(trim(' ' || lower(street_name))) AS street_name, number_first, postcode, 'custom' AS source, CAST(NULL AS VARCHAR) AS alias_type FROM cust")
+@query("custom_rows", "SELECT 'CUSTOM_' || CAST(row_number() OVER (ORDER BY lower(street_name), street_type NULLS FIRST, locality_name, state, postcode, number_first NULLS FIRST) AS VARCHAR) AS address_detail_pid, upper(trim(' ' || lower(street_name))) AS street_name, number_first, postcode, 'custom' AS source, CAST(NULL AS VARCHAR) AS alias_type FROM cust")
 def custom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     addr, cust = load(spark, sf_dir, "addr", "cust")
     rows = cust.select(F.concat(F.lit(" "), F.lower("street_name")).alias("street_name"), "street_type", "locality_name", "state", "postcode", "number_first")
-    return tb.custom_rows(rows, addr).select("street_name", "number_first", "postcode", "source", "alias_type")
+    return tb.custom_rows(rows, addr).select("address_detail_pid", "street_name", "number_first", "postcode", "source", "alias_type")
 
 
 @query("sample_rows")
@@ -106,6 +106,24 @@ def perturb_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb.perturb_sample(addr, 50, seed=7).select("address_detail_pid", "address_label", "simulated_address", "perturbations")
 
 
+_FOUND = f"SELECT i.input_id, i.input_raw, g.address_label FROM inp i LEFT JOIN (SELECT r.input_id, a.address_label FROM ({o.path('inp', 'addr', 'g.postcode = i.in_postcode')}) r JOIN addr a ON a.address_detail_pid = r.address_detail_pid) g ON g.input_id = i.input_id"
+
+
+def _normal(c: str) -> str:
+    """No word of these labels has digits and letters stuck together but for one letter."""
+    return f"trim(regexp_replace(translate(upper({c}), ',.', '  '), '\\s+', ' ', 'g'))"
+
+
+def _grams(c: str) -> str:
+    return f"list_distinct([substring({c}, CAST(k AS INT), 2) FOR k IN range(1, length({c}))])"
+
+
+@query("text_jaccard", f"SELECT input_id, address_label, round(100 * (len(list_intersect({_grams('a')}, {_grams('b')})) / len(list_distinct(list_concat({_grams('a')}, {_grams('b')})))), 1) AS text_jaccard FROM (SELECT input_id, address_label, {_normal('input_raw')} AS a, {_normal('address_label')} AS b FROM ({_FOUND}))")
+def text_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_diagnostics(spark, sf_dir).select("input_id", "address_label", "text_jaccard")
+
+
+#: No SQL: its Jaro-Winkler counts transpositions in halves, as DuckDB's does not.
 @query("text_diagnostics")
 def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp, addr = load(spark, sf_dir, "inp", "addr")
@@ -115,21 +133,69 @@ def text_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- full pipeline ------------------------------------------------------------
 
-_CODE = o.path("(SELECT * FROM inp WHERE in_postcode IS NOT NULL)", "al", "g.postcode = i.in_postcode")
-_NO_CODE = o.path("(SELECT * FROM inp WHERE in_postcode IS NULL)", "al", "g.state = i.in_state")
+_STATUS = "address_detail_pid IS NOT NULL AS matched, CASE WHEN address_detail_pid IS NOT NULL THEN 'matched' WHEN i.in_street_name IS NULL OR (i.in_postcode IS NULL AND i.in_state IS NULL AND i.in_locality IS NULL) THEN 'insufficient_parse' ELSE 'no_candidate' END AS match_status"
 
 
-@query("match_full_pipeline", f""", al AS (SELECT * FROM addr UNION ALL SELECT * FROM cust), ix AS ({o.INDEX}), pr AS ({_CODE}), sr AS ({_NO_CODE}),
-weak AS (SELECT * FROM inp WHERE in_locality IS NOT NULL AND (in_postcode IS NULL OR input_id NOT IN (SELECT input_id FROM pr WHERE total_score > 90))), wide AS ({o.widened("weak", "ix")}),
-lr AS ({o.path("wide", "al", "g.postcode = i.alt_postcode")}), br AS ({o.best_of(["SELECT * FROM pr", "SELECT * FROM sr", "SELECT * FROM lr"], 1)})
-SELECT i.input_id, address_detail_pid, total_score, match_rank, address_detail_pid IS NOT NULL AS matched, CASE WHEN address_detail_pid IS NOT NULL THEN 'matched' WHEN i.in_street_name IS NULL OR (i.in_postcode IS NULL AND i.in_state IS NULL AND i.in_locality IS NULL) THEN 'insufficient_parse' ELSE 'no_candidate' END AS match_status FROM inp i LEFT JOIN br ON br.input_id = i.input_id""")
-def match_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paths(inputs: str, k: int = 1) -> str:
+    """Common table expressions of the postcode, state and locality paths."""
+    code = o.path(f"(SELECT * FROM {inputs} WHERE in_postcode IS NOT NULL)", "al", "g.postcode = i.in_postcode", k)
+    none = o.path(f"(SELECT * FROM {inputs} WHERE in_postcode IS NULL)", "al", "g.state = i.in_state", k)
+    return f"""ix AS ({o.INDEX}), pr AS ({code}), sr AS ({none}),
+weak AS (SELECT * FROM {inputs} WHERE in_locality IS NOT NULL AND (in_postcode IS NULL OR input_id NOT IN (SELECT input_id FROM pr WHERE total_score > 90))), wide AS ({o.widened("weak", "ix")}),
+lr AS ({o.path("wide", "al", "g.postcode = i.alt_postcode", 2 * k)})"""
+
+
+@query("match_block_paths", f", al AS (SELECT * FROM addr UNION ALL SELECT * FROM cust), {_paths('inp')}, br AS ({o.best_of(['SELECT * FROM pr', 'SELECT * FROM sr', 'SELECT * FROM lr'], 1)}) SELECT i.input_id, address_detail_pid, total_score, match_rank, {_STATUS} FROM inp i LEFT JOIN br ON br.input_id = i.input_id")
+def match_block_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postcode, state and locality paths alone: no raw text, no cache, no street-only records."""
     inp, addr, cust = (t.persist() for t in load(spark, sf_dir, "inp", "addr", "cust"))  # they stand for stored tables
     parsed = m.inputs_of(inp).withColumn("input_raw", F.lit(None).cast("string"))
     out = m.match_parsed(parsed, addr, cust, m.locality_index(addr, cust), m.Settings())
     return out.select("input_id", "address_detail_pid", "total_score", "match_rank", "matched", "match_status")
 
 
+#: Raw texts of the inputs: every fourth is a label, the others are damaged. Their parts are such
+#: that SQL knows what the parser makes of them.
+_KEYED = "SELECT CAST(substring(address_detail_pid, 2, 9) AS INT) AS k, a.* FROM addr a"
+_TEXTS = f"""SELECT k AS input_id, k % 4 = 0 AS exact, CASE WHEN k % 4 = 0 THEN address_label ELSE concat_ws(' ', CAST(k % 60 + 1 AS VARCHAR(20)), street, 'STREET,', locality, state, code) END AS input_raw,
+  k % 60 + 1 AS n, number_last, flat_number, number_first IS NULL AS lettered, street, locality, state, code
+FROM (SELECT k, address_label, number_first, number_last, flat_number, state,
+  CASE WHEN k % 4 <> 0 AND k % 37 = 1 THEN 'Q ' || street_name ELSE street_name END AS street,
+  CASE WHEN k % 4 <> 0 AND k % 5 = 1 THEN substring(locality_name, 1, length(locality_name) - 1) ELSE locality_name END AS locality,
+  CASE WHEN k % 4 <> 0 AND k % 7 = 0 THEN NULL WHEN k % 4 <> 0 AND k % 7 = 3 THEN '9999' ELSE CAST(postcode AS VARCHAR(20)) END AS code
+  FROM ({_KEYED}) s WHERE k % 3 = 0) d"""
+_PARSED = f"""SELECT input_id, input_raw, TRY_CAST(code AS INT) AS in_postcode, state AS in_state, regexp_replace(locality, '^(WEST|UPPER) ', '') AS in_locality, nullif(regexp_extract(locality, '^(WEST|UPPER) ', 1), '') AS in_street_suffix,
+  street AS in_street_name, 'STREET' AS in_street_type, n AS in_number_first, CASE WHEN exact THEN number_last END AS in_number_last, CASE WHEN exact AND lettered THEN 'A' END AS in_number_suffix, CASE WHEN exact THEN flat_number END AS in_flat_number FROM ({_TEXTS}) t"""
+_STANDARD = "concat_ws(', ', concat_ws(' ', 'UNIT ' || in_flat_number, concat(in_number_first, in_number_suffix, '-' || in_number_last), in_street_name, in_street_type, in_street_suffix), concat_ws(' ', in_locality, in_state, CAST(in_postcode AS VARCHAR)))"
+#: The store's entries: standard texts of inputs, each with the record of another customer.
+_ENTRIES = "SELECT 'A' || lpad(CAST(CAST(n % 700 + 1 AS INT) AS VARCHAR(20)), 9, '0') AS address_detail_pid, input_standardised, CAST(97 AS INT) AS total_score FROM (SELECT input_id AS n, {standard} AS input_standardised FROM {parsed} WHERE input_id % 10 = 3) e"
+
+
+@query("match_full_pipeline", f""", so AS ({{aliases}}), tx AS ({_PARSED}), st AS (SELECT *, {_STANDARD} AS input_standardised FROM tx),
+al AS (SELECT * FROM addr UNION ALL SELECT * FROM cust UNION ALL BY NAME SELECT * FROM so),
+ex AS (SELECT i.input_id, g.address_detail_pid, {o.scores()} FROM tx i JOIN al g ON upper(trim(g.address_label)) = upper(trim(i.input_raw))),
+exact AS (SELECT input_id, address_detail_pid, CAST({o.TOTAL} AS INT) AS total_score FROM ex),
+hits AS (SELECT st.input_id, c.address_detail_pid, c.total_score FROM st JOIN ({_ENTRIES.format(standard="input_standardised", parsed="st")}) c USING (input_standardised) JOIN al g ON g.address_detail_pid = c.address_detail_pid WHERE st.input_id NOT IN (SELECT input_id FROM exact)),
+rest AS (SELECT * FROM tx WHERE input_id NOT IN (SELECT input_id FROM exact) AND input_id NOT IN (SELECT input_id FROM hits)), {_paths("rest", 2)},
+found AS (SELECT * FROM exact UNION ALL SELECT * FROM hits UNION ALL SELECT input_id, address_detail_pid, total_score FROM pr UNION ALL SELECT input_id, address_detail_pid, total_score FROM sr UNION ALL SELECT input_id, address_detail_pid, total_score FROM lr),
+orr AS (SELECT input_id, address_detail_pid, total_score FROM ({o.path("(SELECT * FROM rest WHERE in_postcode IS NOT NULL AND in_street_name IS NOT NULL AND input_id NOT IN (SELECT input_id FROM found))", "so", "g.postcode = i.in_postcode", 2, gate=False)})),
+br AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY input_id ORDER BY total_score DESC, address_detail_pid) AS INT) AS match_rank FROM (SELECT input_id, address_detail_pid, max(total_score) AS total_score FROM (SELECT * FROM found UNION ALL SELECT * FROM orr) GROUP BY ALL)) WHERE match_rank <= 2)
+SELECT i.input_id, i.input_standardised, address_detail_pid, total_score, match_rank, {_STATUS} FROM st i LEFT JOIN br ON br.input_id = i.input_id""".replace("{aliases}", _ALIASES))
+def match_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six paths, from raw text: parser, exact label, cache, postcode, state, locality, street-only records."""
+    addr, cust = (t.persist() for t in load(spark, sf_dir, "addr", "cust"))  # they stand for stored tables
+    core = m.candidates_of(addr).unionByName(m.candidates_of(_aliases(spark, sf_dir))).persist()
+    texts = _sql(spark, sf_dir, f"SELECT input_id, input_raw FROM ({_TEXTS}) t")
+    parsed = parser.parse_addresses(texts, normalised=False).withColumn("input_standardised", parser.standardised())
+
+    def hits(inputs: DataFrame) -> DataFrame:
+        entries = inputs.where("input_id % 10 = 3").select(F.format_string("A%09d", F.col("input_id") % 700 + 1).alias("address_detail_pid"), "input_standardised", F.lit(97).alias("total_score"))
+        return ca.probe(inputs, tb.aligned(entries, tb.CACHE), core.unionByName(m.candidates_of(cust)))
+
+    out = m.match_parsed(parsed, core, cust, m.locality_index(addr, cust), m.Settings(max_results=2, street_only_fallback=True), hits)
+    return out.select("input_id", "input_standardised", "address_detail_pid", "total_score", "match_rank", "matched", "match_status")
+
+
 # -- cache --------------------------------------------------------------------
 
 _CACHE = "SELECT 'k' || CAST(event_id % 500 AS VARCHAR(20)) AS input_standardised, 'A' || lpad(CAST(event_id % 700 AS VARCHAR(20)), 9, '0') AS address_detail_pid, CAST(floor(value) AS INT) AS total_score, ts AS cached_at FROM events WHERE event_id < 500"
@@ -201,10 +267,14 @@ _BASE = f"""SELECT d.*, s.STREET_NAME, s.STREET_TYPE_CODE, s.STREET_SUFFIX_CODE,
 
 
 def _psv_sql(pid: str, street: str, kind: str, suffix: str, locality: str, code: str, alias: str, rows: str) -> str:
+    """Records of the set. The label has two parts, each of the words that are there; a
+    record without a first number has no label."""
     kind = _TYPE.format(k=kind)
-    return f"""SELECT {pid} AS address_detail_pid, trim(coalesce(BUILDING_NAME || ' ', '') || CASE WHEN FLAT_NUMBER IS NOT NULL THEN coalesce(FLAT_TYPE_CODE || ' ', '') || FLAT_NUMBER || coalesce(FLAT_NUMBER_SUFFIX, '') || ' ' ELSE '' END
-    || NUMBER_FIRST || coalesce(NUMBER_FIRST_SUFFIX, '') || CASE WHEN NUMBER_LAST IS NOT NULL THEN '-' || NUMBER_LAST ELSE '' END || ' ' || {street} || coalesce(' ' || {kind}, '') || coalesce(' ' || {suffix}, '') || ', ' || {locality} || ' QLD ' || {code}) AS address_label,
-  {street} AS street_name, {kind} AS street_type, {locality} AS locality_name, CAST({code} AS INT) AS postcode, FLAT_NUMBER || coalesce(FLAT_NUMBER_SUFFIX, '') AS flat_number, CAST(LONGITUDE AS DOUBLE) AS longitude, {alias} AS alias_type FROM {rows}"""
+    flat = "FLAT_NUMBER || coalesce(FLAT_NUMBER_SUFFIX, '')"
+    number = "concat(NUMBER_FIRST, NUMBER_FIRST_SUFFIX, '-' || NUMBER_LAST)"
+    street_part = f"concat_ws(' ', BUILDING_NAME, CASE WHEN FLAT_NUMBER IS NOT NULL THEN FLAT_TYPE_CODE END, {flat}, {number}, {street}, {kind}, {suffix})"
+    return f"""SELECT {pid} AS address_detail_pid, CASE WHEN NUMBER_FIRST IS NOT NULL THEN {street_part} || ', ' || concat_ws(' ', {locality}, 'QLD', {code}) END AS address_label,
+  {street} AS street_name, {kind} AS street_type, {locality} AS locality_name, CAST({code} AS INT) AS postcode, {flat} AS flat_number, CAST(LONGITUDE AS DOUBLE) AS longitude, {alias} AS alias_type FROM {rows}"""
 
 
 _PSV = {

@@ -11,18 +11,38 @@ from ..operators.tables import ADDRESS, aligned
 from ..operators.tables import CORE as SOURCE
 
 #: Columns of the core file, and those used of each table of the set. Fixed values.
-CORE = (
-    "ADDRESS_DETAIL_PID DATE_CREATED ADDRESS_LABEL ADDRESS_SITE_NAME BUILDING_NAME FLAT_TYPE FLAT_NUMBER LEVEL_TYPE LEVEL_NUMBER NUMBER_FIRST NUMBER_LAST LOT_NUMBER STREET_NAME STREET_TYPE "
-    "STREET_SUFFIX LOCALITY_NAME STATE POSTCODE LEGAL_PARCEL_ID MB_CODE ALIAS_PRINCIPAL PRINCIPAL_PID PRIMARY_SECONDARY PRIMARY_PID GEOCODE_TYPE LONGITUDE LATITUDE"
-).split()
+CORE = [
+    "ADDRESS_DETAIL_PID", "DATE_CREATED", "ADDRESS_LABEL", "ADDRESS_SITE_NAME", "BUILDING_NAME", "FLAT_TYPE", "FLAT_NUMBER", "LEVEL_TYPE",
+    "LEVEL_NUMBER", "NUMBER_FIRST", "NUMBER_LAST", "LOT_NUMBER", "STREET_NAME", "STREET_TYPE", "STREET_SUFFIX", "LOCALITY_NAME",
+    "STATE", "POSTCODE", "LEGAL_PARCEL_ID", "MB_CODE", "ALIAS_PRINCIPAL", "PRINCIPAL_PID", "PRIMARY_SECONDARY", "PRIMARY_PID",
+    "GEOCODE_TYPE", "LONGITUDE", "LATITUDE",
+]
 TABLES = {
-    "ADDRESS_DETAIL": "ADDRESS_DETAIL_PID STREET_LOCALITY_PID LOCALITY_PID BUILDING_NAME FLAT_TYPE_CODE FLAT_NUMBER_PREFIX FLAT_NUMBER FLAT_NUMBER_SUFFIX LEVEL_TYPE_CODE LEVEL_NUMBER NUMBER_FIRST_PREFIX NUMBER_FIRST NUMBER_FIRST_SUFFIX NUMBER_LAST_PREFIX NUMBER_LAST NUMBER_LAST_SUFFIX LOT_NUMBER POSTCODE ALIAS_PRINCIPAL DATE_RETIRED",
-    "ADDRESS_DEFAULT_GEOCODE": "ADDRESS_DETAIL_PID LONGITUDE LATITUDE DATE_RETIRED",
-    "STREET_LOCALITY": "STREET_LOCALITY_PID STREET_NAME STREET_TYPE_CODE STREET_SUFFIX_CODE DATE_RETIRED",
-    "LOCALITY": "LOCALITY_PID LOCALITY_NAME DATE_RETIRED",
-    "ADDRESS_ALIAS": "ALIAS_PID ALIAS_TYPE_CODE DATE_RETIRED",
-    "LOCALITY_ALIAS": "LOCALITY_ALIAS_PID LOCALITY_PID NAME POSTCODE ALIAS_TYPE_CODE DATE_RETIRED",
-    "STREET_LOCALITY_ALIAS": "STREET_LOCALITY_ALIAS_PID STREET_LOCALITY_PID STREET_NAME STREET_TYPE_CODE STREET_SUFFIX_CODE ALIAS_TYPE_CODE DATE_RETIRED",
+    "ADDRESS_DETAIL": [
+        "ADDRESS_DETAIL_PID", "STREET_LOCALITY_PID", "LOCALITY_PID", "BUILDING_NAME", "FLAT_TYPE_CODE", "FLAT_NUMBER_PREFIX",
+        "FLAT_NUMBER", "FLAT_NUMBER_SUFFIX", "LEVEL_TYPE_CODE", "LEVEL_NUMBER", "NUMBER_FIRST_PREFIX", "NUMBER_FIRST",
+        "NUMBER_FIRST_SUFFIX", "NUMBER_LAST_PREFIX", "NUMBER_LAST", "NUMBER_LAST_SUFFIX", "LOT_NUMBER", "POSTCODE",
+        "ALIAS_PRINCIPAL", "DATE_RETIRED",
+    ],
+    "ADDRESS_DEFAULT_GEOCODE": [
+        "ADDRESS_DETAIL_PID", "LONGITUDE", "LATITUDE", "DATE_RETIRED",
+    ],
+    "STREET_LOCALITY": [
+        "STREET_LOCALITY_PID", "STREET_NAME", "STREET_TYPE_CODE", "STREET_SUFFIX_CODE", "DATE_RETIRED",
+    ],
+    "LOCALITY": [
+        "LOCALITY_PID", "LOCALITY_NAME", "DATE_RETIRED",
+    ],
+    "ADDRESS_ALIAS": [
+        "ALIAS_PID", "ALIAS_TYPE_CODE", "DATE_RETIRED",
+    ],
+    "LOCALITY_ALIAS": [
+        "LOCALITY_ALIAS_PID", "LOCALITY_PID", "NAME", "POSTCODE", "ALIAS_TYPE_CODE", "DATE_RETIRED",
+    ],
+    "STREET_LOCALITY_ALIAS": [
+        "STREET_LOCALITY_ALIAS_PID", "STREET_LOCALITY_PID", "STREET_NAME", "STREET_TYPE_CODE", "STREET_SUFFIX_CODE", "ALIAS_TYPE_CODE",
+        "DATE_RETIRED",
+    ],
 }
 FOR_ALIASES = ["LOCALITY_ALIAS", "STREET_LOCALITY_ALIAS"]
 
@@ -131,7 +151,7 @@ def read_set(spark: SparkSession, folder: str, aliases: bool = True) -> list[tup
             if not found:
                 raise FileNotFoundError(f"{state}_{t}")
             got = read_delimited(spark, found[0], "|")
-            tables[t] = got.select(*[F.col(c) if c in got.columns else F.lit(None).cast("string").alias(c) for c in TABLES[t].split()])
+            tables[t] = got.select(*[F.col(c) if c in got.columns else F.lit(None).cast("string").alias(c) for c in TABLES[t]])
         out.append((state, tables))
     if not out:
         raise FileNotFoundError(f"{folder}/*_ADDRESS_DETAIL*.psv")

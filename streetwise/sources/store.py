@@ -1,7 +1,8 @@
 """The address store: tables as versioned Parquet snapshots, or in memory as views.
 
-A change writes a whole new version beside the old one and then moves a pointer
-file, so a reader never sees half a table and no path is overwritten while read.
+A change writes a new folder beside the old ones and then moves a pointer file, so a
+reader never sees half a table and no path is overwritten while read. New rows alone
+are appended, old versions removed.
 Address tables are laid out by postcode, sorted by number within a file, which lets
 the scan skip row groups by their bounds.
 """
@@ -21,6 +22,8 @@ from ..operators.tables import ADDRESS, CACHE, LOCALITY
 from . import ingest
 
 log = logging.getLogger(__name__)
+#: Folders of which a table may consist before they are put together.
+APPENDS = 16
 SCHEMAS = {"addresses": ADDRESS, "custom_addresses": ADDRESS, "locality_index": LOCALITY, "match_cache": CACHE}
 
 
@@ -32,19 +35,22 @@ class AddressStore:
             self.init()
 
     # -- tables -------------------------------------------------------------
+    #
+    # CURRENT of a table names the folders that it consists of: a base and what was
+    # appended since. It is replaced as a whole, so a reader sees one state or the next.
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _version(self, name: str) -> str | None:
+    def _folders(self, name: str) -> list[str] | None:
         fs, p = self._fs(f"{self.path}/{name}/CURRENT")
         if not fs.exists(p):
             return None
-        return self.spark.read.text(f"{self.path}/{name}/CURRENT").first()[0]
+        return [r[0] for r in self.spark.read.text(f"{self.path}/{name}/CURRENT").collect()]  # APPENDS lines at most
 
     def exists(self, name: str) -> bool:
-        return name in self.memory if self.path is None else self._version(name) is not None
+        return name in self.memory if self.path is None else self._folders(name) is not None
 
     def list_tables(self) -> list[str]:
         return sorted(n for n in SCHEMAS if self.exists(n))
@@ -53,30 +59,68 @@ class AddressStore:
         """The table as it is now, aligned to its schema: columns that an older version lacks are null."""
         if not self.exists(name):
             raise LookupError(f"no table {name}")
-        df = self.memory[name] if self.path is None else self.spark.read.parquet(f"{self.path}/{name}/{self._version(name)}")
-        return tables.aligned(df, SCHEMAS[name])
-
-    def _put(self, name: str, df: DataFrame) -> None:
-        if self.read_only:
-            raise PermissionError("the store is read-only")
-        df = tables.aligned(df, SCHEMAS[name])
         if self.path is None:
-            self.memory[name] = df.persist()
-            self.memory[name].count()
-            return
+            return tables.aligned(self.memory[name], SCHEMAS[name])
+        parts = [tables.aligned(self.spark.read.parquet(f"{self.path}/{name}/{v}"), SCHEMAS[name]) for v in self._folders(name)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _write(self, name: str, df: DataFrame) -> str:
         version = f"v-{uuid.uuid4().hex}"
         if "postcode" in SCHEMAS[name] and "number_first" in SCHEMAS[name]:
             df = df.repartition("postcode").sortWithinPartitions("postcode", "number_first")
         df.write.parquet(f"{self.path}/{name}/{version}")
+        return version
+
+    def _point(self, name: str, folders: list[str]) -> None:
+        """Moves the pointer to these folders; those that only the version before the last
+        one used are removed, so a reader of the last version can finish."""
+        before = self._folders(name) or []
         jvm = self.spark._jvm
-        fs, new = self._fs(f"{self.path}/{name}/CURRENT.{version}")
+        fs, new = self._fs(f"{self.path}/{name}/CURRENT.{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join(folders).encode()))
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/CURRENT"), options)
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
+            folder = status.getPath().getName()
+            if folder.startswith("v-") and folder not in {*folders, *before}:
+                fs.delete(status.getPath(), True)
+
+    def _put(self, name: str, df: DataFrame) -> None:
+        """Replaces a whole table."""
+        if self.read_only:
+            raise PermissionError("the store is read-only")
+        df = tables.aligned(df, SCHEMAS[name])
+        if self.path is None:
+            old, self.memory[name] = self.memory.get(name), df.persist()
+            self.memory[name].count()
+            if old is not None:
+                old.unpersist()
+            return
+        self._point(name, [self._write(name, df)])
+
+    def _append(self, name: str, new_rows: Callable[[DataFrame], DataFrame]) -> int:
+        """Adds rows, made from the table as it is; returns how many. Only they are written;
+        after APPENDS times the folders are put together."""
+        if self.read_only:
+            raise PermissionError("the store is read-only")
+        if self.path is None:
+            before = self.table(name).count()
+            self._put(name, self.table(name).unionByName(tables.aligned(new_rows(self.table(name)), SCHEMAS[name])))
+            return self.table(name).count() - before
+        version = self._write(name, tables.aligned(new_rows(self.table(name)), SCHEMAS[name]))
+        added = self.spark.read.parquet(f"{self.path}/{name}/{version}").count()
+        if added:
+            self._point(name, [*self._folders(name), version])
+            if len(self._folders(name)) > APPENDS:
+                self._put(name, self.table(name))
+        return added
 
     def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> tuple[int, int]:
         """Applies a change; row counts before and after."""
@@ -100,10 +144,11 @@ class AddressStore:
     # -- loading ------------------------------------------------------------
 
     def _load(self, rows: DataFrame, overwrite: bool) -> int:
-        clear = (lambda t: tables.delete_where(t, F.col("source") == tables.CORE)) if overwrite else (lambda t: t)
-        _, after = self._change("addresses", lambda t: tables.insert_ignore(clear(t), rows, "address_detail_pid"))
+        if overwrite:
+            self._put("addresses", tables.delete_where(self.table("addresses"), F.col("source") == tables.CORE))
+        self._append("addresses", lambda t: tables.new_rows(t, rows, "address_detail_pid"))
         self.rebuild_locality_index()
-        return after
+        return self.table("addresses").count()
 
     def load_core(self, paths: str | list[str], overwrite: bool = False) -> int:
         return self._load(ingest.core_addresses(self.spark, paths), overwrite)
@@ -140,12 +185,14 @@ class AddressStore:
         """Counts of rows inserted and updated."""
         new = tables.custom_rows(rows, self.table("custom_addresses")).persist()
         held = new.join(self.table("custom_addresses").select("address_detail_pid"), "address_detail_pid", "left_semi").count()
-        put = tables.upsert if upsert else (lambda t, r: tables.insert_ignore(t, r, "address_detail_pid"))
-        before, after = self._change("custom_addresses", lambda t: put(t, new))
-        index = matching.locality_index(new)
-        self._put("locality_index", self.table("locality_index").union(index).distinct())
+        if upsert and held:
+            before, after = self._change("custom_addresses", lambda t: tables.upsert(t, new))
+            added = after - before
+        else:
+            added = self._append("custom_addresses", lambda t: tables.new_rows(t, new, "address_detail_pid"))
+        self._append("locality_index", lambda t: matching.locality_index(new).exceptAll(t))
         new.unpersist()
-        return after - before, held if upsert else 0
+        return added, held if upsert else 0
 
     def remove_custom(self, pids: list[str]) -> int:
         keys = self.spark.createDataFrame([(p,) for p in pids], "address_detail_pid string")
@@ -178,20 +225,30 @@ class AddressStore:
 
     # -- matching -----------------------------------------------------------
 
-    def match(self, inputs: DataFrame, now: Column | None = None, **options) -> DataFrame:
-        """Matches rows of input_id, input_raw. Options are those of matching.Settings."""
+    def match(self, inputs: DataFrame | list[str], now: Column | None = None, with_diagnostics: bool = False, **options) -> DataFrame:
+        """Matches rows of input_id, input_raw, or a list of texts, which are numbered from
+        1. Options are those of matching.Settings. matching.release() frees what is kept
+        for the result; it is in order (see matching.ordered)."""
         s = matching.Settings(**options)
         if s.max_results < 1:
             raise ValueError("max_results must be at least 1")
         matching.check_weights(s.weights)
+        if not isinstance(inputs, DataFrame):
+            texts = list(inputs)
+            if not texts or not all(t is None or isinstance(t, str) for t in texts):
+                raise ValueError("inputs must be rows or a list of texts that is not empty")
+            inputs = self.spark.createDataFrame(list(enumerate(texts, 1)), "input_id int, input_raw string")
+        if missing := [c for c in ("input_id", "input_raw") if c not in inputs.columns]:
+            raise ValueError(f"inputs lack {', '.join(missing)}")
         parsed = parser.parse_addresses(inputs, normalised=s.normalise).withColumn("input_standardised", parser.standardised())
         core, custom = self.table("addresses"), self.table("custom_addresses") if s.include_custom else None
         use = s.cache and ca.usable(s.weights) and self.exists("match_cache")
-        cached = ca.probe(parsed, self.table("match_cache"), ca.source_of(core, custom), s.alias_types) if use else None
-        out = matching.match_parsed(parsed, core, custom, self.table("locality_index"), s, cached)
+        hits = (lambda p: ca.probe(p, self.table("match_cache"), ca.source_of(core, custom), s.alias_types)) if use else None
+        out = matching.match_parsed(parsed, core, custom, self.table("locality_index"), s, hits, with_diagnostics)
         if use and not self.read_only and ca.usable(s.weights, s.alias_types, store=True):
-            out = out.persist()
-            self._put("match_cache", ca.store(self.table("match_cache"), out, s.cache_threshold, now))
+            self._append("match_cache", lambda t: ca.new_entries(t, out, s.cache_threshold, now))
+        kept, out = out.kept, matching.ordered(out)
+        out.kept = kept
         return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.matching import release
 from ..sources.store import AddressStore
 
 
@@ -16,6 +17,8 @@ def match_stream(inputs: DataFrame, store: AddressStore, sink: Callable[[DataFra
     in the cache, and a sink that writes by batch number stays exactly-once."""
 
     def one(batch: DataFrame, number: int) -> None:
-        sink(store.match(batch, **options), number)
+        out = store.match(batch, **options)
+        sink(out, number)
+        release(out)
 
     return inputs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one).start()

@@ -10,8 +10,6 @@ from streetwise.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
-#: The long ones are left to the driver's own comparison.
-FAST = [k for k in ORACLES if k not in ("match_full_pipeline",)]
 
 
 def rows(df: pd.DataFrame) -> list[str]:
@@ -19,7 +17,7 @@ def rows(df: pd.DataFrame) -> list[str]:
     return sorted(str(tuple(plain(v) for v in r)) for r in df.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in ("customer", "supplier", "part", "nation", "events"):

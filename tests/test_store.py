@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from streetwise.operators import perturb, spatial
-from streetwise.sources.store import AddressStore
+from streetwise.operators import matching, perturb, spatial, tables
+from streetwise.sources.store import AddressStore, write_csv
+from streetwise.streaming.incremental import match_stream
 
 DEMO = [
     ("10 MUSGRAVE ROAD, RED HILL QLD 4059", 10, None, "MUSGRAVE", "ROAD", "RED HILL", "QLD", 4059),
@@ -58,11 +59,14 @@ def test_core_csv_is_loaded_once(spark, tmp_path):
         AddressStore(spark, str(tmp_path / "store"), read_only=True).rebuild_locality_index()
 
 
-def test_perturbation_is_the_same_for_a_seed():
+def test_perturbation_is_the_same_for_a_seed(spark):
     text = "UNIT 3 25 SAINT JAMES COURT, TAMBORINE MOUNTAIN QLD 4272"
-    assert perturb.perturbed(text, "7:1") == perturb.perturbed(text, "7:1")
-    assert perturb.perturbed("", "7:1") == ("", "none")
-    assert all(perturb.perturbed(text, str(i))[0] != text for i in range(30))
+    rows = spark.createDataFrame([(i, text) for i in range(30)] + [(30, "")], "k long, label string")
+    damaged = lambda df: {r["k"]: (r["simulated_address"], r["perturbations"]) for r in perturb.perturbed(df, "label", F.col("k"), 7).collect()}
+    once = damaged(rows)
+    assert once == damaged(rows.repartition(5))
+    assert once[30] == ("", "none")
+    assert all(once[i][0] != text for i in range(30))
 
 
 def test_polygons_with_hole_edge_and_null(spark):
@@ -75,3 +79,97 @@ def test_polygons_with_hole_edge_and_null(spark):
     assert every == [(1, "a"), (2, ""), (3, "a"), (4, "a"), (4, "b"), (5, ""), (6, "")]
     assert spatial.subset(shapes, "zone", ["a"], invert=True).count() == 1
     assert spatial.simplified([(0, 0), (1, 0.01), (2, 0)], 0.1) == [(0, 0), (2, 0)]
+
+
+def test_versions_appends_and_cache_by_time(spark, tmp_path):
+    store = AddressStore(spark, str(tmp_path / "store"))
+    store.add_custom(spark.createDataFrame(DEMO, SCHEMA))
+    at = lambda t: F.lit(t).cast("timestamp")
+    for i, (text, day) in enumerate([(GOLDEN[1][0], "2024-01-01 10:00:00"), (GOLDEN[5][0], "2024-01-02 10:00:00"), (GOLDEN[1][0], "2024-01-03 10:00:00")]):
+        matching.release(store.match([text], now=at(day)))
+        assert store.table("match_cache").count() == (1, 2, 2)[i]
+    folders = store._folders("match_cache")
+    assert len(folders) == 3  # the empty table and two appends: nothing was written again
+    got = store.cache_sample(5, seed=1).collect()
+    assert len(got) == 2 and {r["address_label"] for r in got} == {DEMO[0][0], DEMO[3][0]}
+    assert store.cache_sample(5, cached_on="2024-01-01").count() == 1
+    store.remove_custom(["CUSTOM_1"])
+    assert store.cache_sample(5).count() == 1  # an entry whose record is gone is left out
+    assert store.cache_rollback("2024-01-02 00:00:00", confirm=True) == 1
+    assert store.table("match_cache").first()["input_standardised"].startswith("10 MUSGRAVE")
+    with pytest.raises(ValueError):
+        store.cache_rollback("2024-01-02")
+    store.cache_clear(confirm=True)
+    kept = [p.name for p in (tmp_path / "store" / "match_cache").iterdir() if p.name.startswith("v-")]
+    assert len(kept) <= 2  # this version and the one before
+    with pytest.raises(ValueError):
+        store.match([])
+    with pytest.raises(ValueError):
+        store.match(spark.range(1))
+
+
+def test_diagnostics_summary_and_column_order(spark, caplog):
+    store = AddressStore(spark)
+    store.add_custom(spark.createDataFrame(DEMO, SCHEMA))
+    with caplog.at_level("INFO", logger="streetwise.operators.matching"):
+        out = store.match([g[0] for g in GOLDEN[:4]], with_diagnostics=True, max_results=2, min_score=40)
+    assert out.columns[: len(matching.FIRST)] == matching.FIRST
+    rows = out.collect()
+    assert [r["input_id"] for r in rows] == sorted(r["input_id"] for r in rows)
+    best = {r["input_id"]: (r["retained_count"], r["best_score"], r["matched"]) for r in rows if r["match_rank"] in (1, None)}
+    assert best[2][0] >= 1 and best[2][1] == 100 and best[4][2] is False and best[4][0] == 0
+    said = " ".join(r.getMessage() for r in caplog.records)
+    assert all(x in said for x in ("exact:", "postcode:", "state:", "locality:", "matched in"))
+    matching.release(out)
+
+
+PIPES = {
+    "ADDRESS_DETAIL": ["ADDRESS_DETAIL_PID|STREET_LOCALITY_PID|LOCALITY_PID|BUILDING_NAME|FLAT_TYPE_CODE|FLAT_NUMBER|NUMBER_FIRST|NUMBER_FIRST_SUFFIX|NUMBER_LAST|POSTCODE|ALIAS_PRINCIPAL|DATE_RETIRED", "D1|S1|L1||UNIT|3|12|A||4059|P|", "D2|S1|L1|TOWER|||20||24|4059|A|", "D3|S1|L1||||9|||4059|P|2020-01-01"],
+    "ADDRESS_DEFAULT_GEOCODE": ["ADDRESS_DETAIL_PID|LONGITUDE|LATITUDE|DATE_RETIRED", "D1|153.5|-27.5|"],
+    "STREET_LOCALITY": ["STREET_LOCALITY_PID|STREET_NAME|STREET_TYPE_CODE|STREET_SUFFIX_CODE|DATE_RETIRED", "S1|MUSGRAVE|RD||"],
+    "LOCALITY": ["LOCALITY_PID|LOCALITY_NAME|DATE_RETIRED", "L1|RED HILL|"],
+    "ADDRESS_ALIAS": ["ALIAS_PID|ALIAS_TYPE_CODE|DATE_RETIRED", "D2|SYN|"],
+    "LOCALITY_ALIAS": ["LOCALITY_ALIAS_PID|LOCALITY_PID|NAME|POSTCODE|ALIAS_TYPE_CODE|DATE_RETIRED", "1|L1|OLD HILL|4060|SYN|"],
+    "STREET_LOCALITY_ALIAS": ["STREET_LOCALITY_ALIAS_PID|STREET_LOCALITY_PID|STREET_NAME|STREET_TYPE_CODE|STREET_SUFFIX_CODE|ALIAS_TYPE_CODE|DATE_RETIRED", "7|S1|OLD MUSGRAVE|ST||SYN|"],
+}
+
+
+def test_set_of_pipe_files_and_csv_sink(spark, tmp_path):
+    folder = tmp_path / "set"
+    folder.mkdir()
+    for name, lines in PIPES.items():
+        (folder / f"QLD_{name}_psv.psv").write_text("\n".join(lines) + "\n")
+    store = AddressStore(spark)
+    assert store.load_set(str(folder)) == 4
+    rows = {r["address_detail_pid"]: r for r in store.table("addresses").collect()}
+    assert {k: (r["address_label"], r["alias_type"], r["postcode"]) for k, r in rows.items()} == {
+        "D1": ("UNIT 3 12A MUSGRAVE ROAD, RED HILL QLD 4059", None, 4059), "D2": ("TOWER 20-24 MUSGRAVE ROAD, RED HILL QLD 4059", "ADDRESS:SYN", 4059),
+        "D1_LA1": ("UNIT 3 12A MUSGRAVE ROAD, OLD HILL QLD 4060", "LOCALITY:SYN", 4060), "D1_SA7": ("UNIT 3 12A OLD MUSGRAVE STREET, RED HILL QLD 4059", "STREET:SYN", 4059)}
+    assert (rows["D1"]["longitude"], rows["D2"]["longitude"]) == (153.5, None)
+    assert store.load_set(str(folder), aliases=False, overwrite=True) == 2
+    assert store.canonicalise_street_types() == 2
+    write_csv(store.table("addresses").select("address_detail_pid", "postcode"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+    (folder / "QLD_LOCALITY_psv.psv").unlink()
+    with pytest.raises(FileNotFoundError):
+        store.load_set(str(folder))
+
+
+def test_first_of_equal_keys_in_file_order_counts(spark):
+    table = spark.createDataFrame([("a", 1)], "k string, v int")
+    rows = spark.createDataFrame([("b", 9), ("b", 2), ("a", 5), (None, 1), (None, 1)], "k string, v int").coalesce(1)
+    assert sorted(map(str, tables.insert_ignore(table, rows, "k").collect())) == sorted(map(str, spark.createDataFrame([("a", 1), ("b", 9), (None, 1), (None, 1)], "k string, v int").collect()))
+
+
+def test_stream_by_batches_and_after_a_restart(spark, tmp_path):
+    store = AddressStore(spark, str(tmp_path / "store"))
+    store.add_custom(spark.createDataFrame(DEMO, SCHEMA))
+    source, seen = tmp_path / "in", []
+    for part in ([(1, GOLDEN[1][0])], [(2, GOLDEN[5][0]), (3, GOLDEN[3][0])]):
+        spark.createDataFrame(part, "input_id int, input_raw string").coalesce(1).write.mode("append").json(str(source))
+        stream = spark.readStream.schema("input_id int, input_raw string").json(str(source))
+        running = match_stream(stream, store, lambda df, n: seen.extend((n, r["input_id"], r["total_score"]) for r in df.collect()), str(tmp_path / "checkpoint"), max_results=1)
+        running.processAllAvailable()
+        running.stop()
+    assert sorted((x[1], x[2] or 0) for x in seen) == [(1, 100), (2, 97), (3, 0)]
+    assert store.cache_status().first()["cached_rows"] == 2
