@@ -118,7 +118,7 @@ def _grams(c: str) -> str:
     return f"list_distinct([substring({c}, CAST(k AS INT), 2) FOR k IN range(1, length({c}))])"
 
 
-@query("text_jaccard", f"SELECT input_id, address_label, round(100 * (len(list_intersect({_grams('a')}, {_grams('b')})) / len(list_distinct(list_concat({_grams('a')}, {_grams('b')})))), 1) AS text_jaccard FROM (SELECT input_id, address_label, {_normal('input_raw')} AS a, {_normal('address_label')} AS b FROM ({_FOUND}))")
+@query("text_jaccard", f"SELECT input_id, address_label, CASE WHEN b IS NOT NULL THEN round(100 * (len(list_intersect({_grams('a')}, {_grams('b')})) / len(list_distinct(list_concat({_grams('a')}, {_grams('b')})))), 1) END AS text_jaccard FROM (SELECT input_id, address_label, {_normal('input_raw')} AS a, {_normal('address_label')} AS b FROM ({_FOUND}))")
 def text_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_diagnostics(spark, sf_dir).select("input_id", "address_label", "text_jaccard")
 
