@@ -59,12 +59,12 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     label = F.coalesce(*[F.when(role == r, F.lit(name)) for r, name in template["labels"].items()], F.concat(F.lit("?"), escape(role, ROLE_ESCAPES)))
     head = F.concat(F.lit(template["open"]), label, F.lit(template["sep"]))
-    row = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), escape(text).alias("body"), head.alias("head"))
+    row = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("said"), head.alias("head"))
     convs = turns.select("conv_id", row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
     def parts(x: Column) -> Column:
         piece = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
-        return F.array(piece(x["head"], F.lit(False)), piece(x["body"], x["role"].isin(template["loss"])), piece(F.lit(template["close"]), F.lit(False)))
+        return F.array(piece(x["head"], F.lit(False)), piece(escape(x["said"]), x["role"].isin(template["loss"])), piece(F.lit(template["close"]), F.lit(False)))
 
     allowed = F.array(*[F.lit(f"{a} {b}") for a, after in template["follows"].items() for b in after])
     state = lambda i: F.when(i == 0, F.lit(template["start"])).otherwise(F.get(F.col("rows.role"), i - 1))
