@@ -289,6 +289,18 @@ def test_line_templates_of_one_leaf(spark):
     assert [got[10 + i] for i in range(3)] == [""] * 3 and got[20] == alone
 
 
+def test_line_templates_of_odd_rows(spark):
+    """Null ids, repeated rows, clashing columns, very long lines and texts of very many lines."""
+    long_line = " ".join(f"w{chr(97 + i % 26)}" for i in range(30_000))
+    rows = [(None, f"{long_line}\nmine alone here now"), (None, f"{long_line}\nother alone here too"), (1, f"{long_line}\nx"), (2, None), (3, ""), (3, ""), (4, "\n" * 20_000 + "last line of this text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("doc", "pos", "line", "leaf", "own", "template", "tokens", "gone", "n"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in line_templates.drop_recurring_lines(df).collect())
+    assert [(r[0], r[1], r[2]) for r in got] == [("1", 2, 1), ("2", 0, 0), ("3", 1, 0), ("3", 1, 0), ("4", 20_001, 0), ("None", 2, 1), ("None", 2, 1)]
+    assert [r[3] for r in got[-2:]] == ["mine alone here now", "other alone here too"] and got[0][3] == "x"
+
+
 def test_language_held_out(spark, docs):
     model = language.fit(language.learnable(docs))
     got = docs.select("doc_id", "lang", "text", language.predicted(model).alias("f")).collect()

@@ -19,6 +19,12 @@ def test_chats_can_be_read_back(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_ties_of_turn_and_role_go_by_the_text_itself(spark):
+    rows = [(1, 0, "user", t) for t in ("a###", "a$", "a\\", "aA", "a")]
+    got = chat_format.read_chats(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [t["text"] for t in got["turns"]] == sorted(r[3] for r in rows)
+
+
 def test_cascade_is_exact_over_its_universe():
     rng = np.random.default_rng(1)
     h, g = rng.integers(0, 2**64, (2, 40_000), dtype=np.uint64)
