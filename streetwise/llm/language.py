@@ -145,8 +145,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     empty texts, teach nothing; no rows at all give a model without languages. The
     driver gets trigram counts, at most FEATURES a text."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+    distinct = cut(rows.select("lang", "h").distinct())
+    many = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # A bound for hashes that about twice the texts needed are below, so few rows are sorted.
+    low = F.lit(False)
+    for lang, n in many.items():
+        low = low | ((F.col("lang") == lang) & (F.col("h") <= min(2**63 - 1, -(2**63) + 2**64 * (2 * FIT_TEXTS + 64) // n)))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = cut(rows.select("lang", "h").distinct().withColumn("r", first).where(f"r <= {FIT_TEXTS}").select("lang", "h"))
+    chosen = cut(distinct.where(low).withColumn("r", first).where(f"r <= {FIT_TEXTS}").select("lang", "h"))
     one = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # FIT_TEXTS rows a language
     sample = sorted((r["lang"], bytes(r["c"])) for r in one.select("lang", F.arrow_udf(_counts, "binary")("text").alias("c")).collect())
     if not sample:
