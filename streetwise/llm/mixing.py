@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, table
 from .language import _FOLD
-from .textarrays import chunks, utf8, word_hashes
+from .textarrays import chunks, trimmed, utf8, word_hashes
 
 #: At most so many labelled documents of a domain are used to fit; prediction has no
 #: such bound.
@@ -163,6 +163,7 @@ def predicted(model: Classifier, text_col: str = "text") -> Column:
 
     def predict(text: pa.Array) -> pa.Array:
         p, n = model.posteriors(text)
+        trimmed()
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.float64()))
         return pa.StructArray.from_arrays([flat, pa.array(n, pa.int64())], names=["p", "tokens"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, table
 from .components import components
-from .textarrays import mix, shingle_sets
+from .textarrays import mix, shingle_sets, trimmed
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 BUCKETS = BANDS * ROWS
@@ -74,6 +74,7 @@ def _signatures(text: pa.Array) -> pa.Array:
         h1.append(int(np.add.reduce(mix(s + _U(1))).view(np.int64)) if len(s) else 0)
         h2.append(int(np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D))).view(np.int64)) if len(s) else 0)
         regs.append(registers(s).tobytes() if len(s) else None)
+    trimmed()
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary())], fields=list(_SIGNATURE))
 
 

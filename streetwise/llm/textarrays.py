@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+_LIBC = ctypes.CDLL(None)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: ASCII white space, \x20 and \x09-\x0D.
@@ -15,8 +17,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = _U(0x100000001B3)
 _power = np.ones(1, dtype=_U)
-#: Bytes of text looked at in one go.
-CHUNK = 1 << 20
+#: Bytes of text looked at in one go: about 60 bytes of arrays for each.
+CHUNK = 1 << 18
 
 
 def _powers(n: int) -> np.ndarray:
@@ -48,11 +50,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about CHUNK bytes; a longer text is a run of its own."""
+def trimmed() -> None:
+    """Gives memory that is free back to the machine: a worker lives on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
+def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about ``size`` bytes; a longer text is a run of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last
         first = last

@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from .textarrays import chunks, utf8, word_spans
+from .textarrays import chunks, trimmed, utf8, word_spans
 
 MAGIC = b"DAC8"
 EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
+#: Bytes of text whose different words are encoded together.
+RUN = 1 << 19
 #: Words kept in each of the two generations of a worker's memory.
 WORDS = 150_000
 
@@ -186,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
         for batch in batches:
             keys = batch.column(0).to_pylist()
             raw, offsets = utf8(batch.column(1))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, RUN):
                 data, count = encoder.encode(raw, offsets[first : last + 1])
                 stop = np.cumsum(count)
                 found.append(np.insert(data, stop, end_id).astype("<u4"))
@@ -198,6 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                     block, ids, ends, found, n = block + 1, [], [], [], 0
         if ids:
             yield row()
+        trimmed()
 
     rows.mapInArrow(blocks, "part bigint, block bigint, n_ids bigint, doc_ids array<bigint>, ends array<bigint>, codes binary").write.mode("overwrite").parquet(path)
 
