@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 2_000_000
 #: Bytes of fixed-width rows, with what a hash relation adds, that may be broadcast.
 BROADCAST_BYTES = 64_000_000
+#: Bytes of rows that are sent to a Python worker in one go (a longer row is sent alone).
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,16 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch for Python workers in this session: with texts of some
+    KB the engine's own bound holds tens of MB a task, on both sides. A lower bound that
+    is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(name, "") or "")
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder and cuts its lineage."""
     shared_dir(df.sparkSession)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, in_small_batches, table
 from .textarrays import chunks, utf8
 
 #: Families of languages by ISO 639 code. A code that is not here
@@ -144,6 +144,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     once, and ties (equal texts) don't matter. Rows with a null text or language, and
     empty texts, teach nothing; no rows at all give a model without languages. The
     driver gets trigram counts, at most FEATURES a text."""
+    in_small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text <> ''").withColumn("h", F.xxhash64("text"))
     distinct = cut(rows.select("lang", "h").distinct())
     many = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}

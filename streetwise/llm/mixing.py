@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, in_small_batches, small, table
 from .language import _FOLD
 from .textarrays import chunks, trimmed, utf8, word_hashes
 
@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     those of the lowest hashes of the id. The domains' shares among the labels are the
     prior. With fewer than two domains there is no evidence and every posterior is the
     prior. The driver gets features, not texts."""
+    in_small_batches(docs.sparkSession)
     labelled = cut(labelled.where("id is not null and domain is not null").groupBy("id").agg(F.min("domain").alias("domain")))
     many = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = [d for d in DOMAINS if d in many] + sorted(set(many) - set(DOMAINS)) or DOMAINS[:1]

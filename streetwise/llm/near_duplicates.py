@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, in_small_batches, small, table
 from .components import components
 from .textarrays import mix, shingle_sets, trimmed
 
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same document, linked with whatever one of its texts is linked with. A row without
     doc_id is linked with nothing; its component_id is null and it is kept. An empty
     table gives no rows. Other columns are ignored."""
+    in_small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     signature = F.arrow_udf(_signatures, "struct<n:bigint,h1:bigint,h2:bigint,regs:binary>")
     sig = cut(base.select("doc_id", "th", signature("text").alias("s")).select("doc_id", "th", "s.*"))
