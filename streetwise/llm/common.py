@@ -49,7 +49,7 @@ def in_small_batches(spark: SparkSession) -> None:
     KB the engine's own bound holds tens of MB a task, on both sides. A lower bound that
     is set already stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(name, "") or "")
+    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(name))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
