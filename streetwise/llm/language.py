@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_small_batches, table
-from .textarrays import chunks, utf8
+from .textarrays import chunks, trimmed, utf8
 
 #: Families of languages by ISO 639 code. A code that is not here
 #: is a family of its own.
@@ -181,6 +181,7 @@ def predicted(model: Model, text_col: str = "text") -> Column:
 
     def predict(text: pa.Array) -> pa.Array:
         lang, score = model.predict(text)
+        trimmed()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
     return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")(text_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = _U(0x100000001B3)
 _power = np.ones(1, dtype=_U)
-#: Bytes of text looked at in one go: about 60 bytes of arrays for each.
+#: Bytes of text looked at in one go: about 40 bytes of arrays for each.
 CHUNK = 1 << 18
 
 
@@ -50,11 +51,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def trimmed() -> None:
-    """Gives memory that is free back to the machine: a worker lives on from stage to stage."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(_LIBC, "malloc_trim", None):
-        trim(0)
+#: What a worker keeps from task to task, by its purpose.
+kept: dict[str, object] = {}
+_last_trim = 0.0
+
+
+def trimmed(purpose: str = "") -> None:
+    """Drops what is kept for other purposes, and gives memory that is free back to the
+    machine (once a second): a worker lives on from stage to stage."""
+    global _last_trim
+    others = [name for name in kept if name != purpose]
+    for name in others:
+        del kept[name]
+    if others or time.monotonic() - _last_trim >= 1:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(_LIBC, "malloc_trim", None):
+            trim(0)
+        _last_trim = time.monotonic()
 
 
 def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -86,11 +99,14 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray = _LOWER,
     start = np.flatnonzero(inside & ~before)
     if not len(start):
         return np.zeros(0, _U), none, none, np.zeros(len(offsets), np.int64)
-    body = np.flatnonzero(inside)
-    first = np.searchsorted(body, start)
+    body = np.flatnonzero(inside).astype(np.int32)  # a run has less than 2 GB
+    first = np.searchsorted(body, start.astype(np.int32))
     length = np.diff(np.append(first, len(body)))
-    place = np.arange(len(body)) - np.repeat(first, length)
-    value = (data[body].astype(_U) + _U(1)) * _powers(int(length.max()))[place]
+    place = np.arange(len(body), dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), length)
+    value = data[body].astype(_U)
+    value += _U(1)
+    value *= _powers(int(length.max()))[place]
     hashes = mix(np.add.reduceat(value, first) + length.astype(_U))
     return hashes, start, length, np.searchsorted(start, at)
 

@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, scratch_path, table
-from .textarrays import chunks, trimmed, utf8, word_spans
+from .textarrays import chunks, kept, trimmed, utf8, word_spans
 
 MAGIC = b"DAC8"
 EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
 #: Bytes of text whose different words are encoded together.
-RUN = 1 << 19
-#: Words kept in each of the two generations of a worker's memory.
-WORDS = 150_000
+RUN = 1 << 20
+#: Words kept in each of the two generations of a worker's memory, and pieces of words.
+WORDS, PIECES = 150_000, 60_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -139,7 +139,7 @@ class WordEncoder:
 
     def piece(self, text: str) -> bytes:
         if (ids := self.known.get(text)) is None:
-            if len(self.known) > WORDS:
+            if len(self.known) > PIECES:
                 self.known.clear()
             letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
             ids = self.known[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
@@ -167,9 +167,6 @@ class WordEncoder:
         return flat[place], np.diff(total[at])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all whole texts to ``path`` in ascending order of document
     (null ids first, equal ids by a hash of the text). Null texts are empty: they
@@ -178,7 +175,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"))
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordEncoder(tokenizer))
+        purpose = f"tokens by {tokenizer}"
+        trimmed(purpose)
+        encoder = kept.get(purpose) or kept.setdefault(purpose, WordEncoder(tokenizer))
         part, block, ids, ends, found, n = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -201,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                     block, ids, ends, found, n = block + 1, [], [], [], 0
         if ids:
             yield row()
-        trimmed()
+        trimmed(purpose)
 
     rows.mapInArrow(blocks, "part bigint, block bigint, n_ids bigint, doc_ids array<bigint>, ends array<bigint>, codes binary").write.mode("overwrite").parquet(path)
 
