@@ -32,9 +32,9 @@ EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
 #: Bytes of text whose different words are encoded together.
-RUN = 1 << 20
+RUN = 1 << 22
 #: Words kept in each of the two generations of a worker's memory, and pieces of words.
-WORDS, PIECES = 150_000, 60_000
+WORDS, PIECES = 150_000, 150_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -147,7 +147,13 @@ class WordEncoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts between the offsets, one text after the other, and each one's count."""
-        hashes, start, length, at = word_spans(raw, offsets, _SAME)
+        parts, before = [], 0
+        for a, b in chunks(offsets):  # a run's words are found piecemeal, then encoded together
+            h, s, n, ends = word_spans(raw, offsets[a : b + 1], _SAME)
+            parts.append((h, s + (offsets[a] - offsets[0]), n, ends[1:] + before))
+            before += len(h)
+        hashes, start, length, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        at = np.concatenate(([0], ends))
         which, different = pd.factorize(hashes)
         first = np.zeros(len(different), dtype=np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
