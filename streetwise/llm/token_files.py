@@ -18,23 +18,22 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, scratch_path, table
-from .textarrays import chunks, kept, trimmed, utf8, word_spans
+from .textarrays import _LOWER, _SPACE, chunks, kept, trimmed, utf8
 
 MAGIC = b"DAC8"
 EVERY = 512
 #: A block is closed when it has so many ids; a document is never split.
 BLOCK_IDS = 1 << 20
 #: Bytes of text whose different words are encoded together.
-RUN = 1 << 22
-#: Words kept in each of the two generations of a worker's memory, and pieces of words.
-WORDS, PIECES = 150_000, 150_000
+RUN = 1 << 20
+#: Words and pieces kept in each of the two generations of a worker's memory.
+WORDS = 150_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -90,9 +89,23 @@ def token_at(payload: bytes, i: int) -> int:
     raise IndexError(i)
 
 
-_SAME = np.arange(256, dtype=np.uint8)
-#: Words whose characters are their own NFC form and lower-case one by one.
+#: Kinds of bytes: white space, the three that the tokenizer's pattern tells apart, bytes
+#: of texts that are cut at white space only, first bytes of U+0080 to U+00FF, all others.
+SPACE, LETTER, NUMBER, OTHER, ODD, LEAD, REST = range(7)
+#: Characters that are their own NFC form, lower-case one by one, and are no white space
+#: but in ASCII.
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+
+
+def _kind(c: str) -> int:
+    if c in " \t\n\v\f\r":
+        return SPACE
+    return ODD if not _PLAIN.fullmatch(c) else LETTER if c.isalpha() else NUMBER if c.isnumeric() else OTHER
+
+
+_KIND = np.array([_kind(chr(i)) for i in range(128)] + [REST] * 64 + [ODD] * 2 + [LEAD] * 2 + [ODD] * 60, dtype=np.uint8)
+_KIND_128 = np.array([_kind(chr(i)) for i in range(128, 256)], dtype=np.uint8)
+_LOWER_128 = np.array([chr(i).lower().encode()[1] for i in range(128, 256)], dtype=np.uint8)
 #: The steps before the model for which words can be handled on their own.
 _STEPS = [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
 
@@ -107,9 +120,10 @@ def _byte_letters() -> dict[int, str]:
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space, so that the ids of a text
-    are those of its words at ASCII white space, one after the other. Each different
-    word is encoded once while it stays in memory. A plain word skips the library's
-    normaliser: its pieces, by the tokenizer's own pattern, go straight to the model."""
+    are those of its words at ASCII white space, one after the other. Texts of plain
+    characters alone are lower-cased and cut into the pieces of the tokenizer's pattern
+    at once, other texts into words. Each different piece or word is encoded once while
+    it stays in memory; pieces skip the library's normaliser and go to the model."""
 
     def __init__(self, path: str):
         import regex
@@ -124,53 +138,83 @@ class WordEncoder:
         self.pieces = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
         self.special = [x["content"] for x in config["added_tokens"]]
-        self.known: dict[str, bytes] = {}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def ids(self, raw: bytes) -> bytes:
+        """The ids of a word, or a piece of one, as little-endian 32-bit integers; none for white space."""
+        if (ids := self.new.get(raw)) is None:
+            if (ids := self.old.get(raw)) is None:
+                ids = self.word(raw)
+            if len(self.new) >= WORDS:
+                self.old, self.new = self.new, {}
+            self.new[raw] = ids
+        return ids
+
     def word(self, raw: bytes) -> bytes:
-        """The ids of a word as little-endian 32-bit integers."""
+        if raw.isspace():
+            return b""
         text = raw.decode()
-        if not raw.isalpha():  # of bytes: ASCII letters alone
-            if not _PLAIN.fullmatch(text) or ("<" in text and any(x[:2] in text for x in self.special)):
-                return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-            return b"".join([self.piece(p) for p in self.pieces(text.lower())])
-        return self.piece(text.lower())
+        if raw.isalpha() and raw.islower():  # of bytes: ASCII letters alone
+            return self.piece(text)
+        if not _PLAIN.fullmatch(text) or ("<" in text and any(x[:2] in text for x in self.special)):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self.pieces(text.lower())
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join([self.ids(p.encode()) for p in pieces])
 
     def piece(self, text: str) -> bytes:
-        if (ids := self.known.get(text)) is None:
-            if len(self.known) > PIECES:
-                self.known.clear()
-            letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = self.known[text] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return ids
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The texts between the offsets, cut into white space, pieces and words without a
+        gap, and each text's first part."""
+        at, data = offsets - offsets[0], _LOWER[raw[offsets[0] : offsets[-1]]]
+        n, kind = len(data), _KIND[data]
+        lead = np.flatnonzero(kind == LEAD)
+        if len(lead):
+            code = (data[lead] & 1) << 6 | data[lead + 1] & 63
+            data[lead + 1] = _LOWER_128[code]
+            kind[lead] = kind[lead + 1] = _KIND_128[code]
+        odd, text = [np.flatnonzero(kind == ODD)], data.tobytes()
+        for x in {x[:2].lower().encode() for x in self.special}:
+            odd.append(np.array([m.start() for m in re.finditer(re.escape(x), text)], dtype=np.int64))
+        for i in np.unique(np.searchsorted(at, np.concatenate(odd), "right")) - 1:
+            whole = slice(at[i], at[i + 1])
+            data[whole] = raw[offsets[i] : offsets[i + 1]]
+            kind[whole] = np.where(_SPACE[data[whole]], SPACE, ODD)
+        opens = np.zeros(n + 1, dtype=bool)
+        opens[at] = True
+        cut = kind == NUMBER
+        cut |= opens[:n]
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut[lead + 1] = False
+        mark = np.flatnonzero((data == 39) & cut & (kind == OTHER))  # 's|'t|'re|'ve|'m|'ll|'d
+        mark = mark[~opens[mark + 1]]
+        short = mark[np.isin(data[mark + 1], np.frombuffer(b"stmd", np.uint8))]
+        mark = mark[~opens[mark + 2]] if len(mark) and mark[-1] + 2 <= n else mark[:-1][~opens[mark[:-1] + 2]]
+        pair = data[mark + 1].astype(int) << 8 | data[mark + 2]
+        long = mark[np.isin(pair, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])]
+        cut[short + 1] = cut[long + 1] = False
+        after = np.concatenate((short + 2, long + 3))
+        cut[after[after < n]] = True
+        start = np.flatnonzero(cut).astype(np.int32)  # a run has less than 2 GB
+        parts = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, np.int32(n))), pa.py_buffer(data)])
+        return parts, np.searchsorted(start, at.astype(np.int32))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts between the offsets, one text after the other, and each one's count."""
-        parts, before = [], 0
-        for a, b in chunks(offsets):  # a run's words are found piecemeal, then encoded together
-            h, s, n, ends = word_spans(raw, offsets[a : b + 1], _SAME)
-            parts.append((h, s + (offsets[a] - offsets[0]), n, ends[1:] + before))
-            before += len(h)
-        hashes, start, length, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
-        at = np.concatenate(([0], ends))
-        which, different = pd.factorize(hashes)
-        first = np.zeros(len(different), dtype=np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        data, get, found = raw[offsets[0] : offsets[-1]].tobytes(), self.new.get, []
-        for i, n in zip(start[first].tolist(), length[first].tolist(), strict=True):
-            word = data[i : i + n]
-            if (ids := get(word)) is None:
-                ids = self.new[word] = self.old.get(word) or self.word(word)
-            found.append(ids)
-        if len(self.new) > WORDS:
-            self.old, self.new = self.new, {}
-        size = np.array([len(x) // 4 for x in found], dtype=np.int64)
-        flat, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.concatenate(([0], np.cumsum(size)))
-        count = size[which]
-        total = np.concatenate(([0], np.cumsum(count)))
-        place = np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])
-        return flat[place], np.diff(total[at])
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        parts, first = self.cuts(raw, offsets)
+        coded, get = parts.dictionary_encode(), self.new.get
+        _, ends, data = coded.dictionary.buffers()
+        ends, data = np.frombuffer(ends, np.int32, len(coded.dictionary) + 1).tolist(), data.to_pybytes()
+        different = [self.ids(x) if (ids := get(x := data[i:j])) is None else ids for i, j in zip(ends, ends[1:], strict=False)]
+        flat = pa.array(different, pa.large_binary()).take(coded.indices)
+        _, ends, data = flat.buffers()
+        ends = np.frombuffer(ends, np.int64, len(flat) + 1)
+        return np.frombuffer(data, "<u4", ends[-1] // 4), np.diff(ends[first] // 4)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:

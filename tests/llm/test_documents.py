@@ -1,5 +1,6 @@
 """Operators over documents against brute force: 1, 3, 4, 6, 7, 8, 9, 10."""
 
+import random
 import re
 import zlib
 
@@ -403,6 +404,35 @@ def test_words_are_encoded_as_in_their_text():
     assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_encoder_cuts_odd_texts_as_the_library_does():
+    encoder, rng = token_files.WordEncoder(token_files.default_tokenizer()), random.Random(5)
+    from streetwise.llm.textarrays import utf8
+    import pyarrow as pa
+
+    plain = list("abstmdrevl'''''  \t\n\x0b\x0c\r!.,<|>09²½éÉßµªº×÷ÀÞÿ¡«")
+    odd = plain + ["\x00", "\x1c", "\x7f", "\x85", "\xa0", "’", "H\u0331", "İ", "ς", "漢", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "ﬁ", "ǅ"]
+    for k in range(60):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choices(odd if k % 2 else plain, k=rng.choice([0, 1, 2, 3, 20, 60]))) for _ in range(rng.randint(2, 12))]
+        ids, count = encoder.encode(*utf8(pa.array(texts, pa.string()).slice(1)))
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_encoder_keeps_pieces_once_and_within_its_bound(monkeypatch):
+    from streetwise.llm.textarrays import utf8
+    import pyarrow as pa
+
+    encoder = token_files.WordEncoder(token_files.default_tokenizer())
+    encoder.encode(*utf8(pa.array(["Haus HAUS haus, haus. HäUS", "häus"])))
+    assert set(encoder.new) == {"haus".encode(), "häus".encode(), b" ", b",", b"."}
+    monkeypatch.setattr(token_files, "WORDS", 50)
+    encoder = token_files.WordEncoder(token_files.default_tokenizer())
+    text = " ".join(a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")
+    ids, _ = encoder.encode(*utf8(pa.array([text])))
+    assert len(encoder.new) <= 50 and len(encoder.old) <= 50
+    assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, ("idiot moron " if i % 10 == 0 else "") + f"plain talk about the garden number {'abcdefghij'[i % 10]} and more words here " * 3) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
