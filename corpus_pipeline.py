@@ -8,11 +8,13 @@ all stages as one. Columns that a stage does not use pass through untouched.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streetwise.llm import decontamination, language, mixing, near_duplicates, token_files
-from streetwise.llm.common import cut, removed, scratch_path, small
+from streetwise.llm.common import cut, heap_given_back, removed, scratch_path, small
 
 
 def _without(docs: DataFrame, keys: DataFrame, *columns) -> DataFrame:
@@ -24,6 +26,18 @@ def _without(docs: DataFrame, keys: DataFrame, *columns) -> DataFrame:
     return docs.join(keys, same, "left_anti")
 
 
+def _afresh(stage):
+    """The stage, begun with heaps that hold nothing of the stages before."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        heap_given_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
+@_afresh
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language can't be told (null, or without a letter) go. If there is
     nothing to learn from, texts with a letter stay."""
@@ -33,6 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(language.predicted(model)["lang_pred"] != language.UNKNOWN)
 
 
+@_afresh
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays. Of rows
     that repeat an id one stays, by a hash of the text; rows without an id stay."""
@@ -48,6 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.join(repeated, out["doc_id"] == repeated["k"], "left_anti").union(once)
 
 
+@_afresh
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go. A null text has no words and
     stays; all rows that repeat a document go or stay together, by id and a hash of the
@@ -57,6 +73,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, hit, docs["doc_id"], F.xxhash64(docs["text"]))
 
 
+@_afresh
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its rate says; those of rate 0 go. A null text is
     an empty one; rows that repeat a document all come equally often; an empty table
@@ -68,6 +85,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("row", F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select("row.*")
 
 
+@_afresh
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in directly addressable codes; returns what is read back from them. A
     null text has the end id alone; null ids come first; rows that repeat a document are

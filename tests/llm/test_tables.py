@@ -1,5 +1,7 @@
 """Operators over conversations and pages (2 and 5), and the pipeline."""
 
+import contextlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -81,3 +83,14 @@ def test_pipeline(spark, tmp_path):
     assert seen[1] - seen[2] == {5}
     assert seen[3] == seen[2] == seen[4]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == left.count()
+
+
+def test_stages_begin_with_heaps_given_back(spark):
+    """A full collection on the executors (here the driver's own JVM) before each stage."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        with contextlib.suppress(Exception):  # the stage itself is not looked at, and fails without tables
+            stage(spark, None, "/nowhere")
+        assert full() > before
