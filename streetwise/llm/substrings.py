@@ -301,8 +301,10 @@ def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w FROM documents),
-p AS (SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + {WINDOW - 1} <= len(w) THEN array_to_string(w[i:i + {WINDOW - 1}], ' ') END AS win FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w FROM documents),
+o AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+p AS (SELECT r, doc_id, i, word, CASE WHEN count(*) OVER ahead = {WINDOW} THEN string_agg(word, ' ') OVER ahead END AS win FROM o WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
 m AS (SELECT win, min(doc_id) AS least FROM p WHERE win IS NOT NULL GROUP BY win),
 f AS (SELECT r, i, word, coalesce(least < doc_id, false) AS again FROM p LEFT JOIN m USING (win)),
 c AS (SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
