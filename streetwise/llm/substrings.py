@@ -29,7 +29,7 @@ WINDOW, SEED_WORDS = 13, 4
 #: Windows of a super-k-mer at most: a text that repeats one word has many.
 LONGEST = 32
 #: Strings of a bucket, and their bytes, up to which a task sorts it.
-BUCKET_STRINGS, BUCKET_BYTES = 20_000, 8_000_000
+BUCKET_STRINGS, BUCKET_BYTES = 2_000, 2_000_000
 #: Bits of the filter for each bucket that documents share, and in all.
 FILTER_BITS, FILTER_BYTES = 12, 32 << 20
 _U = np.uint64
@@ -301,8 +301,7 @@ def op13_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda w: w <> '') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 o AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 p AS (SELECT r, doc_id, i, word, CASE WHEN count(*) OVER ahead = {WINDOW} THEN string_agg(word, ' ') OVER ahead END AS win FROM o WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
 m AS (SELECT win, min(doc_id) AS least FROM p WHERE win IS NOT NULL GROUP BY win),

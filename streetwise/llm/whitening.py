@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_small_batches, table
@@ -30,14 +31,15 @@ LARGEST = 1 << 52
 ROWS, MOST = 4096, 4096
 
 
-def usable(vector: Column) -> Column:
-    """Whether a vector is there and has no component that is null or not finite."""
-    return F.coalesce(F.forall(vector, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < float("inf"))), F.lit(False))
-
-
-def as_integers(vector: Column) -> Column:
-    whole = lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double"))
-    return F.transform(vector, lambda c: F.when(F.abs(whole(c)) < LARGEST, whole(c) + SHIFT).otherwise(F.raise_error(F.lit("a component is too large to be exact")).cast("long")))
+def _integers(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose vectors count (``size`` components, none null or not finite), and these as integers."""
+    rows = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy() == size)
+    values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)  # null becomes nan
+    whole = np.isfinite(values).all(axis=1)
+    rows, values = rows[whole], np.floor(values[whole] * SCALE)
+    if len(values) and size and np.abs(values).max() >= LARGEST:
+        raise ValueError("a component is too large to be exact")
+    return rows, values.astype(np.int64) + SHIFT
 
 
 @dataclass
@@ -71,33 +73,47 @@ class Whitening:
         return [sum(v * v for v in row) for row in d.tolist()]
 
 
-def _products(rows: DataFrame, project, size: int) -> np.ndarray:
+def _products(rows: DataFrame, project, size: int, out: int) -> np.ndarray:
     """The sum over all rows of y y^T, y = project(x): a partition's batches by GEMM, partitions by treeAggregate."""
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size))
+        total = np.zeros((out, out))
         for batch in batches:
-            x = _matrix(batch["x"])
+            _, x = _integers(batch["x"], size)
             for i in range(0, len(x), ROWS):
                 y = project(x[i : i + ROWS])
                 total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    partial = rows.select("x").mapInArrow(products, "m binary").rdd.map(lambda r: np.frombuffer(r["m"]).reshape(size, size))
+    partial = rows.select("x").mapInArrow(products, "m binary").rdd.map(lambda r: np.frombuffer(r["m"]).reshape(out, out))
     add = lambda a, b: a + b
-    return partial.treeAggregate(np.zeros((size, size)), add, add)
+    return partial.treeAggregate(np.zeros((out, out)), add, add)
+
 
+def _sums(rows: DataFrame, size: int) -> tuple[int, list[int]]:
+    """Count and exact sums of the vectors that count."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(size, dtype=object)
+        for batch in batches:
+            _, x = _integers(batch["x"], size)
+            n += len(x)
+            for i in range(0, len(x), 512):  # 512 integers of 52 bits fit a long
+                total = total + x[i : i + 512].sum(axis=0).astype(object)
+        values = [n, *total.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, size), pa.int32()), pa.array([Decimal(v) for v in values], pa.decimal128(38, 0))], names=["place", "s"])
 
-def _matrix(x: pa.Array) -> np.ndarray:
-    return x.flatten().to_numpy().reshape(len(x), -1)
+    found = {r["place"]: int(r["s"]) for r in rows.select("x").mapInArrow(summed, "place int, s decimal(38,0)").groupBy("place").agg(F.sum("s").alias("s")).collect()}  # a row for each dimension
+    return found.get(-1, 0), [found.get(i, 0) for i in range(size)]
 
 
 def _whole(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """Rows of id and x, of the commonest count of components (ties: the largest), and that count."""
-    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), as_integers(F.col(vector_col)).alias("x"))
+    """Rows of id and x (doubles), of the commonest count of components (ties: the largest), and that count."""
+    vector = F.col(vector_col)
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), (vector if kind in ("float", "double") else vector.cast("array<double>")).alias("x")).where("x is not null")
     commonest = rows.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    size = commonest["size"] if commonest else 0
-    return rows.where(F.size("x") == size), size
+    return rows, commonest["size"] if commonest else 0
 
 
 def fit(rows: DataFrame, size: int, components: int = COMPONENTS) -> Whitening:
@@ -105,20 +121,18 @@ def fit(rows: DataFrame, size: int, components: int = COMPONENTS) -> Whitening:
     eigenvalue that rounding could have made) are no components."""
     if size > MOST:
         raise ValueError(f"vectors may have {MOST} components")
-    sums = [F.sum(F.element_at("x", i + 1).cast("decimal(20,0)")).alias(f"s{i}") for i in range(size)]
-    first = rows.agg(F.count("*").alias("n"), *sums).first()
-    n = first["n"]
-    out = Whitening(n, [int(first[f"s{i}"]) for i in range(size)] if n else [], np.zeros(0), np.zeros((size, 0)), 0.0)
+    n, sums = _sums(rows, size)
+    out = Whitening(n, sums, np.zeros(0), np.zeros((size, 0)), 0.0)
     if not n or not size:
         return out
-    covariance = _products(rows, out.centred, size) / n
+    covariance = _products(rows, out.centred, size, size) / n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     values, vectors = values[::-1], vectors[:, ::-1]
     held = int((values > max(values[0], 0) * size * np.finfo(float).eps).sum())
     k = min(components, held)
     vectors = vectors[:, :k]
     vectors = vectors * np.where(np.take_along_axis(vectors, np.abs(vectors).argmax(axis=0)[None], axis=0)[0] < 0, -1.0, 1.0) if k else vectors
-    return Whitening(n, out.sums, values[:k].copy(), vectors, float(np.trace(covariance)))
+    return Whitening(n, sums, values[:k].copy(), vectors, float(np.trace(covariance)))
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS) -> tuple[DataFrame, Whitening, float]:
@@ -127,7 +141,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     covariance minus the identity, measured over all rows.
 
     Vectors that are null or hold a component that is null or not finite are left out, and
-    those of another count of components than the commonest one (ties: the larger count).
+    those of another count of components than the commonest one (ties: the larger count;
+    vectors that hold such a component are counted as well).
     Components become floor(1024 * c) + 100000; one of 2 ** 52 or more raises an error.
     Rows that repeat an id, or have none, are vectors like others. Directions without any
     variance are no components, so equal vectors, or a single one, have none; an empty
@@ -143,17 +158,17 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return fit_.centred(x) @ by
 
     # The mean of whitened is that of n * x - S, which is exactly 0: it is centred as it is.
-    error = float(np.abs(_products(rows, project, k) / fitted.n - np.eye(k)).max()) if k else 0.0
+    error = float(np.abs(_products(rows, project, size, k) / fitted.n - np.eye(k)).max()) if k else 0.0
 
     def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch["x"])
+            held, x = _integers(batch["x"], size)
             for i in range(0, len(x), ROWS):
-                part = x[i : i + ROWS]
+                part, ids = x[i : i + ROWS], batch["id"].take(pa.array(held[i : i + ROWS]))
                 deviation = pa.array([str(d) if d < 10**38 else None for d in model.value[0].deviations(part)], pa.string())
                 flat = project(part).reshape(-1)
                 white = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(part) + 1, k) if k else np.zeros(len(part) + 1, np.int64), pa.int32()), pa.array(flat, pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(i, len(part)), deviation, white], names=["id", "deviation", "whitened"])
+                yield pa.RecordBatch.from_arrays([ids, deviation, white], names=["id", "deviation", "whitened"])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(projected, f"id {kind}, deviation string, whitened array<double>")
