@@ -36,6 +36,8 @@ LEAST_STREET, LEAST_LOCALITY = 0.3, 0.85
 OFFSETS = [-3, -2, -1, 1, 2, 3]
 #: Inputs of so few rows are sent to the address table's partitions instead of shuffling it.
 SMALL_INPUTS = 200_000
+#: So many different postcodes of inputs are looked up in the address table's layout.
+FEW_BLOCKS = 1_000
 ANY = "any"
 #: A record with a range of up to NEAR numbers offers each of them; one of up to WIDE
 #: numbers the blocks of 2 ** BLOCK_BITS numbers that it touches; a wider one (no street
@@ -256,23 +258,31 @@ def release(results: DataFrame) -> None:
         scratch.close()
 
 
-def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, localities: DataFrame, settings: Settings, cached: Callable[[DataFrame], DataFrame] | DataFrame | None = None, with_diagnostics: bool = False) -> DataFrame:
+def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, localities: DataFrame, settings: Settings, cached: Callable[[DataFrame], DataFrame] | DataFrame | None = None, with_diagnostics: bool = False, within: Callable[[str, list], tuple[DataFrame | None, DataFrame | None]] | None = None) -> DataFrame:
     """Runs the paths over parsed inputs (with input_raw and input_standardised).
 
     Each path's result is written and read again: later paths take only the inputs that
     it left over, and their plans stay short. In the end only the parsed inputs and the
     combined results are kept, until release(). ``cached`` has input_id, candidate
     columns and scores of cache hits, or makes them from the parsed inputs. The result
-    has no order; ordered() gives the reports' one."""
+    has no order; ordered() gives the reports' one.
+
+    ``within`` gives both tables with the rows that have one of some values in a column,
+    from the files that may hold them: inputs of few postcodes or states read no others."""
     s, began = settings, time.monotonic()
     weights = check_weights(s.weights)
     result, between = Scratch(parsed.sparkSession), Scratch(parsed.sparkSession)
     parsed = result.keep(parsed)
     inputs = parsed.select(*[F.col(c) for c in [*INPUT, "input_raw"] if c in parsed.columns])
     small = parsed.count() <= SMALL_INPUTS
-    addresses = candidates_of(core)
-    if s.include_custom and custom is not None:
-        addresses = addresses.unionByName(candidates_of(custom))
+    both = lambda a, b: candidates_of(a).unionByName(candidates_of(b)) if s.include_custom and b is not None else candidates_of(a)
+    addresses = both(core, custom)
+
+    def of(rows: DataFrame, name: str, column: str) -> DataFrame:
+        """The addresses that can meet these inputs."""
+        values = [r[0] for r in rows.where(F.col(name).isNotNull()).select(name).distinct().limit(FEW_BLOCKS + 1).collect()]
+        return addresses if within is None or len(values) > FEW_BLOCKS else both(*within(column, values))
+
     steps: list[tuple[str, DataFrame]] = []
 
     def run(name: str, found: DataFrame) -> DataFrame:
@@ -294,8 +304,8 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
         rest = rest.join(ids(hits), "input_id", "left_anti")
     rest = between.keep(rest.drop("input_raw"))
     with_code, without = rest.where("in_postcode is not null"), rest.where("in_postcode is null")
-    by_code = run("postcode", postcode_path(with_code, addresses, **aliased))
-    run("state", state_path(without, addresses, **aliased))
+    by_code = run("postcode", postcode_path(with_code, of(with_code, "in_postcode", "postcode"), **aliased))
+    run("state", state_path(without, of(without, "in_state", "state"), **aliased))
     if s.locality_fallback:
         strong = by_code.where(F.col("total_score") > s.fallback_threshold)
         weak = between.keep(with_code.join(ids(strong), "input_id", "left_anti").unionByName(without).where("in_locality is not null"))

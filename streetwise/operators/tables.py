@@ -77,25 +77,50 @@ def delete_keys(table: DataFrame, keys: DataFrame, key: str = "address_detail_pi
     return table.join(keys.select(key), key, "left_anti").select(*table.columns)
 
 
+def canonical_type() -> Column:
+    return tx.canonical(F.col("street_type"))
+
+
 def canonical_street_types(table: DataFrame) -> DataFrame:
-    return table.withColumn("street_type", tx.canonical(F.col("street_type")))
+    return table.withColumn("street_type", canonical_type())
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a number from 0, without gaps, in the order of the rows as they lie. Only a
+    row for each partition is brought together. The caller releases what is persisted:
+    it is in the result's ``held``."""
+    marked = df.withColumn("_m", F.monotonically_increasing_id()).persist()
+    sizes = marked.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_p", before.alias("_start"))
+    out = marked.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(starts), "_p")
+    out = out.select(*df.columns, (F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    out.held = [marked]
+    return out
 
 
-def custom_rows(rows: DataFrame, existing: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Address records of user rows: required columns checked, texts upper and trimmed,
-    the rest null, ids numbered on from the largest CUSTOM_ id in use."""
+def custom_texts(rows: DataFrame) -> DataFrame:
+    """User rows with their texts upper and trimmed; required columns are checked."""
     if missing := [c for c in REQUIRED if c not in rows.columns]:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
-    out = rows
+    return rows.withColumns({c: F.upper(tx.trim_all(F.col(c).cast("string"))) for c in _UPPER if c in rows.columns})
+
+
+def custom_rows(rows: DataFrame, existing: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Address records of user rows: required columns checked, texts upper and trimmed,
+    the rest null, ids numbered on from the largest CUSTOM_ id in use, in the order of the
+    rows' columns. The caller releases what is persisted for numbering: the result's ``held``."""
+    out, held = custom_texts(rows), []
     if "address_detail_pid" not in rows.columns:
         at = F.coalesce(F.max(F.regexp_extract("address_detail_pid", r"^CUSTOM_(\d+)$", 1).try_cast("long")), F.lit(0))
         n = existing.agg(at.alias("n")).first()["n"]
-        place = F.row_number().over(Window.orderBy(*(order or rows.columns)))  # a batch typed in by a user
-        out = out.withColumn("address_detail_pid", F.concat(F.lit("CUSTOM_"), (place + n).cast("string")))
-    for c in _UPPER:
-        if c in out.columns:
-            out = out.withColumn(c, F.upper(tx.trim_all(F.col(c).cast("string"))))
-    return aligned(out.withColumn("source", F.lit("custom")), ADDRESS)
+        by = order or rows.columns
+        places = numbered(rows.repartitionByRange(*by).sortWithinPartitions(*by), "_place")
+        held = places.held
+        out = custom_texts(places).withColumn("address_detail_pid", F.concat(F.lit("CUSTOM_"), (F.col("_place") + 1 + n).cast("string")))
+    out = aligned(out.withColumn("source", F.lit("custom")), ADDRESS)
+    out.held = held
+    return out
 
 
 def street_aliases(addresses: DataFrame) -> DataFrame:

@@ -1,17 +1,13 @@
-"""The address store: tables as versioned Parquet snapshots, or in memory as views.
+"""The address store: versioned tables in a folder (see versions.py), or tables in memory.
 
-A change writes a new folder beside the old ones and then moves a pointer file, so a
-reader never sees half a table and no path is overwritten while read. New rows alone
-are appended, old versions removed.
-Address tables are laid out by postcode, sorted by number within a file, which lets
-the scan skip row groups by their bounds.
+Address tables are laid out by postcode, number and id: a file has few postcodes, so
+that inputs of some postcodes read a few files, and of these the row groups that hold
+them. Records without a postcode are many files like others, as the id deals them out.
 """
 
 from __future__ import annotations
 
 import logging
-import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,133 +16,76 @@ from ..operators import cache as ca
 from ..operators import matching, parser, tables
 from ..operators.tables import ADDRESS, CACHE, LOCALITY
 from . import ingest
+from .versions import MemoryTable, VersionedTable
 
 log = logging.getLogger(__name__)
-#: Folders of which a table may consist before they are put together.
-APPENDS = 16
+#: Each table's columns, key, and the columns it is laid out by.
 SCHEMAS = {"addresses": ADDRESS, "custom_addresses": ADDRESS, "locality_index": LOCALITY, "match_cache": CACHE}
+KEYS = {"addresses": "address_detail_pid", "custom_addresses": "address_detail_pid", "locality_index": None, "match_cache": "input_standardised"}
+LAYOUT = ["postcode", "number_first", "address_detail_pid"]
 
 
 class AddressStore:
     def __init__(self, spark: SparkSession, path: str | None = None, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path.rstrip("/") if path else None, read_only
-        self.memory: dict[str, DataFrame] = {}
+        self.tables = {name: self._opened(name) for name in SCHEMAS}
         if not read_only:
             self.init()
 
     # -- tables -------------------------------------------------------------
-    #
-    # CURRENT of a table names the folders that it consists of: a base and what was
-    # appended since. It is replaced as a whole, so a reader sees one state or the next.
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _opened(self, name: str) -> VersionedTable | MemoryTable:
+        if self.path is None:
+            return MemoryTable(self.spark, SCHEMAS[name], KEYS[name])
+        return VersionedTable(self.spark, f"{self.path}/{name}", SCHEMAS[name], KEYS[name], LAYOUT if SCHEMAS[name] is ADDRESS else [KEYS[name]] if KEYS[name] else [])
 
-    def _folders(self, name: str) -> list[str] | None:
-        fs, p = self._fs(f"{self.path}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return [r[0] for r in self.spark.read.text(f"{self.path}/{name}/CURRENT").collect()]  # APPENDS lines at most
+    def _writable(self, name: str) -> VersionedTable | MemoryTable:
+        if self.read_only:
+            raise PermissionError("the store is read-only")
+        return self.tables[name]
 
     def exists(self, name: str) -> bool:
-        return name in self.memory if self.path is None else self._folders(name) is not None
+        return self.tables[name].exists()
 
     def list_tables(self) -> list[str]:
         return sorted(n for n in SCHEMAS if self.exists(n))
 
-    def table(self, name: str) -> DataFrame:
-        """The table as it is now, aligned to its schema: columns that an older version lacks are null."""
+    def table(self, name: str, version: int | None = None, within: dict[str, list] | None = None) -> DataFrame:
+        """The table as it is now, or was in a version; columns that an older file lacks are null. ``within`` has
+        values of columns: files that hold none of them are not read."""
         if not self.exists(name):
             raise LookupError(f"no table {name}")
-        if self.path is None:
-            return tables.aligned(self.memory[name], SCHEMAS[name])
-        parts = [tables.aligned(self.spark.read.parquet(f"{self.path}/{name}/{v}"), SCHEMAS[name]) for v in self._folders(name)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self.tables[name].read(version, within)
 
-    def _write(self, name: str, df: DataFrame) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        if "postcode" in SCHEMAS[name] and "number_first" in SCHEMAS[name]:
-            df = df.repartition("postcode").sortWithinPartitions("postcode", "number_first")
-        df.write.parquet(f"{self.path}/{name}/{version}")
-        return version
-
-    def _point(self, name: str, folders: list[str]) -> None:
-        """Moves the pointer to these folders; those that only the version before the last
-        one used are removed, so a reader of the last version can finish."""
-        before = self._folders(name) or []
-        jvm = self.spark._jvm
-        fs, new = self._fs(f"{self.path}/{name}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(bytearray("\n".join(folders).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/CURRENT"), options)
-        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
-            folder = status.getPath().getName()
-            if folder.startswith("v-") and folder not in {*folders, *before}:
-                fs.delete(status.getPath(), True)
-
-    def _put(self, name: str, df: DataFrame) -> None:
-        """Replaces a whole table."""
-        if self.read_only:
-            raise PermissionError("the store is read-only")
-        df = tables.aligned(df, SCHEMAS[name])
-        if self.path is None:
-            old, self.memory[name] = self.memory.get(name), df.persist()
-            self.memory[name].count()
-            if old is not None:
-                old.unpersist()
-            return
-        self._point(name, [self._write(name, df)])
-
-    def _append(self, name: str, new_rows: Callable[[DataFrame], DataFrame]) -> int:
-        """Adds rows, made from the table as it is; returns how many. Only they are written;
-        after APPENDS times the folders are put together."""
-        if self.read_only:
-            raise PermissionError("the store is read-only")
-        if self.path is None:
-            before = self.table(name).count()
-            self._put(name, self.table(name).unionByName(tables.aligned(new_rows(self.table(name)), SCHEMAS[name])))
-            return self.table(name).count() - before
-        version = self._write(name, tables.aligned(new_rows(self.table(name)), SCHEMAS[name]))
-        added = self.spark.read.parquet(f"{self.path}/{name}/{version}").count()
-        if added:
-            self._point(name, [*self._folders(name), version])
-            if len(self._folders(name)) > APPENDS:
-                self._put(name, self.table(name))
-        return added
-
-    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> tuple[int, int]:
-        """Applies a change; row counts before and after."""
-        before = self.table(name).count()
-        self._put(name, change(self.table(name)))
-        return before, self.table(name).count()
+    def history(self, name: str) -> DataFrame:
+        return self.tables[name].history()
+
+    def compact(self) -> int:
+        """Files that were put together or written anew, in all tables of a store in a folder."""
+        return sum(self._writable(n).compact() for n in self.list_tables())
+
+    def vacuum(self, versions: int = 2, older_than_s: float = 86_400) -> int:
+        return sum(self._writable(n).vacuum(versions, older_than_s) for n in self.list_tables())
 
     def init(self) -> None:
         """Creates what is missing; fills the index of localities if there are addresses."""
-        for name, schema in SCHEMAS.items():
+        for name in SCHEMAS:
             if not self.exists(name):
-                self._put(name, self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in schema.items())))
+                self.tables[name].replace(lambda t: t, "create")
         if self.table("locality_index").isEmpty() and not self.table("addresses").isEmpty():
             self.rebuild_locality_index()
 
     def close(self) -> None:
-        for df in self.memory.values():
-            df.unpersist()
-        self.memory.clear()
+        if self.path is None:
+            for t in self.tables.values():
+                t.close()
 
     # -- loading ------------------------------------------------------------
 
     def _load(self, rows: DataFrame, overwrite: bool) -> int:
         if overwrite:
-            self._put("addresses", tables.delete_where(self.table("addresses"), F.col("source") == tables.CORE))
-        self._append("addresses", lambda t: tables.new_rows(t, rows, "address_detail_pid"))
+            self._writable("addresses").delete(condition=F.col("source") == tables.CORE)
+        self._writable("addresses").append(lambda t: tables.new_rows(t, rows, "address_detail_pid"), "load")
         self.rebuild_locality_index()
         return self.table("addresses").count()
 
@@ -157,19 +96,20 @@ class AddressStore:
         return self._load(ingest.set_addresses(self.spark, folder, aliases), overwrite)
 
     def rebuild_locality_index(self) -> int:
-        self._put("locality_index", matching.locality_index(self.table("addresses"), self.table("custom_addresses")))
+        self._writable("locality_index").replace(lambda _: matching.locality_index(self.table("addresses"), self.table("custom_addresses")))
         return self.table("locality_index").count()
 
     def build_street_aliases(self, overwrite: bool = False) -> int:
-        clear = (lambda t: tables.delete_where(t, F.col("alias_type") == "street_only")) if overwrite else (lambda t: t)
-        self._change("addresses", lambda t: tables.insert_ignore(clear(t), tables.street_aliases(t), "address_detail_pid"))
+        if overwrite:
+            self._writable("addresses").delete(condition=F.col("alias_type") == "street_only")
+        self._writable("addresses").append(lambda t: tables.new_rows(t, tables.street_aliases(t), "address_detail_pid"), "aliases")
         return self.table("addresses").where("alias_type = 'street_only'").count()
 
     def canonicalise_street_types(self) -> int:
-        """Rows of both tables with a street type, which is canonical afterwards."""
-        n = 0
+        """Rows of both tables with a street type, which is canonical afterwards. Only those that were not are written."""
+        n, other = 0, F.col("street_type") != tables.canonical_type()
         for name in ("addresses", "custom_addresses"):
-            self._change(name, tables.canonical_street_types)
+            self._writable(name).update(other, tables.canonical_street_types)
             n += self.table(name).where("street_type is not null").count()
         return n
 
@@ -183,21 +123,22 @@ class AddressStore:
 
     def add_custom(self, rows: DataFrame, upsert: bool = False) -> tuple[int, int]:
         """Counts of rows inserted and updated."""
-        new = tables.custom_rows(rows, self.table("custom_addresses")).persist()
-        held = new.join(self.table("custom_addresses").select("address_detail_pid"), "address_detail_pid", "left_semi").count()
-        if upsert and held:
-            before, after = self._change("custom_addresses", lambda t: tables.upsert(t, new))
-            added = after - before
-        else:
-            added = self._append("custom_addresses", lambda t: tables.new_rows(t, new, "address_detail_pid"))
-        self._append("locality_index", lambda t: matching.locality_index(new).exceptAll(t))
-        new.unpersist()
-        return added, held if upsert else 0
+        table, held = self._writable("custom_addresses"), []
+
+        def made(t: DataFrame) -> DataFrame:
+            out = tables.custom_rows(rows, t)
+            held.extend(out.held)
+            return out if upsert else tables.new_rows(t, out, "address_detail_pid")
+
+        counts = table.upsert(made, tables.KEPT) if upsert else (table.append(made, "add"), 0)
+        for df in held:
+            df.unpersist()
+        new = tables.aligned(tables.custom_texts(rows), LOCALITY)
+        self._writable("locality_index").append(lambda t: matching.locality_index(new).exceptAll(t))
+        return counts
 
     def remove_custom(self, pids: list[str]) -> int:
-        keys = self.spark.createDataFrame([(p,) for p in pids], "address_detail_pid string")
-        before, after = self._change("custom_addresses", lambda t: tables.delete_keys(t, keys))
-        return before - after
+        return self._writable("custom_addresses").delete(self.spark.createDataFrame([(p,) for p in pids], "address_detail_pid string"))
 
     # -- cache --------------------------------------------------------------
 
@@ -207,15 +148,13 @@ class AddressStore:
     def cache_clear(self, confirm: bool = False) -> int:
         if not confirm:
             raise ValueError("confirm=True clears the cache")
-        before, after = self._change("match_cache", lambda t: t.limit(0))
-        return before - after
+        return self._writable("match_cache").delete(condition=F.lit(True))
 
     def cache_rollback(self, after: str, confirm: bool = False) -> int:
         """Deletes the entries from a time (UTC) on."""
         if not confirm:
             raise ValueError("confirm=True deletes the entries")
-        n, left = self._change("match_cache", lambda t: tables.delete_where(t, ca.window(since=after)))
-        return n - left
+        return self._writable("match_cache").delete(condition=ca.window(since=after))
 
     def cache_history(self, by: str = "day") -> DataFrame:
         return ca.history(self.table("match_cache"), by)
@@ -242,11 +181,12 @@ class AddressStore:
             raise ValueError(f"inputs lack {', '.join(missing)}")
         parsed = parser.parse_addresses(inputs, normalised=s.normalise).withColumn("input_standardised", parser.standardised())
         core, custom = self.table("addresses"), self.table("custom_addresses") if s.include_custom else None
+        within = lambda c, values: tuple(self.table(n, within={c: values}) if n else None for n in ("addresses", "custom_addresses" if s.include_custom else None))
         use = s.cache and ca.usable(s.weights) and self.exists("match_cache")
         hits = (lambda p: ca.probe(p, self.table("match_cache"), ca.source_of(core, custom), s.alias_types)) if use else None
-        out = matching.match_parsed(parsed, core, custom, self.table("locality_index"), s, hits, with_diagnostics)
+        out = matching.match_parsed(parsed, core, custom, self.table("locality_index"), s, hits, with_diagnostics, within)
         if use and not self.read_only and ca.usable(s.weights, s.alias_types, store=True):
-            self._append("match_cache", lambda t: ca.new_entries(t, out, s.cache_threshold, now))
+            self._writable("match_cache").append(lambda t: ca.new_entries(t, out, s.cache_threshold, now), "match")
         kept, out = out.kept, matching.ordered(out)
         out.kept = kept
         return out
