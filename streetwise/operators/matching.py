@@ -16,10 +16,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounds import jw_at_most, signature
 from ..functions.similarity import jw
-from ..scratch import Scratch
+from ..scratch import Scratch, held
 from . import parser
-from .scoring import SCORES, WEIGHTS, check_weights, number_gate, with_scores
+from .fuzzy import near_names
+from .scoring import SCORES, WEIGHTS, check_weights, number_gate, score_columns, with_scores
 
 log = logging.getLogger(__name__)
 
@@ -34,8 +36,14 @@ FIRST = ["input_id", "input_raw", "input_standardised", "address_label", "match_
 INPUT = ["input_id", *parser.FIELDS]
 LEAST_STREET, LEAST_LOCALITY = 0.3, 0.85
 OFFSETS = [-3, -2, -1, 1, 2, 3]
-#: Inputs of so few rows are sent to the address table's partitions instead of shuffling it.
-SMALL_INPUTS = 200_000
+#: Inputs that take so few bytes, with all their keys, are sent to the address table's partitions instead of shuffling it.
+BROADCAST_BYTES, KEYS = 64_000_000, 4
+#: Pairs of an input that are compared first, beside as many as it may have results.
+FIRST_TRIES = 8
+#: From so many inputs on, pairs are bounded before they are compared; below, planning that takes longer than it saves.
+BOUNDED_INPUTS = 20_000
+#: Street names that are at least so alike are found by their letters, without a look at all of a state's.
+INDEXED = 0.85
 #: So many different postcodes of inputs are looked up in the address table's layout.
 FEW_BLOCKS = 1_000
 ANY = "any"
@@ -64,7 +72,17 @@ def inputs_of(parsed: DataFrame) -> DataFrame:
     return parsed.select(*[F.col(c) if c in parsed.columns else F.lit(None).cast(parser.FIELDS.get(c, "int")).alias(c) for c in INPUT])
 
 
-def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate: bool = True, small: bool = False, least_street: float | None = None) -> DataFrame:
+def fits(inputs: DataFrame) -> bool:
+    """Whether inputs, once for each of their keys, may be sent to all tasks. They are counted, so they should be kept somewhere."""
+    width = sum((F.coalesce(F.length(c), F.lit(0)) if t == "string" else F.lit(0)) + 16 for c, t in inputs.dtypes)
+    return inputs.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] * KEYS <= BROADCAST_BYTES
+
+
+def _signed(df: DataFrame, street: str, locality: str, to: str) -> DataFrame:
+    return df.withColumns({f"{to}street": signature(street), f"{to}locality": signature(locality)})
+
+
+def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate: bool = True, small: bool = False, least_street: float | None = None, signed: bool = False) -> DataFrame:
     """Pairs of an input and a candidate with equal block values that pass the number
     gate. The gate is an OR, so it is split into disjoint keys of one equi-join: block
     and number (the first one, or one inside a range); block of the path and block of
@@ -73,7 +91,8 @@ def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate:
     key lets pass, and a range meets only the numbers near it.
 
     With ``least_street``, inputs without a number that have a street meet the block's
-    different street names first, and records only of those that are as alike."""
+    different street names first, and records only of those that are as alike; their
+    similarity is in ``_known``. With ``signed``, pairs have signatures of the names of both sides."""
     no = F.lit(None).cast("int")
     key = lambda kind, number=no: F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("n"))
     n, first, last = F.col("in_number_first"), F.col("number_first"), F.col("number_last")
@@ -86,19 +105,23 @@ def block(inputs: DataFrame, addresses: DataFrame, left: str, right: str, gate:
         blocks = F.transform(F.sequence(F.shiftright(first, BLOCK_BITS), F.shiftright(last, BLOCK_BITS)), lambda i: key("blocks", i))
         ranged = F.when(last.isNull() | (span <= 0), none).when(span < NEAR, inside).when(span < WIDE, blocks).when(span >= WIDE, F.array(key("wide"))).otherwise(none)
         offers = F.concat(offers, F.when(first.isNull(), F.array(key("letter"))).otherwise(F.array(key("number", first))), F.coalesce(ranged, none))
-    a = inputs.where(F.col(left).isNotNull())
-    b = addresses.where(F.col(right).isNotNull())
+    a, b = inputs.where(F.col(left).isNotNull()), addresses.where(F.col(right).isNotNull())
+    if signed:
+        a, b = _signed(a, "in_street_name", "in_locality", "_in_"), _signed(b, "street_name", "locality_name", "_of_")
+    a = a if "_known" in a.columns else a.withColumn("_known", F.lit(None).cast("double"))
     by_street = None
     if gate and least_street is not None:
         named = n.isNull() & F.col("in_street_name").isNotNull()
         asked, a = a.where(named), a.where(~named)
-        names = b.where("street_name is not null").select(F.col(right).alias("_block"), "street_name").distinct()
-        asked_names = asked.select(F.col(left).alias("_block"), "in_street_name").distinct()
+        names = b.where("street_name is not null").select(F.col(right).alias("_block"), "street_name", *(["_of_street"] if signed else [])).distinct()
+        asked_names = asked.select(F.col(left).alias("_block"), "in_street_name", *(["_in_street"] if signed else [])).distinct()
         asked_names = F.broadcast(asked_names) if small else asked_names
-        near = names.join(asked_names, "_block").withColumn("_jw", jw(F.col("in_street_name"), F.col("street_name"))).where(F.col("_jw") >= least_street)
-        near = near.select("_block", F.col("in_street_name").alias("_asked"), F.col("street_name").alias("_street"))
+        able = jw_at_most("in_street_name", "street_name", "_in_street", "_of_street") >= least_street if signed else F.lit(True)
+        near = names.join(asked_names, "_block").where(able).withColumn("_jw", jw(F.col("in_street_name"), F.col("street_name"))).where(F.col("_jw") >= least_street)
+        near = near.select("_block", F.col("in_street_name").alias("_asked"), F.col("street_name").alias("_street"), "_jw")
+        asked = asked.drop("_known")
         chosen = near.join(F.broadcast(asked) if small else asked, (F.col("_block") == asked[left]) & (F.col("_asked") == asked["in_street_name"]))
-        by_street = b.join(chosen, (b[right] == F.col("_block")) & (b["street_name"] == F.col("_street"))).select(*[b[c] for c in b.columns], *[F.col(c) for c in a.columns])
+        by_street = b.join(chosen, (b[right] == F.col("_block")) & (b["street_name"] == F.col("_street"))).select(*[b[c] for c in b.columns], *[F.col("_jw").alias("_known") if c == "_known" else F.col(c) for c in a.columns])
     a = a.withColumn("k", F.explode(wants)).select("*", F.col("k.kind").alias("k_kind"), F.coalesce("k.n", F.lit(-1)).alias("k_n")).drop("k")
     offered = b.withColumn("k", F.explode(offers)).select("*", F.col("k.kind").alias("o_kind"), F.coalesce("k.n", F.lit(-1)).alias("o_n")).drop("k")
     a = F.broadcast(a) if small else a
@@ -125,22 +148,86 @@ def least_similarity(min_score: int, weights: dict, postcode_known: bool = True)
     return max(LEAST_STREET, (min_score - 0.5 - 3 - others) / weights["street"]) if weights["street"] else LEAST_STREET
 
 
-def score_path(pairs: DataFrame, max_results: int, min_score: int, weights: dict | None = None) -> DataFrame:
-    """Coarse street similarity, six scores, floor, rank."""
-    pairs = pairs.withColumn("jw_street", jw(F.col("in_street_name"), F.col("street_name")))
-    pairs = pairs.where(F.col("in_street_name").isNull() | (F.col("jw_street") >= LEAST_STREET))
-    scored = with_scores(pairs, weights).where(F.col("total_score") >= min_score)
-    return best(scored.select("input_id", *CANDIDATE, *SCORES, "total_score"), max_results)
-
-
-def postcode_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False) -> DataFrame:
-    return score_path(block(inputs, addresses.where(alias_filter(alias_types)), "in_postcode", "postcode", small=small), max_results, min_score, weights)
-
-
-def state_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False) -> DataFrame:
-    """A state has very many records: inputs without a number meet its street names first."""
-    least = least_similarity(min_score, check_weights(weights))
-    return score_path(block(inputs, addresses.where(alias_filter(alias_types)), "in_state", "state", small=small, least_street=least), max_results, min_score, weights)
+def _exactly(pairs: DataFrame, weights: dict, min_score: int) -> DataFrame:
+    """Scores of pairs, and whether they count: ``_fine``. Names that are equal, or compared already, are not compared."""
+
+    def alike(a: str, b: str, known: Column) -> Column:
+        known = F.coalesce(known, F.when((F.col(a) == F.col(b)) & (F.col(a) != ""), 1.0))
+        return F.coalesce(known, jw(F.when(known.isNull(), F.col(a)), F.col(b)))
+
+    pairs = pairs.withColumns({"jw_street": alike("in_street_name", "street_name", F.col("_known")), "jw_suburb": alike("in_locality", "locality_name", F.lit(None).cast("double"))})
+    fine = F.coalesce(F.col("in_street_name").isNull() | (F.col("jw_street") >= LEAST_STREET), F.lit(False)) & (F.col("total_score") >= min_score)
+    return with_scores(pairs, weights).withColumn("_fine", fine)
+
+
+def score_path(inputs: DataFrame, pairs_of: Callable[[DataFrame, bool], DataFrame], max_results: int, min_score: int, weights: dict | None = None, bounded: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """The best pairs of each input that reach the floor, of those that ``pairs_of`` makes (with signatures, if asked).
+
+    Names are compared by Python. If ``bounded``, pairs are bounded first: four scores are
+    known, and letters tell what the other two can be at most. The few pairs of an input
+    with the highest bounds are compared; only inputs for which one of the others might
+    still win, or tie, have those compared too. No pair is left out that could change the
+    result."""
+    w, result = check_weights(weights), ["input_id", *CANDIDATE, *SCORES, "total_score"]
+    if not bounded:
+        return best(_exactly(pairs_of(inputs, False), w, min_score).where("_fine").select(*result), max_results)
+    col, tries = F.col, max_results + FIRST_TRIES
+    own = ["input_id", "in_street_name", "in_locality", *CANDIDATE]
+    needs = ["in_postcode", "in_street_type", "in_number_first", "in_number_suffix", "in_flat_number"]
+
+    def able(rows: DataFrame) -> DataFrame:
+        bounds = {"jw_street": jw_at_most("in_street_name", "street_name", "_in_street", "_of_street"), "jw_suburb": jw_at_most("in_locality", "locality_name", "_in_locality", "_of_locality")}
+        out = pairs_of(rows, True).withColumns(bounds).where(col("in_street_name").isNull() | (F.coalesce("_known", "jw_street") >= LEAST_STREET))
+        out = out.withColumn("_upper", sum(score_columns(w).values(), F.lit(0))).where(col("_upper") >= min_score)
+        return out.select(*own, *needs, "_known", "_upper", *[c for c in ("_least",) if c in rows.columns])
+
+    best_first = Window.partitionBy("input_id").orderBy(F.desc("_upper"), F.asc("address_detail_pid"))
+    first = able(inputs).withColumn("_n", F.row_number().over(best_first)).where(col("_n") <= tries)
+    first = held(_exactly(first, w, min_score).select(*result, "_upper", "_fine"), scratch)
+    totals = F.sort_array(F.collect_list(F.when(col("_fine"), col("total_score"))), asc=False)  # ``tries`` at most
+    least = F.coalesce(F.get(totals, F.lit(max_results - 1)), F.lit(min_score))
+    unsure = first.groupBy("input_id").agg(F.count("*").alias("n"), F.min("_upper").alias("low"), least.alias("_least"))
+    unsure = held(unsure.where((col("n") == tries) & (col("low") >= col("_least"))).select("input_id", "_least"), scratch)
+    found = first.where("_fine").select(*result)
+    if not unsure.isEmpty():
+        others = able(inputs.join(unsure, "input_id")).where(col("_upper") >= col("_least"))
+        others = _exactly(others, w, min_score).where("_fine").select(*result)
+        found = found.join(unsure, "input_id", "left_anti").select(*result).unionByName(others)
+    return best(found, max_results)
+
+
+def postcode_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False, bounded: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    addresses = addresses.where(alias_filter(alias_types))
+    return score_path(inputs, lambda rows, signed: block(rows, addresses, "in_postcode", "postcode", small=small, signed=signed), max_results, min_score, weights, bounded, scratch)
+
+
+def state_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False, bounded: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """A state has very many records: inputs without a number meet its street names first.
+
+    If ``bounded``, all inputs meet first the street names that are spelt much like theirs,
+    found by letters, and the records of these. An input whose results are better than any
+    record of another street could be is done; only the others meet the state's records of
+    their number, or its street names, if they have none."""
+    w, addresses = check_weights(weights), addresses.where(alias_filter(alias_types))
+    least = least_similarity(min_score, w)
+    every = lambda rows, signed: block(rows, addresses, "in_state", "state", small=small, least_street=least, signed=signed)
+    if not bounded:
+        return score_path(inputs, every, max_results, min_score, weights)
+    place = lambda state, street: F.struct(F.col(state).alias("state"), F.col(street).alias("street"))
+    named = inputs.where("in_state is not null and in_street_name <> ''")
+    asked = named.select(F.col("in_state").alias("block"), F.col("in_street_name").alias("asked")).distinct()
+    names = addresses.select(F.col("state").alias("block"), F.col("street_name").alias("name")).distinct()
+    near = held(near_names(asked, names, INDEXED), scratch).select(F.col("block").alias("in_state"), F.col("asked").alias("in_street_name"), F.struct(F.col("block").alias("state"), F.col("name").alias("street")).alias("_place"), F.col("jw").alias("_known"))
+    of_street = addresses.where("state is not null and street_name is not null").withColumn("_at", place("state", "street_name"))
+    close = score_path(named.join(near, ["in_state", "in_street_name"]), lambda rows, signed: block(rows, of_street, "_place", "_at", small=small, signed=signed), max_results, min_score, weights, True, scratch)
+    close = held(close, scratch)
+    there = lambda c, part: F.when(F.col(c).isNotNull(), w[part]).otherwise(0.0)
+    most = there("in_postcode", "postcode") + there("in_locality", "suburb") + there("in_number_first", "number") + w["type"] + w["flat"] + w["street"] * INDEXED + 3  # three scores are rounded
+    kth = close.groupBy("input_id").agg(F.count("*").alias("n"), F.min("total_score").alias("low")).where(F.col("n") == max_results)
+    done = held(inputs.join(kth, "input_id").where(F.col("low") > most).select("input_id"), scratch)
+    rest = inputs.join(done, "input_id", "left_anti")
+    wide = score_path(rest, every, max_results, min_score, weights, True, scratch)
+    return close.join(done, "input_id", "left_semi").select(*wide.columns).unionByName(wide)
 
 
 def locality_index(*tables: DataFrame) -> DataFrame:
@@ -153,31 +240,32 @@ def locality_index(*tables: DataFrame) -> DataFrame:
 
 def near_postcodes(inputs: DataFrame, localities: DataFrame) -> DataFrame:
     """input_id, alt_postcode: those of localities spelt like the input's (in its state,
-    if it has one), and those next to the input's own. The index of localities is small
-    and distinct input localities meet it once; a locality's postcodes serve every
-    input that has its name."""
-    names = inputs.where("in_locality is not null").select("in_locality", "in_state").distinct()
-    index = localities.where("locality_name is not null")
-    index = F.broadcast(index) if index.count() <= SMALL_INPUTS else index
-    # 0.85 needs lengths within a factor of four. Names with a state meet its localities
-    # by an equi-join; only those without one meet all.
-    near = (F.length("in_locality") <= 4 * F.length("locality_name")) & (F.length("locality_name") <= 4 * F.length("in_locality"))
-    like = names.where("in_state is not null").join(index, (F.col("in_state") == F.col("state")) & near)
-    like = like.union(names.where("in_state is null").join(index, near))
-    like = like.withColumn("jw", jw(F.col("in_locality"), F.col("locality_name"))).where(F.col("jw") >= LEAST_LOCALITY)
-    like = like.select("in_locality", F.col("postcode").alias("alt_postcode")).where("alt_postcode is not null").distinct()
+    if it has one), and those next to the input's own. Different names meet the different
+    names of the index by their letters; a locality's postcodes serve every input that has
+    its name."""
+    names = inputs.where("in_locality is not null").select("in_state", F.col("in_locality").alias("asked")).distinct()
+    index = localities.where("locality_name is not null").withColumnRenamed("locality_name", "name")
+    of_state = near_names(names.where("in_state is not null").withColumnRenamed("in_state", "block"), index.select(F.col("state").alias("block"), "name").distinct(), LEAST_LOCALITY)
+    every = F.lit("").alias("block")
+    anywhere = near_names(names.where("in_state is null").select(every, "asked"), index.select(every, "name").distinct(), LEAST_LOCALITY)
+    like = of_state.withColumnRenamed("block", "state").join(index, ["state", "name"]).select("asked", "postcode").union(anywhere.join(index, "name").select("asked", "postcode"))
+    like = like.select(F.col("asked").alias("in_locality"), F.col("postcode").alias("alt_postcode")).where("alt_postcode is not null").distinct()
     by_name = inputs.select("input_id", "in_locality").join(like, "in_locality").select("input_id", "alt_postcode")
     by_offset = inputs.where("in_postcode is not null").select("input_id", F.explode(F.array(*[F.col("in_postcode") + o for o in OFFSETS])).alias("alt_postcode"))
     return by_name.union(by_offset).distinct()
 
 
-def locality_path(inputs: DataFrame, addresses: DataFrame, localities: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False) -> DataFrame:
-    wide = inputs.join(near_postcodes(inputs, localities), "input_id")
-    return score_path(block(wide, addresses.where(alias_filter(alias_types)), "alt_postcode", "postcode", small=small), max_results, min_score, weights)
+def locality_path(inputs: DataFrame, addresses: DataFrame | Callable[[DataFrame], DataFrame], localities: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, alias_types=None, small: bool = False, bounded: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``addresses`` may be made from the inputs with their alt_postcode."""
+    wide = held(inputs.join(near_postcodes(inputs, localities), "input_id"), scratch)
+    of = (addresses(wide) if callable(addresses) else addresses).where(alias_filter(alias_types))
+    small = small and fits(wide)
+    return score_path(wide, lambda rows, signed: block(rows, of, "alt_postcode", "postcode", small=small, signed=signed), max_results, min_score, weights, bounded, scratch)
 
 
-def street_only_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, small: bool = False) -> DataFrame:
-    return score_path(block(inputs, addresses.where("alias_type = 'street_only'"), "in_postcode", "postcode", gate=False, small=small), max_results, min_score, weights)
+def street_only_path(inputs: DataFrame, addresses: DataFrame, max_results: int = 1, min_score: int = 60, weights: dict | None = None, small: bool = False, bounded: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    aliases = addresses.where("alias_type = 'street_only'")
+    return score_path(inputs, lambda rows, signed: block(rows, aliases, "in_postcode", "postcode", gate=False, small=small, signed=signed), max_results, min_score, weights, bounded, scratch)
 
 
 def exact_path(inputs: DataFrame, addresses: DataFrame, weights: dict | None = None, alias_types=None) -> DataFrame:
@@ -250,6 +338,7 @@ class Settings:
     normalise: bool = True
     cache: bool = True
     cache_threshold: int = 95
+    bounded: bool | None = None  # None: from BOUNDED_INPUTS inputs on
 
 
 def release(results: DataFrame) -> None:
@@ -274,7 +363,7 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
     result, between = Scratch(parsed.sparkSession), Scratch(parsed.sparkSession)
     parsed = result.keep(parsed)
     inputs = parsed.select(*[F.col(c) for c in [*INPUT, "input_raw"] if c in parsed.columns])
-    small = parsed.count() <= SMALL_INPUTS
+    small = fits(parsed)
     both = lambda a, b: candidates_of(a).unionByName(candidates_of(b)) if s.include_custom and b is not None else candidates_of(a)
     addresses = both(core, custom)
 
@@ -293,7 +382,7 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
 
     # A record may stand in both tables, which are one relation here: twice the results
     # are enough to have the best different ones.
-    common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small}
+    common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small, "bounded": s.bounded if s.bounded is not None else parsed.count() >= BOUNDED_INPUTS, "scratch": between}
     aliased = common | {"alias_types": s.alias_types}
     ids = lambda df: df.select("input_id").distinct()
     done = run("exact", exact_path(inputs, addresses, weights, s.alias_types))
@@ -309,13 +398,13 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
     if s.locality_fallback:
         strong = by_code.where(F.col("total_score") > s.fallback_threshold)
         weak = between.keep(with_code.join(ids(strong), "input_id", "left_anti").unionByName(without).where("in_locality is not null"))
-        run("locality", locality_path(weak, addresses, localities, **aliased))
+        run("locality", locality_path(weak, lambda wide: of(wide, "alt_postcode", "postcode"), localities, **aliased))
     if s.street_only_fallback:
         seen = steps[0][1].select("input_id")
         for _, p in steps[1:]:
             seen = seen.union(p.select("input_id"))
         open_inputs = between.keep(rest.where("in_postcode is not null and in_street_name is not null").join(seen.distinct(), "input_id", "left_anti"))
-        run("street", street_only_path(open_inputs, candidates_of(core), **common))
+        run("street", street_only_path(open_inputs, of(open_inputs, "in_postcode", "postcode"), **common))
     combined = result.keep(combine([p for _, p in steps], s.max_results))
     found = result.keep(merged_diagnostics([diagnostics(p) for _, p in steps])) if with_diagnostics else None
     between.close()

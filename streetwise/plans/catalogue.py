@@ -49,6 +49,8 @@ def _simple(name, path, on, table="addr", sql_kw=None, **kw):
 
 _simple("match_postcode_topk3", m.postcode_path, _POSTCODE, sql_kw={"k": 3, "floor": 40}, max_results=3, min_score=40)
 _simple("match_state_path", m.state_path, _STATE)
+_simple("match_postcode_bounded", m.postcode_path, _POSTCODE, sql_kw={"k": 3, "floor": 40}, max_results=3, min_score=40, bounded=True)
+_simple("match_state_indexed", m.state_path, _STATE, bounded=True)
 _simple("match_custom_weights", m.postcode_path, _POSTCODE, sql_kw={"w": _OWN_WEIGHTS, "k": 2}, weights=_OWN_WEIGHTS, max_results=2)
 _simple("match_alias_filter_null", m.postcode_path, _POSTCODE, sql_kw={"where": "g.alias_type IS NULL"}, alias_types=[None])
 _simple("match_alias_filter_in", m.postcode_path, _POSTCODE, sql_kw={"where": "g.alias_type IN ('LOCALITY:SYN')"}, alias_types=["LOCALITY:SYN"])

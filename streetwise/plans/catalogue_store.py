@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,9 @@ from ..operators import cache as ca
 from ..operators import diagnostics, parser, perturb, spatial
 from ..operators import matching as m
 from ..operators import tables as tb
+from ..scratch import shared_dir
 from ..sources import ingest
+from ..sources.versions import VersionedTable
 from . import oracle as o
 from .catalogue import query
 from .fixture import WITH, load
@@ -37,6 +42,26 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.upsert(_sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW))
 
 
+#: What a table was in its versions: made, rows of new ids added, all rows of ids upserted, some deleted.
+_HISTORY = f"""v0 AS ({_OLD}), v1 AS (SELECT * FROM v0 UNION ALL SELECT * FROM ({_NEW}) WHERE address_detail_pid NOT IN (SELECT address_detail_pid FROM v0)),
+v2 AS (SELECT address_detail_pid, street_name, CASE WHEN b.k IS NOT NULL THEN 'MALL' ELSE street_type END AS street_type, CASE WHEN b.k IS NOT NULL THEN postcode + 2 ELSE postcode END AS postcode, source FROM v1 LEFT JOIN (SELECT address_detail_pid AS k FROM ({_NEW}) WHERE {_KEY} % 4 = 0) b ON b.k = address_detail_pid),
+v3 AS (SELECT * FROM v2 WHERE postcode IS NULL OR postcode % 3 <> 0)"""
+
+
+@query("store_versions", f", {_HISTORY} " + " UNION ALL ".join(f"SELECT {i} AS version, * FROM v{i}" for i in range(4)))
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of a table that is made, appended to, upserted and deleted from; read from its log."""
+    old, new = _sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW)
+    schema = {"address_detail_pid": "string", "street_name": "string", "street_type": "string", "postcode": "int", "source": "string"}
+    t = VersionedTable(spark, f"{shared_dir(spark)}/versions-{uuid.uuid4().hex}", schema, "address_detail_pid", ["address_detail_pid"])
+    t.replace(lambda _: old)
+    t.append(lambda held: tb.new_rows(held, new, "address_detail_pid"))
+    again = _sql(spark, sf_dir, f"SELECT address_detail_pid, street_name, 'MALL' AS street_type, postcode + CASE WHEN {_KEY} % 3 = 0 THEN 2 ELSE 1 END AS postcode, 'third' AS source FROM ({_NEW}) WHERE {_KEY} % 4 = 0")
+    t.upsert(lambda _: again, tb.KEPT)
+    t.delete(condition=F.col("postcode") % 3 == 0)
+    return reduce(DataFrame.unionByName, [t.read(v).withColumn("version", F.lit(v)) for v in range(4)])
+
+
 @query("delete_by_pid", f"SELECT address_detail_pid FROM ({_OLD}) WHERE address_detail_pid NOT IN (SELECT address_detail_pid FROM ({_NEW}))")
 def delete_by_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.delete_keys(_sql(spark, sf_dir, _OLD), _sql(spark, sf_dir, _NEW)).select("address_detail_pid")

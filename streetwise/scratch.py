@@ -45,3 +45,14 @@ class Scratch:
 
     def close(self) -> None:
         delete(self.spark, self.folder)
+
+
+def held(df: DataFrame, scratch: Scratch | None) -> DataFrame:
+    """Kept in ``scratch``, or without one as a checkpoint, which Spark may clean up when nothing uses it any more."""
+    if scratch is not None:
+        return scratch.keep(df)
+    context = df.sparkSession.sparkContext
+    where = shared_dir(df.sparkSession)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(where)
+    return df.checkpoint(eager=True)

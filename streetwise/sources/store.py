@@ -70,8 +70,7 @@ class AddressStore:
     def init(self) -> None:
         """Creates what is missing; fills the index of localities if there are addresses."""
         for name in SCHEMAS:
-            if not self.exists(name):
-                self.tables[name].replace(lambda t: t, "create")
+            self.tables[name].create()
         if self.table("locality_index").isEmpty() and not self.table("addresses").isEmpty():
             self.rebuild_locality_index()
 

@@ -279,6 +279,11 @@ class VersionedTable:
                 change.removed.append(name)
         return change
 
+    def create(self) -> None:
+        """An empty table, unless there is one."""
+        if not self.exists():
+            self._changed(lambda read: Change("create"))
+
     def replace(self, make: Callable[[DataFrame], DataFrame], operation: str = "replace") -> None:
         """The whole table anew, from the table as it is (empty, if there is none)."""
 
@@ -407,6 +412,10 @@ class MemoryTable:
             return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in self.schema.items()))
         return reduce(lambda df, x: df.where(F.col(x[0]).isin(x[1])), (within or {}).items(), self.held)
 
+    def create(self) -> None:
+        if self.held is None:
+            self.replace(lambda t: t)
+
     def replace(self, make: Callable[[DataFrame], DataFrame], operation: str = "replace") -> None:
         new = tables.aligned(make(self.read()), self.schema).persist()
         new.count()
