@@ -72,10 +72,11 @@ def inputs_of(parsed: DataFrame) -> DataFrame:
     return parsed.select(*[F.col(c) if c in parsed.columns else F.lit(None).cast(parser.FIELDS.get(c, "int")).alias(c) for c in INPUT])
 
 
-def fits(inputs: DataFrame) -> bool:
-    """Whether inputs, once for each of their keys, may be sent to all tasks. They are counted, so they should be kept somewhere."""
+def measured(inputs: DataFrame) -> tuple[int, bool]:
+    """How many inputs there are, and whether they, once for each of their keys, may be sent to all tasks. They should be kept somewhere."""
     width = sum((F.coalesce(F.length(c), F.lit(0)) if t == "string" else F.lit(0)) + 16 for c, t in inputs.dtypes)
-    return inputs.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] * KEYS <= BROADCAST_BYTES
+    n, size = inputs.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n, size * KEYS <= BROADCAST_BYTES
 
 
 def _signed(df: DataFrame, street: str, locality: str, to: str) -> DataFrame:
@@ -259,7 +260,7 @@ def locality_path(inputs: DataFrame, addresses: DataFrame | Callable[[DataFrame]
     """``addresses`` may be made from the inputs with their alt_postcode."""
     wide = held(inputs.join(near_postcodes(inputs, localities), "input_id"), scratch)
     of = (addresses(wide) if callable(addresses) else addresses).where(alias_filter(alias_types))
-    small = small and fits(wide)
+    small = small and measured(wide)[1]
     return score_path(wide, lambda rows, signed: block(rows, of, "alt_postcode", "postcode", small=small, signed=signed), max_results, min_score, weights, bounded, scratch)
 
 
@@ -363,14 +364,16 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
     result, between = Scratch(parsed.sparkSession), Scratch(parsed.sparkSession)
     parsed = result.keep(parsed)
     inputs = parsed.select(*[F.col(c) for c in [*INPUT, "input_raw"] if c in parsed.columns])
-    small = fits(parsed)
+    n, small = measured(parsed)
     both = lambda a, b: candidates_of(a).unionByName(candidates_of(b)) if s.include_custom and b is not None else candidates_of(a)
     addresses = both(core, custom)
 
     def of(rows: DataFrame, name: str, column: str) -> DataFrame:
         """The addresses that can meet these inputs."""
+        if within is None:
+            return addresses
         values = [r[0] for r in rows.where(F.col(name).isNotNull()).select(name).distinct().limit(FEW_BLOCKS + 1).collect()]
-        return addresses if within is None or len(values) > FEW_BLOCKS else both(*within(column, values))
+        return addresses if len(values) > FEW_BLOCKS else both(*within(column, values))
 
     steps: list[tuple[str, DataFrame]] = []
 
@@ -382,7 +385,7 @@ def match_parsed(parsed: DataFrame, core: DataFrame, custom: DataFrame | None, l
 
     # A record may stand in both tables, which are one relation here: twice the results
     # are enough to have the best different ones.
-    common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small, "bounded": s.bounded if s.bounded is not None else parsed.count() >= BOUNDED_INPUTS, "scratch": between}
+    common = {"max_results": s.max_results * (2 if custom is not None else 1), "min_score": s.min_score, "weights": weights, "small": small, "bounded": s.bounded if s.bounded is not None else n >= BOUNDED_INPUTS, "scratch": between}
     aliased = common | {"alias_types": s.alias_types}
     ids = lambda df: df.select("input_id").distinct()
     done = run("exact", exact_path(inputs, addresses, weights, s.alias_types))
