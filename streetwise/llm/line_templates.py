@@ -18,23 +18,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, table
+from .common import BROADCAST_ROWS, cut, in_small_batches, table
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
 AGREE = 0.5
 WILD = "<*>"
 
 
+def _key(*columns) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """doc (hash of the row), pos, line (wildcards put in), leaf; lines under ``min_tokens`` are left out."""
     each = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", WILD)).otherwise(F.col("raw"))
     each = each.select("doc", "pos", masked.alias("line"))
     each = each.withColumn("tokens", F.array_remove(F.split("line", r"[\x20\x09-\x0D]+"), "")).where(F.size("tokens") >= min_tokens)
-    return each.select("doc", "pos", F.array_join("tokens", " ").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
+    return each.select("doc", "pos", F.array_join("tokens", " ").alias("line"), _key(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
 class _Leaf:
@@ -77,7 +82,7 @@ def _templates(different: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["leaf"], batch["own"], pa.array(found, pa.int64())], names=["leaf", "own", "k"])
 
     ordered = different.select("leaf", "own", "line").repartition("leaf").sortWithinPartitions("leaf", "line")
-    return ordered.mapInArrow(assign, "leaf long, own long, k long").select("leaf", "own", F.xxhash64("leaf", "k").alias("template"))
+    return ordered.mapInArrow(assign, "leaf struct<a:long,b:long>, own long, k long").select("leaf", "own", F.struct("leaf", "k").alias("template"))
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc, pos of the lines to drop; ``docs`` has doc (long) and text."""
+    """doc, pos of the lines to drop; ``docs`` has doc (a key) and text."""
     lines = _lines(docs, min_tokens)
     seen = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     leaves = cut(seen.where(F.col("n") >= min_docs).select("leaf"))
@@ -97,6 +102,15 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     return of.join(counts, "template", "left_semi").select("doc", "pos")
 
 
+def _left(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines at these places."""
+    out = []
+    for t, places in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        drop = set(places or ())
+        out.append(None if t is None else "\n".join([line for i, line in enumerate(t.split("\n")) if i not in drop]))
+    return pa.array(out, pa.string())
+
+
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Returns doc_id, n_lines, n_dropped, text (the lines left) for each row of ``docs``.
 
@@ -105,16 +119,15 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     count as one document. A null text stays null, with no lines; an empty one has one
     empty line. Other columns are ignored; an empty table gives no rows."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("doc", F.xxhash64("doc_id", "text"))
+    base = base.withColumn("doc", _key("doc_id", "text"))
     drop = recurring_lines(base.select("doc", F.coalesce("text", F.lit("")).alias("text")), min_docs, min_tokens)
     per_doc = drop.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    lines = F.split("text", "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    out = base.join(per_doc, "doc", "left")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return out.select("doc_id", n.alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), text.alias("text"))
+    in_small_batches(docs.sparkSession)
+    some = F.coalesce(F.size("gone") > 0, F.lit(False))
+    left = F.arrow_udf(_left, "string")(F.when(some, F.col("text")), "gone")  # other texts stay where they are
+    out = base.join(per_doc, "doc", "left").select("doc_id", "text", "gone", left.alias("left"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return out.select("doc_id", n.alias("n_lines"), F.when(some, F.size("gone")).otherwise(0).cast("long").alias("n_dropped"), F.when(some, F.col("left")).otherwise(F.col("text")).alias("text"))
 
 
 def op4_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

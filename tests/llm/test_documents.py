@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -290,6 +291,15 @@ def test_line_templates_of_one_leaf(spark):
     assert [got[10 + i] for i in range(3)] == [""] * 3 and got[20] == alone
 
 
+def test_many_lines_of_a_text_are_dropped_in_time(spark):
+    """50,000 dropped lines between lines that stay."""
+    text = lambda i: "\n".join(x for k in range(50_000) for x in (f"always the same words here {k}", f"own{i}x" if k % 1000 == 0 else "") if x)
+    began = time.monotonic()
+    got = line_templates.drop_recurring_lines(spark.createDataFrame([(i, text(i)) for i in range(3)], "doc_id long, text string")).collect()
+    assert all((r["n_lines"], r["n_dropped"], r["text"]) == (50_050, 50_000, "\n".join([f"own{r['doc_id']}x"] * 50)) for r in got)
+    assert time.monotonic() - began < 60
+
+
 def test_line_templates_of_odd_rows(spark):
     """Null ids, repeated rows, clashing columns, very long lines and texts of very many lines."""
     long_line = " ".join(f"w{chr(97 + i % 26)}" for i in range(30_000))

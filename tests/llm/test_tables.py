@@ -37,6 +37,17 @@ def test_cascade_is_exact_over_its_universe():
     assert not url_filter.probe_cascade([], h, g).any()
 
 
+def test_the_second_hash_of_a_host_does_not_follow_from_the_first(spark):
+    """Seeded by another column before it: of equal first hashes, the second ones differ by the key alone."""
+    rows = spark.range(2000).select(F.concat(F.lit("host"), F.col("id").cast("string")).alias("key"))
+    both = rows.select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"), F.xxhash64(F.xxhash64("key")).alias("x")).collect()
+    assert len({r["g"] for r in both}) == 2000 and not any(r["g"] in (r["h"], r["x"]) for r in both)
+    # A listed and an unlisted key of one first hash are told apart by the second.
+    h, g = np.array([7, 7, 7, 9], dtype=np.uint64), np.array([1, 2, 3, 4], dtype=np.uint64)
+    listed = np.array([True, False, True, False])
+    assert (url_filter.probe_cascade(url_filter.build_cascade(h, g, listed), h, g) == listed).all()
+
+
 def test_urls(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "SHARD_KEYS", 3)
     monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 20)  # several turns
