@@ -1,16 +1,22 @@
 """Points in polygons, and densities of points, as column expressions.
 
 A polygon is poly_idx, rings (array of arrays of x, y; holes are rings) and its
-attributes. Points meet polygons on cells of a grid, an equi-join; the bounding box
-and an even-odd test over the rings' edges decide. The edge counts as inside.
+attributes. Points meet polygons on cells of grids, an equi-join: a polygon has cells of
+its own size, a power of two, so that it has few whatever its extent. In cells that no
+edge comes near, all points are inside or none; in the others the bounding box and an
+even-odd test over the rings' edges decide. The edge counts as inside.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RINGS = "array<array<struct<x:double,y:double>>>"
+#: A polygon's box is at most so many cells wide and high, and one more where it lies across.
+CELLS, FINEST = 8, -40
 
 
 def _ends(rings: Column) -> Column:
@@ -35,9 +41,24 @@ def with_boxes(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"min_x": F.array_min(xs), "max_x": F.array_max(xs), "min_y": F.array_min(ys), "max_y": F.array_max(ys)})
 
 
-def spatial_lookup(points: DataFrame, polygons: DataFrame, lat: str = "latitude", lon: str = "longitude", return_cols: list[str] | None = None, multiple: str = "first", cell: float | None = None, crs: int = 4326) -> DataFrame:
+def cover(polygons: DataFrame) -> DataFrame:
+    """Cells of the polygons' boxes: level (a cell's side is 2 ** level), cx, cy, and whether the whole cell is inside;
+    such a cell has no rings. Cells wholly outside are left out. Polygons have their boxes."""
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    level = F.greatest(F.coalesce(F.ceil(F.log2(F.when(side > 0, side) / CELLS)), F.lit(FINEST)), F.lit(FINEST)).cast("int")
+    out = polygons.where("min_x is not null").withColumn("level", level).withColumn("_side", F.pow(F.lit(2.0), F.col("level")))
+    at = lambda c: F.floor(F.col(c) / F.col("_side"))
+    out = out.withColumn("cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    side, x, y = F.col("_side"), F.col("cx") * F.col("_side"), F.col("cy") * F.col("_side")
+    near = F.exists(_ends(F.col("rings")), lambda e: (F.least(e["x1"], e["x2"]) <= x + side) & (F.greatest(e["x1"], e["x2"]) >= x) & (F.least(e["y1"], e["y2"]) <= y + side) & (F.greatest(e["y1"], e["y2"]) >= y))
+    out = out.withColumn("_near", near).withColumn("whole", ~F.col("_near") & inside(F.col("rings"), x + side / 2, y + side / 2))
+    return out.where("_near or whole").withColumn("rings", F.when(~F.col("whole"), F.col("rings"))).drop("_near", "_side")
+
+
+def spatial_lookup(points: DataFrame, polygons: DataFrame, lat: str = "latitude", lon: str = "longitude", return_cols: list[str] | None = None, multiple: str = "first", crs: int = 4326) -> DataFrame:
     """Each point with the attributes of the first polygon that holds it (multiple="first")
-    or a row for each ("all"); nulls where none does or a coordinate is null."""
+    or a row for each ("all"); nulls where none does or a coordinate is null. The caller
+    releases the points that are persisted: the result's ``held``."""
     if crs not in (4326, 7844):
         raise ValueError("only EPSG:4326 and EPSG:7844 are supported")
     if multiple not in ("first", "all"):
@@ -45,21 +66,21 @@ def spatial_lookup(points: DataFrame, polygons: DataFrame, lat: str = "latitude"
     attrs = return_cols if return_cols is not None else [c for c in polygons.columns if c not in ("poly_idx", "rings")]
     if missing := [c for c in [lat, lon] if c not in points.columns] + [c for c in attrs if c not in polygons.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    boxes = with_boxes(polygons.select("poly_idx", "rings", *[F.col(c).alias(f"_attr_{c}") for c in attrs]))
-    if cell is None:
-        width = boxes.agg(F.avg(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))).alias("w")).first()["w"]
-        cell = width if width else 1.0
-    at = lambda c: F.floor(F.col(c) / cell)
-    celled = boxes.withColumn("_cx", F.explode(F.sequence(at("min_x"), at("max_x")))).withColumn("_cy", F.explode(F.sequence(at("min_y"), at("max_y"))))
+    cells = cover(with_boxes(polygons.select("poly_idx", "rings", *[F.col(c).alias(f"_attr_{c}") for c in attrs])))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # one for each power of two of extent
     numbered = points.withColumn("_point", F.monotonically_increasing_id()).persist()
-    there = numbered.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select("_point", F.col(lon).alias("_x"), F.col(lat).alias("_y"), at(lon).alias("_cx"), at(lat).alias("_cy"))
     x, y = F.col("_x"), F.col("_y")
-    hits = there.join(celled, ["_cx", "_cy"]).where(x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y"))).where(inside(F.col("rings"), x, y))
+    there = numbered.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select("_point", F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"))
+    there = there.select("*", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")).alias("level"))
+    there = there.withColumns({c: F.floor(v / F.pow(F.lit(2.0), F.col("level"))) for c, v in (("cx", x), ("cy", y))})
+    hits = there.join(cells, ["level", "cx", "cy"])
+    hits = hits.where(F.col("whole") | (x.between(F.col("min_x"), F.col("max_x")) & y.between(F.col("min_y"), F.col("max_y")) & F.coalesce(inside(F.col("rings"), x, y), F.lit(False))))
     hits = hits.select("_point", "poly_idx", *[f"_attr_{c}" for c in attrs])
     if multiple == "first":
         hits = hits.groupBy("_point").agg(F.min_by(F.struct("poly_idx", *[f"_attr_{c}" for c in attrs]), "poly_idx").alias("_hit")).select("_point", "_hit.*")
-    out = numbered.join(hits, "_point", "left")
-    return out.select(*points.columns, *[F.col(f"_attr_{c}").alias(c) for c in attrs])
+    out = numbered.join(hits, "_point", "left").select(*points.columns, *[F.col(f"_attr_{c}").alias(c) for c in attrs])
+    out.held = [numbered]
+    return out
 
 
 def subset(polygons: DataFrame, column: str, values: list, invert: bool = False) -> DataFrame:
@@ -84,6 +105,35 @@ def density_grid(points: DataFrame, bins: int, lat: str = "latitude", lon: str =
     return rows.groupBy(index(lon, x0, x1).alias("gx"), index(lat, y0, y1).alias("gy")).agg(F.count("*").alias("n"))
 
 
+def kernel_density(points: DataFrame, bins: int, bounds: tuple[float, float, float, float], bandwidth: tuple[float, float], lat: str = "latitude", lon: str = "longitude", reach: float = 4.0) -> DataFrame:
+    """Density at the centres of a bins x bins grid's cells: gx, gy, density (per unit of area).
+
+    Counts of cells, which stand for their points, are spread by a Gaussian kernel of the
+    given bandwidths (x, y), first along x and then along y, as far as ``reach`` bandwidths:
+    a cell is a row for each cell that it reaches in its line. Only cells that are reached
+    have a row. See normal_reference() for bandwidths."""
+    x0, y0, x1, y1 = bounds
+    grid = density_grid(points, bins, lat, lon, bounds).withColumn("v", F.col("n").cast("double"))
+    for c, width, h in (("gx", (x1 - x0) / bins, bandwidth[0]), ("gy", (y1 - y0) / bins, bandwidth[1])):
+        steps, other = int(reach * h / width), "gy" if c == "gx" else "gx"
+        spread = grid.select(other, "v", F.col(c).alias("_from"), F.explode(F.sequence(F.greatest(F.col(c) - steps, F.lit(0)), F.least(F.col(c) + steps, F.lit(bins - 1)))).alias(c))
+        z = (F.col(c) - F.col("_from")) * (width / h)
+        grid = spread.groupBy("gx", "gy").agg(F.sum(F.col("v") * F.exp(-0.5 * z * z)).alias("v"))
+    total = density_grid(points, bins, lat, lon, bounds).agg(F.sum("n")).first()[0] or 1
+    return grid.select("gx", "gy", (F.col("v") / (2 * math.pi * bandwidth[0] * bandwidth[1] * total)).alias("density"))
+
+
+def normal_reference(points: DataFrame, lat: str = "latitude", lon: str = "longitude") -> tuple[float, float]:
+    """Bandwidths by the normal reference rule: 1.06 times the smaller of the standard deviation and the quartiles'
+    distance over 1.34, times n ** -1/5."""
+    out = []
+    for c in (lon, lat):
+        r = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).agg(F.count("*").alias("n"), F.stddev(c).alias("s"), F.percentile_approx(c, [0.25, 0.75], 10_000).alias("q")).first()
+        spread = [v for v in (r["s"], (r["q"][1] - r["q"][0]) / 1.34 if r["q"] else None) if v]
+        out.append(1.06 * min(spread) * r["n"] ** -0.2 if spread else 1.0)
+    return tuple(out)
+
+
 def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """Douglas-Peucker: the vertices further than the tolerance from the line they would leave."""
     keep, spans = {0, len(points) - 1}, [(0, len(points) - 1)]

@@ -347,3 +347,14 @@ def spatial_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("density_grid", f"SELECT least(CAST(floor(longitude / 1.25) AS BIGINT), 9) AS gx, least(CAST(floor(latitude / 1.25) AS BIGINT), 9) AS gy, count(*) AS n FROM ({_POINTS}) WHERE longitude BETWEEN 0 AND 12.5 AND latitude BETWEEN 0 AND 12.5 GROUP BY 1, 2")
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.density_grid(_sql(spark, sf_dir, _POINTS), 10, bounds=(0.0, 0.0, 12.5, 12.5))
+
+
+#: The same grid, each cell with all others in reach at once.
+_GRID = f"SELECT least(CAST(floor(longitude / 0.625) AS BIGINT), 19) AS gx, least(CAST(floor(latitude / 0.625) AS BIGINT), 19) AS gy, count(*) AS n FROM ({_POINTS}) WHERE longitude BETWEEN 0 AND 12.5 AND latitude BETWEEN 0 AND 12.5 GROUP BY 1, 2"
+_SPREAD = "sum(g.n * exp(-0.5 * power((c.gx - g.gx) * 0.625 / 0.75, 2) - 0.5 * power((c.gy - g.gy) * 0.625 / 0.5, 2)))"
+
+
+@query("kernel_density", f", g AS ({_GRID}), c AS (SELECT x AS gx, y AS gy FROM range(20) a(x), range(20) b(y)) SELECT c.gx, c.gy, round({_SPREAD} / (2 * pi() * 0.75 * 0.5 * (SELECT sum(n) FROM g)), 9) AS density FROM c JOIN g ON abs(c.gx - g.gx) <= 4 AND abs(c.gy - g.gy) <= 3 GROUP BY c.gx, c.gy")
+def kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.kernel_density(_sql(spark, sf_dir, _POINTS), 20, (0.0, 0.0, 12.5, 12.5), (0.75, 0.5))
+    return out.withColumn("density", F.round("density", 9))
