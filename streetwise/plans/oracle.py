@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from ..operators.scoring import WEIGHTS
 
-GATE = """(i.in_number_first IS NULL OR i.in_number_first = g.number_first
-  OR (g.number_last IS NOT NULL AND i.in_number_first BETWEEN g.number_first AND g.number_last)
-  OR (g.number_first IS NULL AND i.in_number_suffix IS NOT NULL AND starts_with(g.address_label, CAST(i.in_number_first AS VARCHAR) || i.in_number_suffix || ' ')))"""
+#: By the kind of record: one without a number has its number and letter in the label, others have one number or a range.
+_LABELLED = "starts_with(g.address_label, concat(i.in_number_first, i.in_number_suffix, ' '))"
+GATE = f"""coalesce(CASE WHEN i.in_number_first IS NULL THEN TRUE WHEN g.number_first IS NULL THEN i.in_number_suffix IS NOT NULL AND {_LABELLED}
+  ELSE i.in_number_first BETWEEN g.number_first AND greatest(g.number_first, coalesce(g.number_last, g.number_first)) END, FALSE)"""
 STREET = "(i.in_street_name IS NULL OR jaro_winkler_similarity(g.street_name, i.in_street_name) >= 0.3)"
 
 
 def scores(w: dict[str, float] = WEIGHTS) -> str:
     tier = lambda share: int(w["postcode"] * share + 0.5 + 1e-9)
-    starts = "starts_with(g.address_label, CAST(i.in_number_first AS VARCHAR) || i.in_number_suffix || ' ')"
     return f"""
   CASE abs(i.in_postcode - g.postcode) WHEN 0 THEN {tier(1)} WHEN 1 THEN {tier(0.7)} WHEN 2 THEN {tier(0.4)} WHEN 3 THEN {tier(0.2)} ELSE 0 END AS score_postcode,
   coalesce(CAST(round({w["suburb"]:g} * jaro_winkler_similarity(i.in_locality, g.locality_name)) AS INT), 0) AS score_suburb,
   coalesce(CAST(round({w["street"]:g} * jaro_winkler_similarity(i.in_street_name, g.street_name)) AS INT), 0) AS score_street_name,
   CASE WHEN i.in_street_type IS NOT DISTINCT FROM g.street_type THEN {round(w["type"])} WHEN i.in_street_type IS NULL OR g.street_type IS NULL THEN {round(w["type"] * 0.5)} ELSE {round(w["type"] * 0.4)} END AS score_street_type,
-  CASE WHEN i.in_number_first IS NULL THEN 0
-    WHEN i.in_number_suffix IS NOT NULL THEN CASE WHEN (g.number_first IS NULL OR g.number_first = i.in_number_first) AND {starts} THEN {round(w["number"])} ELSE 0 END
-    WHEN i.in_number_first = g.number_first THEN {round(w["number"])}
-    WHEN g.number_last IS NOT NULL AND i.in_number_first BETWEEN g.number_first AND g.number_last THEN {round(w["number"] * 0.7)} ELSE 0 END AS score_number,
+  CASE WHEN i.in_number_suffix IS NOT NULL THEN CASE WHEN coalesce(g.number_first, i.in_number_first) = i.in_number_first AND {_LABELLED} THEN {round(w["number"])} ELSE 0 END
+    ELSE CASE WHEN i.in_number_first = g.number_first THEN {round(w["number"])} WHEN i.in_number_first BETWEEN g.number_first AND g.number_last THEN {round(w["number"] * 0.7)} ELSE 0 END END AS score_number,
   CASE WHEN trim(coalesce(i.in_flat_number, '')) = trim(coalesce(g.flat_number, '')) THEN {round(w["flat"])} ELSE 0 END AS score_flat"""
 
 
