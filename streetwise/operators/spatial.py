@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import projection
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 #: A polygon's box is at most so many cells wide and high, and one more where it lies across.
 CELLS, FINEST = 8, -40
@@ -57,10 +59,9 @@ def cover(polygons: DataFrame) -> DataFrame:
 
 def spatial_lookup(points: DataFrame, polygons: DataFrame, lat: str = "latitude", lon: str = "longitude", return_cols: list[str] | None = None, multiple: str = "first", crs: int = 4326) -> DataFrame:
     """Each point with the attributes of the first polygon that holds it (multiple="first")
-    or a row for each ("all"); nulls where none does or a coordinate is null. The caller
-    releases the points that are persisted: the result's ``held``."""
-    if crs not in (4326, 7844):
-        raise ValueError("only EPSG:4326 and EPSG:7844 are supported")
+    or a row for each ("all"); nulls where none does or a coordinate is null. Points are in
+    EPSG:4326, polygons in ``crs`` (see projection.py). The caller releases the points that are persisted: the result's ``held``."""
+    projection.zone_of(crs)
     if multiple not in ("first", "all"):
         raise ValueError("multiple must be 'first' or 'all'")
     attrs = return_cols if return_cols is not None else [c for c in polygons.columns if c not in ("poly_idx", "rings")]
@@ -70,7 +71,8 @@ def spatial_lookup(points: DataFrame, polygons: DataFrame, lat: str = "latitude"
     levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # one for each power of two of extent
     numbered = points.withColumn("_point", F.monotonically_increasing_id()).persist()
     x, y = F.col("_x"), F.col("_y")
-    there = numbered.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select("_point", F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y"))
+    there = numbered.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    there = there.select("_point", *[c.alias(n) for n, c in zip(("_x", "_y"), projection.to_layer(F.col(lon).cast("double"), F.col(lat).cast("double"), crs), strict=True)])
     there = there.select("*", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")).alias("level"))
     there = there.withColumns({c: F.floor(v / F.pow(F.lit(2.0), F.col("level"))) for c, v in (("cx", x), ("cy", y))})
     hits = there.join(cells, ["level", "cx", "cy"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cache as ca
-from ..operators import diagnostics, parser, perturb, spatial
+from ..operators import diagnostics, parser, perturb, projection, spatial
 from ..operators import matching as m
 from ..operators import tables as tb
 from ..scratch import shared_dir
@@ -358,3 +358,27 @@ _SPREAD = "sum(g.n * exp(-0.5 * power((c.gx - g.gx) * 0.625 / 0.75, 2) - 0.5 * p
 def kernel_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spatial.kernel_density(_sql(spark, sf_dir, _POINTS), 20, (0.0, 0.0, 12.5, 12.5), (0.75, 0.5))
     return out.withColumn("density", F.round("density", 9))
+
+
+#: Points of a zone, some beyond its edges, and the same series in SQL: east and north, and how far off they come back.
+_PLACES = f"SELECT {_KEY} AS id, CASE WHEN {_KEY} % 50 <> 0 THEN 143.5 + CAST({_KEY} % 97 AS DOUBLE) / 13 END AS longitude, -44 + CAST({_KEY} % 89 AS DOUBLE) / 3 AS latitude FROM addr"
+
+
+def _terms(f: str, g: str) -> str:
+    return " + ".join(f"{c!r} * {f}({2 * k} * xi) * {g}({2 * k} * eta)" for k, c in enumerate(projection.FORWARD, 1))
+
+
+_ECC, _SIZE = projection._E2**0.5, projection.SCALE * projection._RADIUS
+
+
+@query("grid_coordinates", f""", p AS ({_PLACES}), t AS (SELECT id, longitude, latitude, radians(longitude - 147) AS off, sinh(atanh(sin(radians(latitude))) - {_ECC!r} * atanh({_ECC!r} * sin(radians(latitude)))) AS t FROM p),
+s AS (SELECT id, longitude, latitude, atan2(t, cos(off)) AS xi, atanh(sin(off) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT id, round(500000 + {_SIZE!r} * (eta + {_terms("cos", "sinh")}), 3) AS east, round(10000000 + {_SIZE!r} * (xi + {_terms("sin", "cosh")}), 3) AS north, longitude IS NOT NULL AS back FROM s""")
+def grid_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EPSG:7855 of points, and whether they come back within 1e-9 degrees."""
+    out = _sql(spark, sf_dir, _PLACES)
+    x, y = projection.to_layer(F.col("longitude"), F.col("latitude"), 7855)
+    out = out.withColumns({"east": x, "north": y})
+    lon, lat = projection.from_layer(F.col("east"), F.col("north"), 7855)
+    back = (F.abs(lon - F.col("longitude")) < 1e-9) & (F.abs(lat - F.col("latitude")) < 1e-9)
+    return out.select("id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.coalesce(back, F.lit(False)).alias("back"))

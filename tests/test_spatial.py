@@ -3,9 +3,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from streetwise.operators import spatial
+from streetwise.operators import projection, spatial
 
 
 def star(rng, x, y, r, n):
@@ -66,3 +67,44 @@ def test_density_sums_to_one_and_is_normal(spark):
     assert abs(got["density"].sum() * 0.09 - 1) < 0.01
     middle = got[(got["gx"] == 30) & (got["gy"] == 30)]["density"].iloc[0]
     assert abs(middle - 1 / (4 * math.pi)) < 0.012
+
+
+def degrees(d, m, s):
+    return math.copysign(abs(d) + m / 60 + s / 3600, d)
+
+
+def test_published_control_points(spark):
+    """Two survey marks in zone 55, and a station in both datums."""
+    marks = [(degrees(144, 25, 29.52440), degrees(-37, 57, 3.72030), 273741.297, 5796489.777), (degrees(143, 55, 35.38390), degrees(-37, 39, 10.15610), 228854.052, 5828259.038)]
+    df = spark.createDataFrame(marks, "lon double, lat double, east double, north double")
+    x, y = projection.to_layer(F.col("lon"), F.col("lat"), 7855)
+    lon, lat = projection.from_layer(x, y, 7855)
+    for r in df.select("*", x.alias("x"), y.alias("y"), lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert abs(r["x"] - r["east"]) < 1e-3 and abs(r["y"] - r["north"]) < 1e-3
+        assert abs(r["lon2"] - r["lon"]) < 1e-9 and abs(r["lat2"] - r["lat"]) < 1e-9
+    old, new = (-4052051.7643, 4212836.2017, -2545106.0245), (-4052052.7379, 4212835.9897, -2545104.5898)
+
+    def geographic(x, y, z):  # step by step, for a point that is not on the ellipsoid
+        p, lat = math.hypot(x, y), math.atan2(z, math.hypot(x, y))
+        for _ in range(20):
+            nu = projection.AXIS / math.sqrt(1 - projection._E2 * math.sin(lat) ** 2)
+            lat = math.atan2(z + projection._E2 * nu * math.sin(lat), p)
+        return math.degrees(math.atan2(y, x)), math.degrees(lat)
+
+    a, b = geographic(*old), geographic(*new)
+    one = spark.createDataFrame([(*a, *b)], "lon double, lat double, lon2 double, lat2 double")
+    there, back = projection.shifted(F.col("lon"), F.col("lat"), True), projection.shifted(F.col("lon2"), F.col("lat2"), False)
+    got = one.select(*there, *back).first()
+    metres = 1 / 111_000
+    assert all(abs(g - w) < 0.002 * metres for g, w in zip(got, (*b, *a), strict=True))
+    assert abs(a[1] - b[1]) > 1 * metres
+
+
+def test_layer_in_a_grid(spark):
+    points = spark.createDataFrame([(1, degrees(144, 25, 29.52440), degrees(-37, 57, 3.72030)), (2, 146.0, -37.0), (3, None, 1.0)], "id int, longitude double, latitude double")
+    box = spark.createDataFrame([(0, [[(273740.0, 5796489.0), (273742.0, 5796489.0), (273742.0, 5796490.0), (273740.0, 5796490.0)]], "mark")], f"poly_idx int, rings {spatial.RINGS}, zone string")
+    assert {r["id"]: r["zone"] for r in spatial.spatial_lookup(points, box, crs=7855).collect()} == {1: "mark", 2: None, 3: None}
+    # A metre and a half off in the older datum.
+    assert {r["id"]: r["zone"] for r in spatial.spatial_lookup(points, box, crs=28355).collect()} == {1: None, 2: None, 3: None}
+    with pytest.raises(ValueError, match="not supported"):
+        spatial.spatial_lookup(points, box, crs=3857)
