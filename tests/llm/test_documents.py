@@ -1,5 +1,6 @@
 """Operators over documents against brute force: 1, 3, 4, 6, 7, 8, 9, 10."""
 
+import math
 import random
 import re
 import time
@@ -324,6 +325,43 @@ def test_language_held_out(spark, docs):
     assert sum(r["lang"] == r["f"]["lang_pred"] for r in held) >= 0.97 * len(held)
 
 
+def predicted_by_brute_force(model, text):
+    """Family first, then the languages of it: by wins against each other one, ties by the sum of margins."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    fold = [b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in b" " + text.encode() + b" "]
+    codes = []
+    for a, b, c in zip(fold, fold[1:], fold[2:], strict=False):
+        if b != 32:
+            x = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            codes.append((x ^ x >> 15) * 0x2C1B3C6D % 2**32 >> 19)
+    margins = {(a, b): sum(float(w[x]) for x in codes) / len(codes) * 30 + bias for a, b, w, bias in model.machines}
+
+    def winner(names):
+        against = {a: [margins[a, b] if (a, b) in margins else -margins[b, a] for b in names if b != a] for a in names}
+        won = lambda a: sum(margins[a, b] > 0 if (a, b) in margins else margins[b, a] <= 0 for b in names if b != a)
+        best = max(names, key=lambda a: won(a) + 1e-3 * math.tanh(sum(against[a])))
+        return best, min(against[best], default=math.inf)
+
+    kin, sure = winner(model.families)
+    lang, least = winner([x for x in model.langs if language.family(x) == kin])
+    return lang, 1 / (1 + math.exp(-2 * max(-30, min(30, sure, least))))
+
+
+def test_query_of_languages_equals_brute_force(spark, docs, tmp_path):
+    """Every row of the query against plain Python over the fitted machines; these are fitted on what may be learned alone."""
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(500 + i, t, "nl" if i % 2 else None) for i, t in enumerate(["de straat en het huis is groot en mooi", "het raam van de tuin is niet open", "Ünlü ŞEHİR", "日本語", "a", "--- 12"] * 4)], "doc_id long, text string, lang string"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = language.op7_hierarchical(spark, str(tmp_path)).collect()
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    model = language.fit(spark.createDataFrame([r for r in rows if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1], table.schema))
+    assert len({language.family(x) for x in model.langs}) < len(model.langs)  # a family of several
+    key = lambda r: str((r[0], r[2], round(r[3], 6)))
+    want = [(r["doc_id"], r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1, *predicted_by_brute_force(model, r["text"])) for r in rows]
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(g)[:3] == w[:3] and abs(g["score"] - w[3]) < 1e-6
+
+
 def test_fingerprints(spark, docs):
     def shingles(t):
         w = [x for x in re.split("[ \t-\r]+", (t or "").lower()) if x]
