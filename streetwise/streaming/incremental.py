@@ -13,8 +13,10 @@ from ..sources.store import AddressStore
 
 def match_stream(inputs: DataFrame, store: AddressStore, sink: Callable[[DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
     """``inputs`` is a stream of input_id, input_raw. Each micro-batch is matched and
-    handed to ``sink`` with its number; a batch that is run again finds its good matches
-    in the cache, and a sink that writes by batch number stays exactly-once."""
+    handed to ``sink`` with its number. A batch that is run again after a failure may find
+    its good matches in the cache, where the first run has put them, and then gives one row
+    for each of these: a sink that replaces what it has of a batch number holds one run's
+    results as a whole, but which run's is not certain."""
 
     def one(batch: DataFrame, number: int) -> None:
         out = store.match(batch, **options)
