@@ -1,8 +1,10 @@
-"""Parser cases: one text to the fields that matter in it."""
+"""Parser cases: one text to the fields that matter in it; the quick grammar's two forms."""
+
+import random
 
 import pytest
 
-from streetwise.operators.parser import FIELDS, normalise, parse_text
+from streetwise.operators.parser import FIELDS, normalise, parse_addresses, parse_text, with_quick
 
 NAMES = {"pc": "in_postcode", "st": "in_state", "loc": "in_locality", "name": "in_street_name", "type": "in_street_type", "dir": "in_street_suffix", "n": "in_number_first", "to": "in_number_last", "sfx": "in_number_suffix", "ft": "in_flat_type", "fn": "in_flat_number", "bld": "in_building_name"}
 TM = {"loc": "TAMBORINE MOUNTAIN", "st": "QLD", "pc": 4272}
@@ -73,3 +75,37 @@ def test_blank(text):
 def test_normalise_unglues_but_keeps_ordinals():
     cases = {"25ST JAMES": "25 ST JAMES", "1ST AVE": "1ST AVE", "11ST": "11 ST", "11TH": "11TH", "13RD": "13 RD", "21ST": "21ST", "3RDX": "3 RDX", "190A X": "190A X"}
     assert {k: normalise(k) for k in cases} == cases
+
+
+PIECES = (
+    "25|3/25|U3|UNIT 5|APT 4A|A|F8|110-120|190A|12A-14B|1ST|12TH|5,|LOT 7|36 A1|99999999999|0|6019|2000|4000|St|Rd|Court|grove|Parkland|bvd|Bvdz|Smith|Mt|MNT|N|W|North|SOUTH|nth|qld|NSW|VIC|4272|ST JAMES|"
+    "Mount Gravatt|CK|& Co|Tower|U10|Shop 3|x|-|/|'|(rear)|é|ſt|\xa0|\t|_|St.|,|.|UNITS|O'Brien|10/12-14|B/7 9|3/ 25|25ST|\x1f"
+).split("|")
+
+
+def generated(n):
+    rng = random.Random(11)
+    out = [" ".join(rng.choice(PIECES) for _ in range(rng.randint(0, 9))) for _ in range(n)]
+    one = lambda *words: rng.choice(words)
+    out += [f"{one('25', '3/25', 'U3 25', 'UNIT 5 18-20', '190A', '36 A1', 'Tower 3/25', 'A/3 9')} {one('SMITH', 'ST JAMES', '1ST', 'MT & B', '')} {one('ST', 'RD', 'WAY NORTH')}{one(',', '')} {one('BRISBANE', 'NORTH QUAY', 'W END')} {one('QLD', 'QLD 4000', '2000 NSW', '4000', '')}" for _ in range(n)]
+    return [None, "", " ", ",,.", "12 " + "A " * 5000 + "ST X", *out, *[c[0] for c in CASES]]
+
+
+@pytest.mark.parametrize("normalised", [True, False])
+def test_quick_grammar_has_two_forms_that_agree(spark, normalised):
+    texts = generated(1500)
+    df = spark.createDataFrame(list(enumerate(texts)), "input_id int, input_raw string").repartition(4)
+    got = {r["input_id"]: r["quick"] for r in with_quick(df, "input_raw", normalised=normalised).collect()}
+    claimed = {i: q.asDict() for i, q in got.items() if q is not None}
+    assert len(claimed) > 1000
+    assert claimed == {i: parse_text(texts[i], normalised) for i in claimed}
+    both = {r["input_id"]: r.asDict() for r in parse_addresses(df, normalised=normalised, native=True).collect()}
+    assert {i: {k: r[k] for k in FIELDS} for i, r in both.items()} == {i: parse_text(t, normalised) for i, t in enumerate(texts)}
+
+
+def test_quick_grammar_runs_without_python(spark):
+    df = spark.createDataFrame([(1, "3/25 St James Rd, Red Hill QLD 4059", "kept"), (2, "é 1 Smith St", None)], "id int, text string, quick_ string")
+    out = with_quick(df, "text")
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("existing", "")
+    rows = {r["id"]: r for r in out.collect()}
+    assert rows[1]["quick"]["in_street_name"] == "SAINT JAMES" and rows[1]["quick_"] == "kept" and rows[2]["quick"] is None
