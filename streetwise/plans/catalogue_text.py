@@ -103,6 +103,29 @@ def parse_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parser.parse_addresses(addr.select(F.expr("CAST(substring(address_detail_pid, 2, 9) AS INT)").alias("input_id"), F.col("address_label").alias("input_raw")))
 
 
+#: Six shapes of text; the last says with a comma that another word is the street's type.
+_QUICK_TEXTS = """SELECT CAST(substring(address_detail_pid, 2, 9) AS INT) AS input_id, CAST(substring(address_detail_pid, 2, 9) AS INT) % 6 AS shape, CAST(substring(address_detail_pid, 2, 9) AS INT) % 90 + 1 AS n, street_name, locality_name, state, postcode,
+  CASE CAST(substring(address_detail_pid, 2, 9) AS INT) % 6 WHEN 0 THEN 'Tower 7B/' WHEN 1 THEN 'lvl 4 ' WHEN 2 THEN 'F8 ' WHEN 3 THEN '12 ' ELSE '' END || CAST(CAST(substring(address_detail_pid, 2, 9) AS INT) % 90 + 1 AS VARCHAR(20)) || CASE CAST(substring(address_detail_pid, 2, 9) AS INT) % 6 WHEN 4 THEN ' A1 ' WHEN 5 THEN 'C-95 ' ELSE ' ' END
+  || lower(street_name) || ' St.' || CASE CAST(substring(address_detail_pid, 2, 9) AS INT) % 6 WHEN 5 THEN ', ' ELSE ' Upper ' END || locality_name || CASE postcode % 3 WHEN 0 THEN ' ' || state || ' ' || CAST(postcode AS VARCHAR(20)) WHEN 1 THEN ' ' || CAST(postcode AS VARCHAR(20)) || ' ' || lower(state) ELSE '' END AS input_raw FROM addr"""
+_FAR = "CASE WHEN shape = 5 THEN nullif(regexp_extract(locality_name, '^(WEST|UPPER) ', 1), '') ELSE 'UPPER' END"
+#: A locality's last word may be a type, GROVE, and is one where no comma says otherwise.
+_GROVE = "locality_name LIKE '% GROVE'"
+_FIRST = "street_name || ' ST UPPER ' || regexp_replace(locality_name, ' GROVE$', '')"
+
+
+@query("parse_quick", f"""SELECT input_id, NOT (shape = 5 AND {_GROVE}) AS claimed, CASE WHEN NOT (shape = 5 AND {_GROVE}) THEN n END AS in_number_first,
+  CASE WHEN shape = 5 AND NOT {_GROVE} THEN 95 END AS in_number_last, CASE WHEN shape = 5 AND NOT {_GROVE} THEN 'C' END AS in_number_suffix,
+  CASE shape WHEN 0 THEN 'UNIT' WHEN 1 THEN 'LEVEL' WHEN 2 THEN 'FLAT' WHEN 3 THEN 'UNIT' WHEN 4 THEN 'APARTMENT' END AS in_flat_type, CASE shape WHEN 0 THEN '7B' WHEN 1 THEN '4' WHEN 2 THEN '8' WHEN 3 THEN '12' WHEN 4 THEN '1' END AS in_flat_number,
+  CASE WHEN shape = 0 THEN 'TOWER' END AS in_building_name, CASE WHEN shape = 5 AND {_GROVE} THEN NULL WHEN {_GROVE} THEN {_FIRST} ELSE street_name END AS in_street_name,
+  CASE WHEN shape = 5 AND {_GROVE} THEN NULL WHEN {_GROVE} THEN 'GROVE' ELSE 'STREET' END AS in_street_type, CASE WHEN NOT {_GROVE} THEN {_FAR} END AS in_street_suffix,
+  CASE WHEN {_GROVE} THEN NULL WHEN shape = 5 THEN regexp_replace(locality_name, '^(WEST|UPPER) ', '') ELSE locality_name END AS in_locality,
+  CASE WHEN postcode % 3 < 2 AND NOT (shape = 5 AND {_GROVE}) THEN state END AS in_state, CASE WHEN postcode % 3 < 2 AND NOT (shape = 5 AND {_GROVE}) THEN postcode END AS in_postcode FROM ({_QUICK_TEXTS})""")
+def parse_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick grammar as column expressions: whether it claims a text, and the fields as they are written."""
+    got = parser.with_quick(_rows(spark, sf_dir, _QUICK_TEXTS), "input_raw", normalised=False)
+    return got.select("input_id", F.col("quick").isNotNull().alias("claimed"), *[F.col("quick")[k].alias(k) for k in parser.FIELDS])
+
+
 @query("standardise_input", "SELECT input_id, nullif(concat_ws(', ', nullif(concat_ws(' ', in_flat_number, CAST(in_number_first AS VARCHAR) || coalesce(in_number_suffix, ''), in_street_name, in_street_type), ''), nullif(concat_ws(' ', in_locality, in_state, CAST(in_postcode AS VARCHAR)), '')), '') AS input_standardised FROM inp")
 def standardise_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.matching import inputs_of
