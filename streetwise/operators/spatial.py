@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +154,55 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
             keep.add(at)
             spans += [(i, at), (at, j)]
     return [points[k] for k in sorted(keep)]
+
+
+def thinned(points: list[tuple[float, float]], junctions: list[int], tolerance: float) -> list[tuple[float, float]] | None:
+    """A ring whose chains between junctions are simplified; a ring without a junction is cut
+    at its least corner. A chain is looked at in the lesser of its two directions, so that all
+    rings that have it get the same. None if fewer than three corners are left."""
+    n = len(points)
+    if n < 3:
+        return points
+    cuts, out = sorted(junctions) or [points.index(min(points))], []
+    for a, b in zip(cuts, [*cuts[1:], cuts[0] + n], strict=True):
+        chain = [points[k % n] for k in range(a, b + 1)]
+        turned = chain[::-1] < chain
+        done = simplified(chain[::-1] if turned else chain, tolerance)
+        out += (done[::-1] if turned else done)[:-1]
+    return out if len(out) >= 3 else None
+
+
+def simplify_layer(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """The layer with fewer corners, where neighbours keep a common border.
+
+    Corners at which more than two different neighbours meet, over all rings of all polygons,
+    stay: there borders part. What lies between two of them is the same in every ring that
+    has it, and is simplified alike. Rings that shrink to fewer than three corners go, and a
+    polygon may be left without rings. poly_idx is unique; rings of fewer than three corners
+    and polygons with null rings stay as they are. Only corners and rings are shuffled, by
+    point and by polygon; a ring is the work of one task."""
+    if tolerance < 0:
+        raise ValueError("tolerance must not be negative")
+    rings = polygons.select("poly_idx", F.posexplode("rings").alias("ring", "points"))
+    once = F.filter("points", lambda p, i: (i == 0) | (p != F.get(F.col("points"), i - 1)))
+    rings = rings.withColumn("points", once)
+    closed = (F.size("points") > 1) & (F.get("points", F.lit(0)) == F.get("points", F.size("points") - 1))
+    rings = rings.withColumn("points", F.when(closed, F.slice("points", 1, F.size("points") - 1)).otherwise(F.col("points")))
+    corners = rings.select("poly_idx", "ring", F.size("points").alias("n"), "points", F.posexplode("points").alias("i", "p"))
+    beside = F.array(*[F.get("points", (F.col("i") + F.col("n") + d) % F.col("n")) for d in (-1, 1)])
+    corners = corners.select("poly_idx", "ring", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"), beside.alias("beside"))
+    parting = corners.select("x", "y", F.explode("beside").alias("b")).distinct().groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 2").select("x", "y")
+    places = corners.join(parting, ["x", "y"], "left_semi").groupBy("poly_idx", "ring").agg(F.collect_list("i").alias("junctions"))
+
+    def thin(points: pa.Array, junctions: pa.Array) -> pa.Array:
+        out = []
+        for ring, at in zip(points.to_pylist(), junctions.to_pylist(), strict=True):
+            left = thinned([(p["x"], p["y"]) for p in ring], at or [], tolerance)
+            out.append(None if left is None else [{"x": x, "y": y} for x, y in left])
+        return pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    thin_udf = F.arrow_udf(thin, "array<struct<x:double,y:double>>")
+    done = rings.join(places, ["poly_idx", "ring"], "left").select("poly_idx", "ring", thin_udf("points", "junctions").alias("points"))
+    whole = done.where("points is not null").groupBy("poly_idx").agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("_parts"))
+    kept = F.coalesce(F.col("_parts.points"), F.array().cast(RINGS))
+    return polygons.join(whole, "poly_idx", "left").withColumn("rings", F.when(F.col("rings").isNotNull(), kept)).select(*polygons.columns)

@@ -2,7 +2,9 @@
 
 import datetime
 import json
+import random
 import struct
+from collections import Counter
 
 import pytest
 
@@ -102,3 +104,43 @@ def test_points_in_a_layer_from_a_shapefile(spark, tmp_path):
     points = spark.createDataFrame([(1, 5.0, 5.0), (2, 2.5, 2.5), (3, 50.5, 110.5), (4, -18.0, -18.0)], "id int, latitude double, longitude double")
     out = spatial.spatial_lookup(points, layer, return_cols=["NAME"])
     assert {r["id"]: r["NAME"] for r in out.collect()} == {1: "Ost é", 2: None, 3: "two parts", 4: None}
+
+
+def area(ring):
+    return abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def wavy(a, b, seed):
+    """A border between two points, the same whichever side asks."""
+    if a > b:
+        return wavy(b, a, seed)[::-1]
+    rng = random.Random(f"{a}{b}{seed}")
+    ts = sorted(rng.random() for _ in range(9))
+    return [a, *[(a[0] + t * (b[0] - a[0]) + rng.uniform(-0.1, 0.1), a[1] + t * (b[1] - a[1]) + rng.uniform(-0.1, 0.1)) for t in ts], b]
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.02, 0.3])
+def test_simplified_neighbours_keep_a_common_border(spark, tolerance):
+    cells, n = [], 4
+    for x in range(n):
+        for y in range(n):
+            ends = [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1), (x, y)]
+            ring = [p for a, b in zip(ends, ends[1:], strict=False) for p in wavy(tuple(map(float, a)), tuple(map(float, b)), 1)[:-1]]
+            turned = ring[::-1] if (x + y) % 2 else ring[3:] + ring[:3]
+            cells.append((len(cells), [turned + turned[:1]], f"c{x}{y}"))
+    hole = SQUARE(20.0, 20.0, 5.0)
+    others = [(100, [SQUARE(10.0, 10.0, 20.0), hole], "around"), (101, [hole[::-1]], "island"), (102, [SQUARE(50.0, 50.0, 0.1)], "small"), (103, [], "none"), (104, None, None), (105, [[(1.5, 1.0)], []], "point")]
+    layer = spark.createDataFrame(cells + others, f"poly_idx int, rings {spatial.RINGS}, name string").repartition(4)
+    out = {r["poly_idx"]: plain(r["rings"]) for r in spatial.simplify_layer(layer, tolerance).collect()}
+    assert len(out) == len(cells) + len(others)
+    sides = Counter(frozenset((a, b)) for i in range(n * n) for r in out[i] for a, b in zip(r, r[1:] + r[:1], strict=True))
+    hull = [s for s, k in sides.items() if k == 1]
+    assert max(sides.values()) == 2 and len(hull) < len(sides) / 2  # each inner side belongs to two cells
+    inside = [p for s in sides if s not in hull for p in s]
+    assert {(float(x), float(y)) for x in range(1, n) for y in range(1, n)} <= set(inside)
+    if tolerance == 0:
+        assert {i: set(r[0]) for i, r in out.items() if i < n * n} == {i: set(r[0]) for i, r, _ in cells}
+    else:
+        assert sum(len(out[i][0]) for i in range(n * n)) < sum(len(r[0]) for _, r, _ in cells)
+    assert set(out[100][1]) == set(out[101][0]) == set(hole) and area(out[100][0]) == 400
+    assert len(out[102]) == (tolerance < 0.2) and out[103] == [] and out[104] is None and out[105] == [[(1.5, 1.0)], []]
