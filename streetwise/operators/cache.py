@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .matching import CANDIDATE, alias_filter, candidates_of
 from .scoring import SCORES, WEIGHTS
-from .tables import CACHE, aligned, new_rows
+from .tables import CACHE, aligned, drawn, new_rows
 
 
 def usable(weights: dict | None, alias_types=None, store: bool = False) -> bool:
@@ -74,7 +74,4 @@ def window(cached_on: date | str | None = None, since: datetime | str | None = N
 
 def sample(cache: DataFrame, addresses: DataFrame, n: int = 10, seed: int | None = None, **when) -> DataFrame:
     """Random entries with their records; entries whose record is gone are left out."""
-    if n < 1:
-        raise ValueError("n must be a positive whole number")
-    rows = cache.where(window(**when)).join(addresses, "address_detail_pid")
-    return rows.orderBy(F.rand(seed)).limit(n)
+    return drawn(cache.where(window(**when)).join(addresses, "address_detail_pid"), n, seed, ["input_standardised"])

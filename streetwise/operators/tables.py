@@ -150,8 +150,16 @@ def status(tables: dict[str, DataFrame | None]) -> DataFrame:
     return out
 
 
-def sample_rows(table: DataFrame, n: int, seed: int | None = None) -> DataFrame:
-    """n random rows (a limit is what it is for)."""
+def drawn(rows: DataFrame, n: int, seed: int | None, key: list[str]) -> DataFrame:
+    """n random rows (a limit is what it is for). With a seed those whose keys have the least
+    digests, so the same on any engine and layout; rows of equal keys are drawn as they come."""
     if n < 1:
         raise ValueError("n must be a positive whole number")
-    return table.orderBy(F.rand(seed)).limit(n)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    return rows.orderBy(F.rand() if seed is None else digest, *([] if seed is None else key)).limit(n)
+
+
+def sample_rows(table: DataFrame, n: int, seed: int | None = None, key: str | list[str] | None = None) -> DataFrame:
+    """drawn() rows; the key is the record's id, or all columns where there is none."""
+    default = ["address_detail_pid"] if "address_detail_pid" in table.columns else table.columns
+    return drawn(table, n, seed, [key] if isinstance(key, str) else key or default)

@@ -119,7 +119,7 @@ def custom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.custom_rows(rows, addr).select("address_detail_pid", "street_name", "number_first", "postcode", "source", "alias_type")
 
 
-@query("sample_rows")
+@query("sample_rows", "SELECT * FROM addr ORDER BY md5('7|' || address_detail_pid) LIMIT 10")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     (addr,) = load(spark, sf_dir, "addr")
     return tb.sample_rows(addr, 10, seed=7)
@@ -264,6 +264,12 @@ def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ca.probe(parsed, cached, m.candidates_of(addr)).select("input_id", "address_detail_pid", "total_score")
 
 
+@query("cache_sample", f"SELECT c.input_standardised, address_detail_pid, c.total_score FROM ({_CACHE}) c JOIN addr USING (address_detail_pid) WHERE c.cached_at >= TIMESTAMP '2024-01-01 00:00:00' ORDER BY md5('3|' || c.input_standardised) LIMIT 20")
+def cache_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (addr,) = load(spark, sf_dir, "addr")
+    return ca.sample(_sql(spark, sf_dir, _CACHE), addr, 20, seed=3, since="2024-01-01 00:00:00").select("input_standardised", "address_detail_pid", "total_score")
+
+
 @query("cache_store", f"SELECT input_id, address_detail_pid, total_score FROM ({o.path('inp', 'addr', 'g.postcode = i.in_postcode')}) WHERE total_score >= 95")
 def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp, addr = load(spark, sf_dir, "inp", "addr")
