@@ -4,10 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from streetwise.functions import similarity
 from streetwise.functions.similarity import Names, jaro_winkler_many
 from streetwise.operators import matching as m
 from streetwise.operators import pairing
+from streetwise.operators.diagnostics import add_text_diagnostics
 from streetwise.plans.catalogue import name_pairs
 
 from .test_fuzzy import town  # noqa: F401
@@ -68,3 +71,12 @@ def test_pairs_of_names_meet_as_different_names(spark, town):  # noqa: F811
     assert once == thrice and len(once) > 100
     below = plan(name_pairs(inputs, addresses)).split("Join", 1)[1]
     assert below.count("Aggregate") == 2
+
+
+def test_a_text_is_made_once_for_its_bigrams(spark):
+    """Inside the function over places it was made anew for each place."""
+    df = spark.createDataFrame([("High St", "HIGH STREET"), ("A", None)], "input_raw string, address_label string")
+    out = add_text_diagnostics(df)
+    from_text = similarity.bigram_jaccard(F.upper("input_raw"), F.upper("address_label"))._jc.toString()
+    assert from_text.lower().count("upper(input_raw") <= 2
+    assert [r["text_jaccard"] for r in out.collect()][1] is None
