@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,22 @@ def test_paths_make_no_row_of_a_pair(spark, town):  # noqa: F811
         assert "FlatMapCoGroupsInArrow" in plan(path(inputs, addresses))
 
 
+def test_names_of_a_group_are_compared_once_not_for_each_pair(monkeypatch):
+    """Bounds of names were made anew for each pair of an input and a record."""
+    compared = []
+    for way in ("alike", "at_most"):
+        plain = getattr(Names, way)
+        monkeypatch.setattr(Names, way, lambda self, a, b, *boost, plain=plain: compared.append(len(a)) or plain(self, a, b, *boost))
+    names, n, m_ = [f"{x} {y}" for x in ("HIGH", "LOW", "OLD", "NEW") for y in ("HILL", "RIDGE", "BANK", "PLAIN", "END")], 200, 2000
+    both = lambda size: {"_sub": ["s"] * size, "_kind": ["any"] * size}
+    asked = pa.table({"input_id": range(n), "in_street_name": [names[i % 20][:-1] for i in range(n)], "in_locality": ["OXLEY"] * n, "in_street_type": ["ROAD"] * n, "in_flat_number": [str(i // 20) for i in range(n)], "in_postcode": [4000] * n, "in_number_first": pa.nulls(n, pa.int32()), "in_number_suffix": pa.nulls(n, pa.string()), **both(n)})
+    of = pa.table({"address_detail_pid": [f"A{i:04d}" for i in range(m_)], "address_label": ["X"] * m_, "number_first": [1] * m_, "number_last": [1] * m_, "street_name": [names[i % 20] for i in range(m_)], "street_type": ["ROAD"] * m_, "flat_number": [str(i // 20) for i in range(m_)], "locality_name": ["OXLEY"] * m_, "postcode": [4000] * m_, **both(m_)})
+    schema = pa.schema([("input_id", pa.int64()), ("address_detail_pid", pa.string()), *[(s, pa.int32()) for s in [*m.SCORES, "total_score"]]])
+    out = pairing._best_of_group(asked, of, 1, 9, 60, m.check_weights(None), True, m.LEAST_STREET, schema)
+    assert out["address_detail_pid"].to_pylist() == [f"A{i:04d}" for i in range(n)]
+    assert sum(compared) <= 20 * 20 + 1
+
+
 def test_pairs_of_names_meet_as_different_names(spark, town):  # noqa: F811
     inputs, addresses = town
     once, thrice = (sorted(map(str, name_pairs(inputs, of).collect())) for of in (addresses, addresses.union(addresses).union(addresses)))
