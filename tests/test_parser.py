@@ -109,3 +109,11 @@ def test_quick_grammar_runs_without_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString().replace("existing", "")
     rows = {r["id"]: r for r in out.collect()}
     assert rows[1]["quick"]["in_street_name"] == "SAINT JAMES" and rows[1]["quick_"] == "kept" and rows[2]["quick"] is None
+
+
+def test_texts_of_few_files_are_dealt_over_tasks(spark):
+    """One file of texts was parsed by one task."""
+    df = spark.range(0, 50, 1, 1).selectExpr("id AS input_id", "concat(id + 1, ' 2nd Mt View St, Oxley QLD 4075') AS input_raw")
+    out = parse_addresses(df)
+    assert "RepartitionByExpression" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["in_street_name"] for r in out.collect()} == {"SECOND MOUNT VIEW"}
