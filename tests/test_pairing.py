@@ -66,6 +66,11 @@ def test_paths_make_no_row_of_a_pair(spark, town):  # noqa: F811
         assert "FlatMapCoGroupsInArrow" in plan(path(inputs, addresses))
 
 
+def test_records_of_few_files_are_dealt_over_tasks_before_they_get_keys(spark, town):  # noqa: F811
+    inputs, addresses = town
+    assert "RepartitionByExpression" in plan(m.postcode_path(inputs, addresses))
+
+
 def test_names_of_a_group_are_compared_once_not_for_each_pair(monkeypatch):
     """Bounds of names were made anew for each pair of an input and a record."""
     compared = []
