@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import projection
 
 RINGS = "array<array<struct<x:double,y:double>>>"
+#: Corners of a layer that a task of simplify_layer() takes apart, about.
+CORNERS = 250_000
 #: A polygon's box is at most so many cells wide and high, and one more where it lies across.
 CELLS, FINEST = 8, -40
 
@@ -179,10 +181,14 @@ def simplify_layer(polygons: DataFrame, tolerance: float) -> DataFrame:
     stay: there borders part. What lies between two of them is the same in every ring that
     has it, and is simplified alike. Rings that shrink to fewer than three corners go, and a
     polygon may be left without rings. poly_idx is unique; rings of fewer than three corners
-    and polygons with null rings stay as they are. Only corners and rings are shuffled, by
-    point and by polygon; a ring is the work of one task."""
+    and polygons with null rings stay as they are. Corners and rings are counted first, and
+    dealt by polygon over as many tasks as keep to CORNERS each; then they are shuffled by
+    point and by polygon. A ring is the work of one task."""
     if tolerance < 0:
         raise ValueError("tolerance must not be negative")
+    corners_of = F.aggregate("rings", F.lit(0).cast("long"), lambda n, ring: n + F.coalesce(F.size(ring), F.lit(0)))
+    count = polygons.agg(F.sum(corners_of)).first()[0] or 0
+    polygons = polygons.repartition(max(1, -(-count // CORNERS)), "poly_idx")
     rings = polygons.select("poly_idx", F.posexplode("rings").alias("ring", "points"))
     once = F.filter("points", lambda p, i: (i == 0) | (p != F.get(F.col("points"), i - 1)))
     rings = rings.withColumn("points", once)

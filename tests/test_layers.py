@@ -144,3 +144,13 @@ def test_simplified_neighbours_keep_a_common_border(spark, tolerance):
         assert sum(len(out[i][0]) for i in range(n * n)) < sum(len(r[0]) for _, r, _ in cells)
     assert set(out[100][1]) == set(out[101][0]) == set(hole) and area(out[100][0]) == 400
     assert len(out[102]) == (tolerance < 0.2) and out[103] == [] and out[104] is None and out[105] == [[(1.5, 1.0)], []]
+
+
+def test_a_layer_of_one_file_is_dealt_by_corners(spark, monkeypatch):
+    """One task made the corners of all polygons of a file."""
+    layer = spark.createDataFrame([(i, [SQUARE(2.0 * i, 0.0, 1.0)], "x") for i in range(20)], f"poly_idx int, rings {spatial.RINGS}, name string").coalesce(1)
+    whole = {r["poly_idx"]: plain(r["rings"]) for r in spatial.simplify_layer(layer, 0.1).collect()}
+    monkeypatch.setattr(spatial, "CORNERS", 16)
+    out = spatial.simplify_layer(layer, 0.1)
+    assert "RepartitionByExpression [poly_idx" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and any(f", {n}" in plan for n in (5, 6, 7))
+    assert {r["poly_idx"]: plain(r["rings"]) for r in out.collect()} == whole and len(whole) == 20
