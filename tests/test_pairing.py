@@ -87,6 +87,62 @@ def test_names_of_a_group_are_compared_once_not_for_each_pair(monkeypatch):
     assert sum(compared) <= 20 * 20 + 1
 
 
+def many_names(n, m_, keys=2, seed=3):
+    """Inputs without a number and records of some keys, nearly all with a street of their own; some inputs have none."""
+    rng = random.Random(seed)
+    words, ends = ("LARGE RING", "HOT BOLT", "BLUE PLATE", "COLD GEAR", "OLD SCREW", "GREEN WASHER", "TINY", "É"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    streets = [f"{rng.choice(words)} {rng.choice(ends)}{rng.choice(ends)}{rng.choice(ends)}" for _ in range(m_)]
+    both = lambda size: {"_sub": [str(i % keys) for i in range(size)], "_kind": ["any"] * size}
+    asked = pa.table({"input_id": range(n), "in_street_name": [None if i % 29 == 0 else streets[rng.randrange(m_)][: rng.choice([-1, None])] for i in range(n)], "in_locality": [rng.choice(["OXLEY", "OXLE", None]) for _ in range(n)], "in_street_type": [rng.choice(["ROAD", "LANE", None]) for _ in range(n)], "in_flat_number": [rng.choice(["1", None]) for _ in range(n)], "in_postcode": [rng.choice([4000, 4001, None]) for _ in range(n)], "in_number_first": pa.nulls(n, pa.int32()), "in_number_suffix": pa.nulls(n, pa.string()), **both(n)})
+    of = pa.table({"address_detail_pid": [f"A{i:05d}" for i in range(m_)], "address_label": ["X"] * m_, "number_first": [1] * m_, "number_last": [1] * m_, "street_name": [None if i % 41 == 0 else s for i, s in enumerate(streets)], "street_type": [rng.choice(["ROAD", "LANE"]) for _ in range(m_)], "flat_number": [rng.choice(["1", "2", None]) for _ in range(m_)], "locality_name": [rng.choice(["OXLEY", "INALA"]) for _ in range(m_)], "postcode": [rng.choice([4000, 4002]) for _ in range(m_)], **both(m_)})
+    return asked, of
+
+
+def best_of(asked, of, k, floor):
+    schema = pa.schema([("input_id", pa.int64()), ("address_detail_pid", pa.string()), ("street_name", pa.string()), *[(s, pa.int32()) for s in [*m.SCORES, "total_score"]]])
+    out = sorted(pairing._best_of_group(asked, of, k, k + m.FIRST_TRIES, floor, m.check_weights(None), True, m.LEAST_STREET, schema).to_pylist(), key=lambda r: (r["input_id"], -r["total_score"], r["address_detail_pid"]))
+    rank = {}
+    return [r for r in out if rank.setdefault(r["input_id"], []).append(0) or len(rank[r["input_id"]]) <= k]
+
+
+@pytest.mark.parametrize("k,floor", [(1, 60), (3, 40), (5, 0)])
+def test_runs_of_names_leave_the_same_best_as_a_table_of_all(monkeypatch, k, floor):
+    asked, of = many_names(150, 900, keys=1)
+    found = []
+    for table in (0, 1 << 30):
+        monkeypatch.setattr(pairing, "TABLE", table)
+        monkeypatch.setattr(pairing, "RUN", 7)
+        found.append(best_of(asked, of, k, floor))
+    assert found[0] == found[1] and len(found[0]) >= 120
+
+
+def test_bounds_of_names_are_not_made_for_each_pair(monkeypatch):
+    """Where nearly every record had a street of its own, each input's name met each of them."""
+    compared = []
+    for way in ("alike", "at_most"):
+        plain = getattr(Names, way)
+        monkeypatch.setattr(Names, way, lambda self, a, b, *more, plain=plain, **named: compared.append(len(a)) or plain(self, a, b, *more, **named))
+    asked, of = many_names(600, 6000)
+    known = asked.filter(asked["in_locality"].is_valid())
+    known = known.set_column(known.column_names.index("in_postcode"), "in_postcode", pa.array([4000] * len(known)))
+    of = of.set_column(of.column_names.index("postcode"), "postcode", pa.array([4000] * len(of)))
+    of = of.set_column(of.column_names.index("locality_name"), "locality_name", pa.array(["OXLEY"] * len(of)))
+    known = known.filter(known["in_street_name"].is_valid())
+    assert len(best_of(known, of, 1, 60)) == len(known)
+    assert sum(compared) < len(known) * len(of) / 2 / 3
+
+
+def test_runs_bound_all_their_names():
+    rng = random.Random(8)
+    names = sorted({"", *("".join(rng.choice("ABCÉ 1-😀") for _ in range(rng.choice([1, 3, 12, 30, 65, 80]))) for _ in range(300))})
+    many, at = Names(names), np.array([-1, *range(len(names))])
+    start = np.arange(0, len(at), 5)
+    runs = similarity.Runs(many, at, start)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(names)), np.arange(len(at))))
+    a, b = a[at[b] >= 0], b[at[b] >= 0]
+    assert (many.at_most(a, b // 5, of=runs) >= many.alike(a, at[b])).all()
+
+
 def test_pairs_of_names_meet_as_different_names(spark, town):  # noqa: F811
     inputs, addresses = town
     once, thrice = (sorted(map(str, name_pairs(inputs, of).collect())) for of in (addresses, addresses.union(addresses).union(addresses)))
